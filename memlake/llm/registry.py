@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import exact_dedup, language_id, media, mixing, sentencepieces
+from memlake.llm import exact_dedup, language_id, licenses, media, mixing, pii, sentencepieces
 from memlake.llm.common import ship
 
 
@@ -21,9 +21,11 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
         "op5_sentencepiece": sentencepieces.op5_sentencepiece,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op9_pii": pii.op9_pii,
         "op10_media": media.op10_media,
     }
 
