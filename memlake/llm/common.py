@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a regular expression class shared by several contracts.
@@ -76,6 +76,20 @@ def _clean() -> None:
             return
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, also where body is used inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+BLOCK = 256
+
+
+def blocks(array: Column) -> Column:
+    """An array cut into arrays of at most BLOCK items, so that work that is quadratic in a block stays bounded."""
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(a) - 1) / BLOCK).cast("int"), F.lit(0))), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
+    return let(array, cut)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps before a large step starts."""
     import gc

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import documents
+from memlake.llm.common import documents, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -108,11 +108,6 @@ def document_frequencies(padded: DataFrame, templates: tuple[Template, ...] = TE
     return {r["w"]: r["count"] for r in rows}
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _literal(t: Template, idf: dict[str, float]) -> Column:
     words = t.words
     rank = sorted(set(words), key=lambda w: (-idf.get(w, math.inf), w))
@@ -136,13 +131,13 @@ def _coverage(t: Column, words: Column) -> Column:
 
     def by_votes(votes: Column) -> Column:
         counted = F.transform(F.array_distinct(votes), lambda d: F.struct(F.size(F.filter(votes, lambda x: x == d)).alias("n"), (-d).alias("d")))
-        return _let(-F.array_max(counted)["d"], by_offset)
+        return let(-F.array_max(counted)["d"], by_offset)
 
     def by_hits(hits: Column) -> Column:
-        return _let(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(t["postings"], lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["i"]))), by_votes)
+        return let(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(t["postings"], lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["i"]))), by_votes)
 
     rare = F.slice(F.array_intersect(t["rank"], words), 1, RARE)
-    return _let(rare, lambda r: _let(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(r, h["w"])), by_hits))
+    return let(rare, lambda r: let(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(r, h["w"])), by_hits))
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

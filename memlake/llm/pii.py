@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import NOT_WS, Scratch, documents
+from memlake.llm.common import NOT_WS, Scratch, blocks, documents, let
 
 # The base patterns, in forms that Java's engine matches without recursion or repeated scans: a run
 # of a pattern's first characters is entered only at its start or where the last match ended.
@@ -43,17 +43,32 @@ SHORTEST, LONGEST, ALNUM, DIGITS = 7, 128, 7, 2
 ROUNDS, SUPPORT, CONFIDENT, REPORTED = 4, 3, 0.5, 0.6
 
 
+_PLACED = "array<struct<start:bigint,text:string>>"
+
+
 def _located(text: Column, regex: str, found: Column) -> Column:
-    """Matches with their start: array<struct<start,text>>, from the gaps that splitting leaves."""
-    gaps = F.split(text, regex, -1)
-    # Running starts in one pass: the accumulator holds the next start and what is placed already.
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,text:string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).cast("long").alias("start"), x["m"].alias("text")))).alias("out"),
-    )
-    pairs = F.transform(found, lambda m, i: F.struct(F.element_at(gaps, i + 1).alias("g"), m.alias("m")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step)["out"]).otherwise(empty["out"])
+    """Matches with their start: array<struct<start,text>>, from the gaps that splitting leaves.
+
+    Starts are running sums of lengths, taken block by block: an array that grows item by item is
+    copied every time, so it must stay short.
+    """
+    none = F.array().cast(_PLACED)
+
+    def place(block: Column, offset: Column) -> Column:
+        start = F.struct(offset.cast("long").alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["g"])).cast("long").alias("start"), x["m"].alias("text")))).alias("out"),
+        )
+        return F.aggregate(block, start, step)["out"]
+
+    def by_block(cut: Column) -> Column:
+        sizes = F.transform(cut, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + F.length(x["g"]) + F.length(x["m"])))
+        offsets = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        return F.flatten(F.zip_with(cut, F.slice(offsets, F.lit(1), F.size(cut)), place))
+
+    pairs = F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    return F.when(F.size(found) > 0, let(blocks(pairs), by_block)).otherwise(none)
 
 
 def _digits(x: Column) -> Column:
@@ -115,8 +130,10 @@ def candidates(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_tok", F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("_gap", F.when(F.size("_tok") > 0, F.split(text, TOKEN, -1)))
     rows = rows.withColumn("_at", _located(text, TOKEN, F.col("_tok")))
+    extent = lambda b: F.struct(F.array_min(b)["start"].alias("start"), F.array_max(F.transform(b, lambda s: s["stop"])).alias("stop"), b.alias("spans"))
+    rows = rows.withColumn("_blocks", F.when(F.size("_base") > 0, F.transform(blocks(F.col("_base")), extent)).otherwise(F.array().cast(f"array<struct<start:bigint,stop:bigint,spans:{_SPAN}>>")))
 
-    def one(t: Column, i: Column) -> Column:
+    def one(t: Column, i: Column, spans: Column) -> Column:
         # The core of a token: without a name before = or :, without punctuation at the ends.
         named = F.regexp_extract(t["text"], r"^([A-Za-z_]{2,32})[=:].", 1)
         rest = F.substring(t["text"], F.when(named != "", F.length(named) + 2).otherwise(1), F.length(t["text"]))
@@ -128,12 +145,14 @@ def candidates(rows: DataFrame) -> DataFrame:
         word_after = F.regexp_extract(F.lower(F.left(after, F.lit(64))), r"^[^\p{L}]*+(\p{L}+)", 1)
         left = F.when(named != "", F.lower(named)).otherwise(word_before)
         stop = start + F.length(core)
-        seed = F.exists(F.col("_base"), lambda b: (b["start"] < stop) & (start < b["stop"]))
+        near = lambda b: (b["start"] < stop) & (start < b["stop"])
+        seed = F.exists(spans, lambda x: near(x) & F.exists(x["spans"], near))
         return F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), core.alias("core"), left.alias("left"), word_after.alias("right"), seed.alias("seed"))
 
     n = lambda c: F.length(F.regexp_replace(c["core"], r"[^\p{L}\p{N}]+", ""))
     shaped = lambda c: c["seed"] | ((F.length(c["core"]) >= SHORTEST) & (F.length(c["core"]) <= LONGEST) & (n(c) >= ALNUM) & (F.length(_digits(c["core"])) >= DIGITS))
-    return rows.withColumn("_cand", F.filter(F.transform("_at", one), shaped)).drop("_tok", "_gap", "_at")
+    cand = let(F.col("_blocks"), lambda b: F.filter(F.transform("_at", lambda t, i: one(t, i, b)), shaped))
+    return rows.withColumn("_cand", cand).drop("_tok", "_gap", "_at", "_blocks")
 
 
 def confident_instances(cands: DataFrame, scratch: Scratch) -> DataFrame:
