@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import exact_dedup, language_id, licenses, media, mixing, pii, sentencepieces
+from memlake.llm import exact_dedup, language_id, licenses, media, mixing, ngram_join, pii, sentencepieces
 from memlake.llm.common import ship
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language_id.op3_language_id,
         "op5_sentencepiece": sentencepieces.op5_sentencepiece,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_pii": pii.op9_pii,
         "op10_media": media.op10_media,
     }
