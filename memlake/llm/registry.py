@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import exact_dedup, language_id, licenses, media, mixing, ngram_join, pii, sentencepieces
+from memlake.llm import exact_dedup, language_id, licenses, media, mixing, ngram_join, pii, sentencepieces, suffix_dedup
 from memlake.llm.common import ship
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": mixing.op1_mixing,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_sentencepiece": sentencepieces.op5_sentencepiece,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
