@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import exact_dedup, language_id, licenses, media, mixing, ngram_join, pii, sentencepieces, suffix_dedup
+from memlake.llm import exact_dedup, language_id, licenses, line_dedup, media, mixing, ngram_join, pii, sentencepieces, suffix_dedup
 from memlake.llm.common import ship
 
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_sentencepiece": sentencepieces.op5_sentencepiece,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_pii": pii.op9_pii,
         "op10_media": media.op10_media,
