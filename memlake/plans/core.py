@@ -248,7 +248,7 @@ def ordered_hydrate(s, d):
     return wanted.join(mem(s, d).select("id", "content"), "id").select("pos", "id", "content").orderBy("pos")
 
 
-@query("j19_counter_evidence", with_views(", c AS (SELECT unnest([10, 20, 30])::BIGINT AS id), e AS (SELECT entity_a AS src, entity_b AS dst, memory_id AS "at" FROM part_edges UNION ALL SELECT entity_b, entity_a, memory_id FROM part_edges) SELECT src, dst, "at" FROM e WHERE dst IN (SELECT id FROM c) AND src NOT IN (SELECT id FROM c) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY "at" DESC, src) <= 3", "part_edges"))
+@query("j19_counter_evidence", with_views(", c AS (SELECT unnest([10, 20, 30])::BIGINT AS id), e AS (SELECT entity_a AS src, entity_b AS dst, memory_id AS seen FROM part_edges UNION ALL SELECT entity_b, entity_a, memory_id FROM part_edges) SELECT src, dst, seen AS \"at\" FROM e WHERE dst IN (SELECT id FROM c) AND src NOT IN (SELECT id FROM c) QUALIFY row_number() OVER (PARTITION BY dst ORDER BY seen DESC, src) <= 3", "part_edges"))
 def counter_evidence(s, d):
     e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b", F.col("memory_id").alias("at")), "entity_a", "entity_b")
     return graph.counter_evidence(e, s.createDataFrame([(10,), (20,), (30,)], "id long"), 3).select("src", "dst", "at")
