@@ -43,7 +43,7 @@ N = 4
 PERCENT = 85
 BLOCK, PIVOTS = 256, 8
 #: Words whose hashes a worker remembers before it starts anew.
-WORDS = 400_000
+WORDS = 150_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -89,14 +89,18 @@ class Classes:
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, [1]
 
+    def _grow(self) -> None:
+        self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * 100 // self.percent)))
+
     def of(self, n: int) -> int:
-        while self.bounds[-1] <= n * 2:
-            self.bounds.append(max(self.bounds[-1] + 1, -(-self.bounds[-1] * 100 // self.percent)))
+        while self.bounds[-1] <= n:
+            self._grow()
         return bisect_right(self.bounds, n) - 1
 
     def ranges(self, c: int) -> tuple[int, int]:
         """(d, K) for pairs whose larger set is in class c."""
-        self.of(self.bounds[-1])
+        while len(self.bounds) < c + 2:
+            self._grow()
         top = self.bounds[c + 1] - 1
         d = (100 - self.percent) * 2 * top // (100 + self.percent)
         return d, d + 1 + (1 + d // 25 if d > 2 else 0)
