@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -92,18 +94,22 @@ def blocks(array: Column) -> Column:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps before a large step starts."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works in a thread of its own
 
 
 _shipped: set[str] = set()
 
+#: Rows of whole texts that go to a Python worker at once.
+ARROW_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that Python workers import it."""
+    """Send this package to the executors, once for each application, so that Python workers import it; keep their batches small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

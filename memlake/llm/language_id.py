@@ -157,10 +157,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dim
     return names, (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", dim: int = DIM, n: int = N) -> DataFrame:
-    """docs with lang_pred and score (the cosine, 0 at least) appended; a clashing column is replaced."""
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", dim: int = DIM, n: int = N, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score (the cosine, 0 at least) appended; a clashing column is replaced."""
     names, prototypes = model
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in out]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,9 +179,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 pred += [names[b] if ok else UNKNOWN for b, ok in zip(best, some, strict=True)]
                 score += [round(float(min(1.0, max(0.0, cos[k, b]))), 4) if ok else 0.0 for k, (b, ok) in enumerate(zip(best, some, strict=True))]
             columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *out])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(out[0], "string").add(out[1], "double")
     return docs.select(*kept).mapInArrow(run, schema)
 
 
@@ -196,8 +196,8 @@ def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with an identified language, as they were; those without any letter go."""
-    marked = predict(docs.select(*docs.columns, F.col("text").alias("_text")), fit_documents(docs), text_col="_text")
-    return marked.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    marked = predict(docs, fit_documents(docs), out=("_lang_pred", "_score"))
+    return marked.where(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,41 +146,50 @@ def repeated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     marks = scratch.keep(later.select("doc", F.col("first").alias("lo"), (F.col("first") + F.shiftright("packed", 8) - 1 + LENGTH).alias("hi")), "marks")
     free_shuffles(spark)
 
+    scratch.drop(found)
+
     # Pass 3: of anchors with several contents, each content's first run, with its bytes.
     heads = classes.where("several").select("earliest.doc", "earliest.first", F.shiftright("packed", 8).cast("int").alias("count"), F.col("packed").bitwiseAND(255).cast("int").alias("reach"))
     heads = heads.groupBy("doc").agg(F.collect_list(F.struct("first", "count", "reach")).alias("heads"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.encode(F.col(text_col), "UTF-8").alias("_data"))
     texts = texts.join(heads, F.col("_id") == F.col("doc")).dropDuplicates(["doc"])
-    cut = F.transform("heads", lambda x: F.struct(x["first"].alias("first"), x["count"].alias("count"), x["reach"].alias("reach"), F.substring(F.col("_data"), (x["first"] + 1).cast("int"), x["count"] + LENGTH - 1).alias("bytes")))
+    cut = F.transform("heads", lambda x: F.struct(x["first"].alias("run"), x["count"].alias("count"), x["reach"].alias("reach"), F.substring(F.col("_data"), (x["first"] + 1).cast("int"), x["count"] + LENGTH - 1).alias("bytes")))
     heads = scratch.keep(texts.select("doc", F.inline(cut)), "heads")
     free_shuffles(spark)
+    scratch.drop(classes)
     # Distances to the anchor are reach, reach - 1, ... reach - count + 1; aligned pieces of STEP of them.
-    far, near = F.col("reach"), F.col("reach") - F.col("count") + 1
-    piece = F.explode(F.sequence(F.floor(near / STEP).cast("int"), F.floor(far / STEP).cast("int"))).alias("piece")
-    pieces = heads.select("*", piece)
+    near = F.col("reach") - F.col("count") + 1
+    pieces = heads.select("*", F.explode(F.sequence(F.floor(near / STEP).cast("int"), F.floor(F.col("reach") / STEP).cast("int"))).alias("piece"))
     top = F.least(F.col("reach"), F.col("piece") * STEP + STEP - 1)
-    low = F.greatest(F.col("reach") - F.col("count") + 1, F.col("piece") * STEP)
-    pieces = pieces.withColumn("skip", F.col("reach") - top).withColumn("windows", top - low + 1)
+    pieces = pieces.withColumn("skip", F.col("reach") - top).withColumn("windows", top - F.greatest(near, F.col("piece") * STEP) + 1)
     # The bytes all windows of the aligned piece have: from its nearest distance on, STEP - 1 fewer than a window.
     core = F.expr(f"substring(bytes, reach - piece * {STEP} + 1, {LENGTH - STEP + 1})")
     body = F.expr(f"substring(bytes, skip + 1, windows + {LENGTH - 1})")
-    pieces = pieces.select("doc", (F.col("first") + F.col("skip")).alias("first"), "windows", (F.col("reach") - F.col("skip")).alias("top"), F.unhex(F.md5(F.concat(core, F.col("piece").cast("string").cast("binary")))).alias("core"), body.alias("body"))
-    pieces = scratch.keep(pieces.withColumn("all", F.unhex(F.md5(F.concat("body", F.concat_ws(":", "top", "windows").cast("binary"))))), "pieces")
-    alike = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("all").alias("a"), F.max("all").alias("b")).where("n > 1")
+    digit = [F.xxhash64("piece", core).alias("core"), F.unhex(F.md5(F.concat(body, F.concat_ws(":", top, "windows", "piece").cast("binary")))).alias("all")]
+    pieces = pieces.select("doc", "run", "skip", "windows", *digit)
+    alike = pieces.select("core", F.xxhash64("all").alias("x")).groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).where("n > 1")
     alike = scratch.keep(alike.select("core", (F.col("a") != F.col("b")).alias("several")), "alike")
-    left = scratch.keep(pieces.join(alike, "core"), "left")
-    groups = scratch.keep(left.groupBy("core", "all").agg(_first("doc", "first")), "groups")
-    told = left.join(groups, ["core", "all"]).withColumn("head", where == F.col("earliest"))
-    told = scratch.keep(told, "told")
-    marks3 = told.where("NOT head").select("doc", F.col("first").alias("lo"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("hi"))
-
-    # Pass 4: the windows of what is left.
-    single = told.where("head AND several").dropDuplicates(["core", "all"]).select("doc", "first", "top", "body", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("w"))
-    single = single.select("doc", (F.col("first") + F.col("w")).alias("first"), F.unhex(F.md5(F.expr(f"substring(body, w + 1, {LENGTH})"))).alias("window"))
+    free_shuffles(spark)
+    left = scratch.keep(pieces.join(alike, "core").withColumn("first", F.col("run") + F.col("skip")), "left")
+    free_shuffles(spark)
+    groups = left.groupBy("core", "all").agg(_first("doc", "first"))
+    groups = scratch.keep(groups, "groups")
+    told = left.select("core", "all", "doc", "first", "windows").join(groups.select("core", "all", "earliest"), ["core", "all"])
+    marks3 = scratch.keep(told.where(where != F.col("earliest")).select("doc", F.col("first").alias("lo"), (F.col("first") + F.col("windows") - 1 + LENGTH).alias("hi")), "marks")
+    free_shuffles(spark)
+
+    # Pass 4: the windows of what is left, from the bytes of the runs they are in.
+    first = left.where("several").join(groups.select("core", "all", "earliest"), ["core", "all"]).where(where == F.col("earliest"))
+    first = first.select("doc", "run", "skip", "windows").distinct()
+    single = heads.select("doc", "run", "bytes").join(first, ["doc", "run"])
+    single = single.select("doc", (F.col("run") + F.col("skip")).alias("first"), "skip", "bytes", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("w"))
+    single = single.select("doc", (F.col("first") + F.col("w")).alias("first"), F.unhex(F.md5(F.expr(f"substring(bytes, skip + w + 1, {LENGTH})"))).alias("window"))
     single = scratch.keep(single, "single")
+    free_shuffles(spark)
+    scratch.drop(heads, left, groups, alike)
     earliest = scratch.keep(single.groupBy("window").agg(_first("doc", "first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "earliest")
     marks4 = single.join(earliest, "window").where(where != F.col("earliest")).select("doc", F.col("first").alias("lo"), (F.col("first") + LENGTH).alias("hi"))
-    return marks.union(marks3).union(marks4)
+    return marks.union(marks3).union(scratch.keep(marks4, "marks"))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

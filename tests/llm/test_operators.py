@@ -1,0 +1,266 @@
+"""The training-data operators against brute force: nulls, empty and long texts, ties, repeated rows, no rows."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from memlake.llm import exact_dedup, language_id, licenses, line_dedup, media, mixing, ngram_join, pii, registry, sentencepieces, suffix_dedup
+
+Q = registry.queries()
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+def rows_of(spark, name, path):
+    return Q[name](spark, path).collect()
+
+
+@pytest.mark.parametrize("name", sorted(Q))
+def test_no_rows_and_null_rows(spark, tables, name):
+    assert rows_of(spark, name, tables([])) == []
+    got = rows_of(spark, name, tables([(1, None, None, None), (2, "", "en", "b")]))
+    assert len(got) == (1 if name == "op7_line_dedup" else 2)
+
+
+def test_mixing(spark, tables, words):
+    rows = [(i, words(1 + i % 40), "en", ["a", "b", None][0 if i % 3 else i % 2 + 1]) for i in range(150)] + [(900, None, "en", "a"), (901, "x", "en", "tiny")]
+    path = tables(rows)
+    got = rows_of(spark, "op1_mixing", path)
+    again = rows_of(spark, "op1_mixing", path)
+    assert sorted(got) == sorted(again) and len(got) == len(rows)
+    source = {r[0]: r[3] for r in rows}
+    size, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        size[source[r["doc_id"]]] += r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert abs(sum(target.values()) - sum(size.values())) < 1e-6
+    for s in size:
+        assert target[s] <= 3 * size[s] + 1e-9 and abs(taken[s] - target[s]) <= 41
+    mixed = mixing.mixed(spark.read.parquet(f"{path}/documents.parquet"))
+    assert mixed.columns == spark.read.parquet(f"{path}/documents.parquet").columns
+    count = collections.Counter(r["doc_id"] for r in mixed.collect())
+    assert count == {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]}
+
+
+def test_license_scan(spark, tables):
+    texts = ["CC BY cc-by; General  Public License x ALL Rights\nreserved", "cc by", "é cc by", None, "", "Released under the MIT License.", "accby cc bye", "This work is licensed under the GNU General Public License, version 3.", "x " * 5000 + "licensed under cc by-nc 4.0"]
+    got = {r["doc_id"]: r for r in rows_of(spark, "op2_license_scan", tables([(i, t, None, None) for i, t in enumerate(texts)]))}
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+        places = [k for p, _ in licenses.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None))
+    assert got[5]["labels"] == "mit" and got[5]["score"] == 1.0
+    assert got[7]["labels"] == "gpl,gpl-3.0"
+    assert got[8]["labels"] == "cc-by,cc-by-nc-4.0"
+    assert got[6]["labels"] == ""
+
+
+def test_language_id(spark, tables):
+    r = random.Random(2)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["str", "ing", "the", "ou"]}
+    text = lambda x, n: " ".join("".join(r.choice(syllables[x]) for _ in range(3)) for _ in range(n))
+    rows = [(i, text(x, 30), x, "s") for i, x in enumerate(["aa", "bb"] * 60)] + [(500, "123 !!", "aa", "s"), (501, None, "bb", "s")]
+    got = {x["doc_id"]: x for x in rows_of(spark, "op3_language_id", tables(rows))}
+    for i, _, x, _ in rows[:-2]:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i]["lang_pred"] == x and 0 < got[i]["score"] <= 1
+    assert got[500]["lang_pred"] == got[501]["lang_pred"] == "und" and got[500]["score"] == 0
+    docs = spark.read.parquet(f"{tables(rows)}/documents.parquet")
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 120 and kept.first()["score"] == "clash"
+
+
+def brute_suffix(texts):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        b = (texts[i] or "").encode()
+        m = bytearray(len(b))
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if w in seen:
+                m[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        kept = bytes(c for c, x in zip(b, m, strict=True) if not x)
+        out[i] = (len(b), sum(m), sum(1 for k in range(len(m)) if m[k] and (k == 0 or not m[k - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_suffix_dedup(spark, tables, monkeypatch):
+    r = random.Random(4)
+    base = "".join(r.choice("abcdefgh ") for _ in range(900))
+    junk = lambda: "".join(r.choice("xyz") for _ in range(r.randrange(60)))
+    texts = {0: None, 1: "", 2: "a" * 99, 3: "a" * 100, 4: "a" * 350, 5: "ab" * 200, 6: "é" * 150, 7: base, 8: base}
+    for i in range(40):
+        a = r.randrange(800)
+        texts[10 + i] = junk() + base[a : a + r.randrange(80, 400)] + junk()
+    path = tables([(i, t, "en", "s") for i, t in texts.items()])
+    got = {x["doc_id"]: tuple(x)[1:] for x in rows_of(spark, "op4_suffix_dedup", path)}
+    assert got == brute_suffix(texts)
+
+
+def test_runs_are_the_same_in_segments():
+    import numpy as np
+
+    data = np.frombuffer(("abc" * 50 + "hello world " * 30 + "x" * 300).encode(), np.uint8)
+    h, c, first, count, at = suffix_dedup.runs(data)
+    assert count.sum() == len(data) - 99 and (at >= first).all() and (at - first <= 68).all()
+
+
+def test_pieces_equal_the_library():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    c = sentencepieces.PieceCodec(sentencepieces.default_model())
+    r = random.Random(3)
+    letters = "abcdefghiort   en\n.,'\"éüß中🙂▁1234\x00"
+    texts = ["", " ", "  a", "a\n b\n\nc", "日本語 テキスト 🙂", "<s> <0x41>", "x" * 3000, " " * 40, "�"]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    for t in texts:
+        ids = c.encode(t).tolist()
+        assert ids == sp.encode(t)
+        assert c.decode(ids) == sp.decode(ids)
+    for _ in range(2000):
+        ids = [r.randrange(600) for _ in range(r.randint(1, 8))]
+        assert c.decode(ids) == sp.decode(ids)
+
+
+def test_pieces_in_spark(spark, tables):
+    path = tables([(1, "Hello  world\nagain", None, None), (2, None, None, None)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    back = sentencepieces.decode(sentencepieces.encode(docs)).orderBy("id").collect()
+    assert [r["text"] for r in back] == ["Hello  world\nagain", ""]
+
+
+def test_exact_dedup(spark, tables):
+    rows = [(5, "a  b\n", None, "s"), (3, "a b ", None, "s"), (4, "a b", None, "s"), (9, None, None, "s"), (7, "", None, "s"), (5, "a  b\n", None, "s"), (None, "a b", None, "s")]
+    path = tables(rows)
+    got = rows_of(spark, "op6_exact_dedup", path)
+    by = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got}
+    assert len(got) == 7
+    assert by == {5: (3, 3, False), 3: (3, 3, True), 4: (4, 2, True), None: (4, 2, False), 9: (7, 2, False), 7: (7, 2, True)}
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    index = exact_dedup.temporary_index(spark, 4)
+    kept = exact_dedup.drop_copies(docs, index)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7]
+    later = index.add(spark.createDataFrame([(1, "a b"), (2, "new")], "doc_id long, text string"))
+    assert {r["id"]: (r["keep_id"], r["kept"]) for r in later.collect()} == {1: (4, False), 2: (2, True)}
+
+
+def test_line_dedup(spark, tables, words):
+    long = words(40)
+    near = long[:150] + "q" + long[151:]
+    rows = [(1, f"{long}\nshort\n\nonly here {words(9)}", None, "s"), (2, f"{near}\nSHORT \n\n{words(12)}", None, "s"), (3, None, None, "s")]
+    path = tables(rows)
+    got = {r["doc_id"]: r for r in rows_of(spark, "op7_line_dedup", path)}
+    assert (got[1]["n_lines"], got[1]["n_kept"]) == (4, 4)
+    assert (got[2]["n_lines"], got[2]["n_kept"], got[2]["n_equal"], got[2]["n_similar"], got[2]["removed_lines"]) == (4, 2, 1, 1, "0,1")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs).collect()}
+    assert out[1] == rows[0][1] and out[2] == "\n" + rows[1][1].split("\n")[3] and out[3] is None
+
+
+@pytest.mark.parametrize("block", [256, 12])
+def test_ngram_join(spark, tables, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(1)
+    texts = [None, "", " ", "a b", "A  b", "a b c d", "a b c d", "x y z w v u t s r q", "x y z w v u t s r p"]
+    base = [str(r.randrange(1000)) for _ in range(120)]
+    for _ in range(60):
+        b = list(base)
+        for _ in range(r.randint(0, 5)):
+            b[r.randrange(120)] = str(r.randrange(1000))
+        texts.append(" ".join(b))
+    got = {x["doc_id"]: tuple(x)[1:] for x in rows_of(spark, "op8_ngram_join", tables([(i, t, None, None) for i, t in enumerate(texts)]))}
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    spans, counts = [], []
+    for k, (kind, rx) in enumerate(BASE.items()):
+        n = 0
+        for m in re.finditer(rx, text or ""):
+            g = m.group(0)
+            digits = re.sub("[^0-9]", "", g)
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in g.split(".")), "card": 14 <= len(digits) <= 19 and luhn, "phone": 10 <= len(digits) <= 15}[kind]
+            if ok:
+                spans.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+                n += 1
+        counts.append(n)
+    return (*counts, hashlib.sha256(",".join(x[2] for x in sorted(spans)).encode()).hexdigest())
+
+
+def test_pii_base(spark, tables):
+    texts = ["a@b.c_d@e.f", "a@b@c.de", "1.2.3.4.5.6.7.8", "999.1.1.1 1.2.3.4 0001.02.3.255", "+1 (212) 555-0100+44 20 7946 0958", "4111 1111 1111 1111x4111-1111-1111-1112 4111111111111111", "@@..a.b@", "éé a@b.co 🙂 1.1.1.1", None, "", "+1+2+1234567890", "1." * 3000, "@a.b" * 500, "x" * 50000, "5 " * 2000]
+    got = {r["doc_id"]: r for r in rows_of(spark, "op9_pii", tables([(i, t, None, None) for i, t in enumerate(texts)]))}
+    for i, t in enumerate(texts):
+        assert tuple(got[i])[1:6] == brute_pii(t), t
+
+
+def test_pii_contexts(spark, tables):
+    r = random.Random(6)
+    ip = lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4))
+    rows = [(i, f"please note member {ip()} today", None, None) for i in range(20)]
+    rows += [(100, "a new member QX7731ZP09 joined", None, None), (101, "see version 2.0 of chapter 12", None, None)]
+    got = {x["doc_id"]: x["spans"] for x in rows_of(spark, "op9_pii", tables(rows))}
+    assert got[100] == "context:13:23" and got[101] == ""
+
+
+def test_media(spark, tables):
+    texts = [None, "", "a\x00", "a", "é" * 31, "é" * 32, "x" * 100_000]
+    got = {r["doc_id"]: r for r in rows_of(spark, "op10_media", tables([(i, t, None, None) for i, t in enumerate(texts)] + [(50, "a", None, None)]))}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        pad = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert media.read_back(media.store(pad)) == pad and r["media_bytes"] == len(media.store(pad))
+    assert tuple(got[3])[1:] == tuple(got[50])[1:]
+
+
+def test_interleaving(spark):
+    page = '<title>T</title><p>one <b>two</b></p><figure><img src="digest:ab" alt="x"><figcaption>cap</figcaption></figure><script>no</script><p>three<img src="u.png"></p>'
+    got = media.parse(page)
+    assert [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in got] == [("text", "T", None), ("text", "one two", None), ("media", "digest:ab", "cap"), ("text", "three", None), ("media", "u.png", None)]
+    seqs = media.interleave(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"))
+    table = spark.createDataFrame([("ab", 5)], "digest string, n_bytes long")
+    out = media.resolve(seqs, table).orderBy("position").collect()
+    assert [r["n_bytes"] for r in out] == [None, None, 5, None, None]
+
+
+def test_components_of_a_long_path(spark):
+    from memlake.llm.common import Scratch, components
+
+    edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101), (101, 102), (7, 7)], "a long, b long"))
+    got = {r["node"]: r["component"] for r in components(edges, Scratch(spark, "test")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_pattern_constants():
+    assert set(pii.KINDS) == set(BASE)
