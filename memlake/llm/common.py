@@ -92,6 +92,19 @@ def blocks(array: Column) -> Column:
     return let(array, cut)
 
 
+#: Largest written table, in bytes of its files, that is broadcast; beyond it a join is a shuffled one.
+SMALL = 16 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files are small enough."""
+    spark = table.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in table.inputFiles()]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return F.broadcast(table) if size <= SMALL else table
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps before a large step starts."""
     for _ in range(2):

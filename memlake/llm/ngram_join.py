@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import Scratch, components, documents, free_shuffles
+from memlake.llm.common import Scratch, components, documents, free_shuffles, small
 
 N = 4
 #: Least similarity, as percent: 100 * intersection >= PERCENT * union.
@@ -258,7 +258,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # 2. The token-group matrix and each member's overlap with the rest of its group.
     members = classes.where("rep IS NOT NULL").join(groups, "k1").select("rep", "grp")
     members = scratch.keep(members, "members")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(members, F.col("_id") == F.col("rep"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(members), F.col("_id") == F.col("rep"))
     # Rows that repeat an id: any of them that has the set will do, so a set is kept for each of them.
     sets = scratch.keep(shingle_sets(texts.select("rep", "grp", "_text"), ["rep", "grp"], "_text"), "sets")
     cells = sets.select("grp", "rep", F.explode("set").alias("token"))
@@ -286,8 +286,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = scratch.keep(rest, "rest")
     per = rest.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     whole = F.col("n") >= BLOCK // 2
-    small = per.where(~whole).groupBy("grp").agg(F.sum("n").alias("n_small"))
-    kind = rest.join(per, ["grp", "component"]).join(small, "grp", "left")
+    minor = per.where(~whole).groupBy("grp").agg(F.sum("n").alias("n_small"))
+    kind = rest.join(per, ["grp", "component"]).join(minor, "grp", "left")
     kind = kind.select("grp", "rep", "set", F.when(whole, F.col("component")).alias("only"), F.when(whole, F.pmod(F.xxhash64("rep"), _blocks("n"))).otherwise(F.pmod(F.xxhash64("component"), _blocks("n_small"))).alias("part"))
     kind = scratch.keep(kind, "kind")
     names = kind.select("grp", "only", "part").distinct()
