@@ -4,11 +4,15 @@ Lines are sets of character 9-grams.  One-permutation MinHash keeps, of a line's
 least in each of 16 bins; 16 bands of four bins each bring lines of similarity 0.8 together with a
 probability of some 98 % (of 0.9: 99.9 %); each line of a bucket is paired with the bucket's least;
 pairs are verified by exact Jaccard similarity on whole n-gram sets; links are joined into components
-by distributed union-find, and of each component the earliest line stays.
+by distributed union-find.  Then all lines of a bucket that are still in different components are
+compared with each other, so every pair that shares a bucket is decided; of each component the
+earliest line stays.
 
 Scale: equal lines are one from the first aggregate on, so a line in a third of all documents is one
-row; a bucket of any size gives one pair for each of its lines.  Narrow rows (16 hashes or one band
-key for each distinct line) are shuffled; line texts only for lines that have a pair.
+row; lines alike to their bucket's least cost one pair each.  Only the rest of a bucket is compared
+pairwise (quadratic in lines that share a bucket and aren't linked), in blocks of bounded size, so that
+a large bucket is dealt over many tasks.  Narrow rows (16 hashes or one band key for each distinct
+line) are shuffled; n-gram sets only for lines that have a pair.
 
 Defined results: a line's form is its text in lower case, runs of ASCII white
 space as one space, trimmed; lines of an empty form always stay; forms shorter than nine characters
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from memlake.llm.common import Scratch, components, documents, free_shuffles, let, small
 
 K, BINS, BANDS, ROWS = 9, 16, 16, 4
+#: Lines of a bucket that are compared at once.
+BLOCK = 256
 #: Least similarity.
 SIMILAR = 0.8
 
@@ -64,8 +70,21 @@ def places(form_: Column) -> Column:
     return F.sequence(F.lit(0), F.length(form_) - K)
 
 
+def _alike(x: Column, y: Column) -> Column:
+    """Exact Jaccard similarity of two n-gram sets, SIMILAR at least; sets of too different sizes aren't intersected."""
+    common = F.size(F.array_intersect(x, y))
+    sizes = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y))
+    return sizes & (common >= SIMILAR * (F.size(x) + F.size(y) - common))
+
+
+def _sets(long: DataFrame, asked: DataFrame) -> DataFrame:
+    """(l1, s) for the lines asked for: their n-grams."""
+    forms = long.select(F.xxhash64("form").alias("l1"), "form").join(small(asked), "l1").groupBy("l1").agg(F.min("form").alias("form"))
+    return forms.select("l1", F.array_distinct(let(F.encode("form", "UTF-32"), lambda w: F.transform(places(F.col("form")), lambda i: gram(w, i)))).alias("s"))
+
+
 def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) pairs of line keys that are verified as similar."""
+    """(a, b) pairs of line keys that are verified as similar; they connect all similar lines that share a bucket."""
     spark = rows.sparkSession
     long = rows.where(F.length("form") >= K)
     wide = F.encode("form", "UTF-32")
@@ -77,24 +96,49 @@ def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     # A band of empty bins only says nothing; two lines that are short agree in their empty bins.
     keys = [F.when(F.coalesce(*[F.col(f"m{j}") for j in bins]).isNotNull(), F.xxhash64(F.lit(i), *[F.coalesce(F.col(f"m{j}"), F.lit(j).cast("long")) for j in bins])) for i, bins in enumerate(bands())]
-    banded = least.select("l1", F.explode(F.array(*keys)).alias("band")).where("band IS NOT NULL")
+    keyed = least.select("l1", F.array(*keys).alias("bands"))
+    banded = keyed.select("l1", "bands", F.explode("bands").alias("band")).where("band IS NOT NULL")
     shared = banded.groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
     shared = scratch.keep(shared, "shared")
     free_shuffles(spark)
-    pairs = scratch.keep(banded.join(shared, "band").where("l1 <> low").select(F.col("l1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    # Every line of a bucket, with the bucket's least.
+    held = scratch.keep(banded.join(shared, "band"), "held")
     free_shuffles(spark)
     scratch.drop(least, shared)
 
-    # Exact similarity, on the n-gram sets of the lines that have a pair.
+    # Exact similarity with the bucket's least, on the n-gram sets of the lines that share a bucket.
+    pairs = scratch.keep(held.where("l1 <> low").select(F.col("l1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     asked = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "asked")
-    sets = long.select(F.xxhash64("form").alias("l1"), "form").join(small(asked), "l1").groupBy("l1").agg(F.min("form").alias("form"))
-    sets = scratch.keep(sets.select("l1", F.array_distinct(let(wide, lambda w: F.transform(places(F.col("form")), lambda i: gram(w, i)))).alias("s")), "sets")
+    sets = scratch.keep(_sets(long, asked), "sets")
     free_shuffles(spark)
     scratch.drop(asked)
     with_a = pairs.join(sets, F.col("a") == F.col("l1")).select("a", "b", F.col("s").alias("x"))
     both = with_a.join(sets, F.col("b") == F.col("l1")).select("a", "b", "x", F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+    first = scratch.keep(both.where(_alike(F.col("x"), F.col("y"))).select("a", "b"), "stars")
+    free_shuffles(spark)
+
+    # Buckets that hold several components after that: their lines are compared across components.
+    found = scratch.keep(components(first, scratch).distinct(), "found")
+    rest = held.join(found, F.col("l1") == F.col("node"), "left").select("band", "l1", "bands", F.coalesce("component", "l1").alias("component"))
+    rest = scratch.keep(rest, "rest")
+    mixed = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # A bucket of two lines was decided with its least.
+    mixed = scratch.keep(mixed.where("low < high AND n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "mixed")
+    rest_ = rest.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("l1"), F.col("parts")).cast("int"))
+    rest_ = rest_.join(sets, "l1").select("band", "part", "parts", "l1", "bands", "component", "s")
+    rest_ = scratch.keep(rest_, "blocks")
+    free_shuffles(spark)
+    scratch.drop(held, rest, pairs)
+    # Each pair of parts (p <= q) is one key; a line is on the left of its part's pairs, and on the right.
+    left = rest_.select("band", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), *[F.col(c).alias(f"{c}_a") for c in ("l1", "bands", "component", "s")])
+    right = rest_.select("band", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("l1", "bands", "component", "s")])
+    # Pairs that share several buckets are compared in the first of them.
+    same = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("p") < F.col("q")) | (F.col("l1_a") < F.col("l1_b")))
+    second = left.join(right, ["band", "p", "q"]).where(apart & (F.element_at(same, 1) == F.col("band")) & _alike(F.col("s_a"), F.col("s_b")))
+    second = scratch.keep(second.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")), "rest-links")
+    scratch.drop(sets, rest_)
+    return first.union(second)
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,6 +166,25 @@ def test_line_dedup(spark, tables, words):
     assert out[1] == rows[0][1] and out[2] == "\n" + rows[1][1].split("\n")[3] and out[3] is None
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_line_dedup_templated_family(spark, tables, monkeypatch, block):
+    """Near copies inside a family of lines that share buckets with each other but are below the threshold."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    frame = " ".join(word(7) for _ in range(18))
+    rows = []
+    for i in range(60):
+        line = f"{frame} {word(24)}"
+        rows += [(i, line, None, None), (100 + i, line + " " + word(3), None, None)]
+    gram = {i: {t[k : k + 9] for k in range(len(t) - 8)} for i, t, *_ in rows}
+    like = lambda a, b: len(gram[a] & gram[b]) / len(gram[a] | gram[b])
+    assert all(0.6 < like(i, j) < 0.79 for i in range(60) for j in range(i)) and all(like(i, 100 + i) > 0.9 for i in range(60))
+    assert all(like(i, 100 + j) < 0.79 for i in range(60) for j in range(60) if i != j)
+    got = {x["doc_id"]: x["n_similar"] for x in rows_of(spark, "op7_line_dedup", tables(rows))}
+    assert got == {i: int(i >= 100) for i, *_ in rows}
+
+
 @pytest.mark.parametrize("block", [256, 12])
 def test_ngram_join(spark, tables, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
