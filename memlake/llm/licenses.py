@@ -1,10 +1,11 @@
 """License scans by a positional rare-token index (operator 2), in DataFrame operations only.
 
-Templates are short licence notices as word sequences; the index has, for each of their words, its
-postings (template, position).  Over all documents the words' document frequencies are counted; for
-each file, its rarest words of a template are looked up, every occurrence votes for the offset at
-which the template would lie, the offset with most votes is taken, and the template counts as found
-if its mandatory key phrase stands at its place there and enough of its words do.
+Templates are short licence notices as word sequences; the index has the postings (template, position)
+of their key phrases' words.  Over all documents the words' document frequencies are counted; for each
+file and template, the rarest word of the key phrase is looked up, and each of its occurrences gives
+an offset at which the template would lie.  Every offset is verified: a template counts as found if
+at one of them its mandatory key phrase stands at its place and enough of its words do; the best
+share counts.
 
 Scale: one pass counts the frequencies of the templates' words (a table as long as the templates'
 vocabulary goes to the driver), one pass scans; no text is shuffled.  Key phrases are first tested as
@@ -22,14 +23,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import documents, let
+from memlake.llm.common import documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases every scan reports, with their labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Rarest words looked up for each file and template; least share of a template's words in place.
-RARE, LEAST = 6, 0.6
+#: Least share of a template's words in place.
+LEAST = 0.6
 
 
 @dataclass(frozen=True)
@@ -109,19 +110,18 @@ def document_frequencies(padded: DataFrame, templates: tuple[Template, ...] = TE
 
 
 def _literal(t: Template, idf: dict[str, float]) -> Column:
-    words = t.words
-    rank = sorted(set(words), key=lambda w: (-idf.get(w, math.inf), w))
+    key = t.key.split()
+    rare = min(key, key=lambda w: (-idf.get(w, math.inf), w))
     strings = lambda x: F.array(*map(F.lit, x))
-    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(words)])
     return F.struct(
-        F.lit(t.label).alias("label"), F.lit(f" {t.key} ").alias("key"), strings(t.key.split()).alias("key_words"), F.lit(t.key_at).alias("key_at"),
-        strings(words).alias("words"), strings(rank).alias("rank"), postings.alias("postings"),
+        F.lit(t.label).alias("label"), F.lit(f" {t.key} ").alias("key"), strings(key).alias("key_words"), F.lit(t.key_at).alias("key_at"),
+        strings(t.words).alias("words"), F.lit(rare).alias("rare"), F.lit(t.key_at + key.index(rare)).alias("rare_at"),
     )
 
 
 def _coverage(t: Column, words: Column) -> Column:
-    """Share of the template's words at their places, at the offset that the file's rarest words of it
-    agree on (most votes, then the smallest); null if the key phrase isn't in place there or the share is too small."""
+    """Largest share of the template's words at their places over the offsets at which the key phrase is in
+    place: each occurrence of its rarest word is tried; null if there is none or the share is too small."""
 
     def by_offset(at: Column) -> Column:
         there = lambda i: F.when(at + i >= 0, F.try_element_at(words, at + i + 1))
@@ -129,15 +129,8 @@ def _coverage(t: Column, words: Column) -> Column:
         key = F.forall(F.transform(t["key_words"], lambda w, k: F.coalesce(there(t["key_at"] + k) == w, F.lit(False))), lambda x: x)
         return F.when(key & (share >= LEAST), share)
 
-    def by_votes(votes: Column) -> Column:
-        counted = F.transform(F.array_distinct(votes), lambda d: F.struct(F.size(F.filter(votes, lambda x: x == d)).alias("n"), (-d).alias("d")))
-        return let(-F.array_max(counted)["d"], by_offset)
-
-    def by_hits(hits: Column) -> Column:
-        return let(F.flatten(F.transform(hits, lambda h: F.transform(F.filter(t["postings"], lambda p: p["w"] == h["w"]), lambda p: h["i"] - p["i"]))), by_votes)
-
-    rare = F.slice(F.array_intersect(t["rank"], words), 1, RARE)
-    return let(rare, lambda r: let(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(r, h["w"])), by_hits))
+    offsets = F.filter(F.transform(words, lambda w, i: F.when(w == t["rare"], i - t["rare_at"])), lambda d: d.isNotNull())
+    return F.array_max(F.transform(offsets, by_offset))
 
 
 def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

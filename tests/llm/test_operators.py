@@ -62,6 +62,32 @@ def test_license_scan(spark, tables):
     assert got[6]["labels"] == ""
 
 
+def test_license_scan_tries_every_offset(spark, tables):
+    """A notice counts wherever it stands, also behind variants that have as many of its words but not its key."""
+    grant = "to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction"
+    gpl = "This work is licensed under the GNU General Public License"
+    texts = [f"Permission is granted, free of charge, {grant}. Permission is hereby granted, free of charge, {grant}.", f"Permission is granted, free of charge, {grant}.", f"{gpl}, but not under version 3. {gpl} version 3."]
+    r = random.Random(4)
+    for _ in range(40):
+        parts = []
+        for _ in range(4):
+            w = r.choice(licenses.TEMPLATES).words
+            parts += [x for x in w if r.random() > 0.1] + ["zz"] * r.randrange(3)
+        texts.append(" ".join(parts))
+    got = {x["doc_id"]: x for x in rows_of(spark, "op2_license_scan", tables([(i, t, None, None) for i, t in enumerate(texts)]))}
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z0-9]+", t.lower())
+        labels, best = {label for p, label in licenses.BASE if f" {p} " in f" {' '.join(w)} "}, 0
+        for x in licenses.TEMPLATES:
+            key = x.key.split()
+            for at in (k - x.key_at for k in range(len(w)) if w[k : k + len(key)] == key):
+                share = sum(0 <= at + k < len(w) and w[at + k] == y for k, y in enumerate(x.words)) / len(x.words)
+                if share >= licenses.LEAST:
+                    labels, best = labels | {x.label}, max(best, share)
+        assert got[i]["labels"] == ",".join(sorted(labels)) and got[i]["score"] == pytest.approx(1 if got[i]["n_base"] else best)
+    assert [got[i]["labels"] for i in range(3)] == ["mit", "", "gpl,gpl-3.0"]
+
+
 def test_language_id(spark, tables):
     r = random.Random(2)
     syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["str", "ing", "the", "ou"]}
