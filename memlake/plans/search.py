@@ -47,7 +47,7 @@ def two_stage(s, d):
 def approximate_candidates(s, d):
     m = mem(s, d).select("id", "embedding")
     q = m.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
-    return search.candidates_by_bands(m, q, 64, 0.3, bands=24, bits=6).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return search.candidates_by_bands(m, q, 64, 0.3, bands=24, bits=4).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("v5_workspace_search", M(SCORED + " SELECT id, round(ranking_score, 6) AS ranking_score FROM sc WHERE workspace_id = 'w0' AND deleted_at IS NULL AND expired_at IS NULL AND status = 'active' AND (agent_id IS NULL OR agent_id <> 'a1') ORDER BY sc.ranking_score DESC, id LIMIT 10"))
@@ -162,7 +162,7 @@ def near_pairs(s, d):
 
 @query("j17_link_candidates")
 def link_candidates(s, d):
-    p = search.near_pairs(mem(s, d).select("id", "embedding", "topic"), 0.25, "topic")
+    p = search.near_pairs(mem(s, d).select("id", "embedding", "user_id"), 0.25, "user_id")
     both = graph.both_ways(p, "a", "b")
     return search.top_k(both, 10, F.desc("similarity"), F.asc("dst"), by=("src",)).select("src", "dst", F.round("similarity", 6).alias("similarity"))
 
