@@ -232,7 +232,7 @@ def citations(s, d):
 
 @query("v20_default_embedding")
 def default_embedding(s, d):
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.embed(F.substring("text", 1, 400)).alias("embedding"))
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.embed(F.col("text")).alias("embedding"))
 
 
 @query("b2_overlay", M("SELECT id, CASE WHEN id % 10 = 0 THEN 'new ' || id ELSE content END AS content, CASE WHEN id % 10 = 0 THEN 0.5 ELSE importance END AS importance FROM memories"))

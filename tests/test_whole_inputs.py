@@ -4,8 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from memlake import plans, registry  # noqa: F401
+from memlake.functions import text as X
 from memlake.plans.core import mem
 
 SF = "/root/testdata/sf0.01"
@@ -38,3 +40,11 @@ def test_link_candidates_of_a_user(spark, rows):
         near = [j for j in np.nonzero((c[i] > 0.25) & (user == user[i]))[0] if j != i]
         want |= {(int(ids[i]), int(ids[j])) for j in sorted(near, key=lambda j: (-c[i, j], ids[j]))[:10]}
     assert {(r["src"], r["dst"]) for r in registry.QUERIES["j17_link_candidates"](spark, SF).collect()} == want
+
+
+def test_default_embedding_takes_the_whole_text(spark, tmp_path):
+    start = "same words " * 60
+    df = spark.createDataFrame([(1, start + "alpha"), (2, start + "omega " * 50)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["embedding"] for r in registry.QUERIES["v20_default_embedding"](spark, str(tmp_path)).collect()}
+    assert got[1] != got[2] and got == {r["doc_id"]: r["e"] for r in df.select("doc_id", X.embed(F.col("text")).alias("e")).collect()}
