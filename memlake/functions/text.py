@@ -21,6 +21,21 @@ INJECTIONS = (
     ("reveal_prompt", r"(?i)(reveal|show|print)\s+(your|the)\s+(system\s+)?prompt"),
     ("forget", r"(?i)forget\s+(everything|all\s+you)"),
     ("jailbreak", r"(?i)\b(jailbreak|developer\s+mode)\b"),
+    ("system_label", r"(?i)system\s*:\s*"),
+    ("llama_inst_tag", r"(?i)\[INST\]"),
+    ("llama_inst_close", r"(?i)\[/INST\]"),
+    ("llama_sys_tag", r"(?i)<<SYS>>"),
+    ("knowledge", r"(?i)Knowledge\s*:\s*"),
+    ("importance_override", r"(?i)IMPORTANT\s*:\s*override"),
+    ("new_instructions", r"(?i)new\s+instructions?\s*:"),
+    ("act_as", r"(?i)act\s+as\s+(if\s+)?you\s+are"),
+    ("pretend_to_be", r"(?i)pretend\s+(that\s+)?you('re|\s+are)"),
+    ("hide_instruction", r"(?i)do\s+not\s+mention\s+this"),
+    ("persistent_override", r"(?i)from\s+now\s+on\s*,?\s*you"),
+    ("cross_site_exfil", r"(?i)include\s+all\s+memories\s+from"),
+    ("cross_site_merge", r"(?i)merge\s+all\s+.*memories\s+across"),
+    ("behaviour_override", r"(?i)always\s+(agree|comply|say\s+(yes|there\s+are\s+no))"),
+    ("restriction_removal", r"(?i)never\s+(refuse|question|deny)"),
 )
 META = r"^(The user|User) (asked|requested|wants to know|is asking)"
 STOP = ("the", "and", "for", "with", "that", "this", "from", "was", "are", "have", "has", "not", "but", "you", "your", "they", "what", "when", "where", "who", "how")
