@@ -19,7 +19,8 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    """Each query ships the package first, so that Python workers import it wherever the driver was started."""
+    plain = {
         "op1_mixing": mixing.op1_mixing,
         "op2_license_scan": licenses.op2_license_scan,
         "op3_language_id": language_id.op3_language_id,
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": pii.op9_pii,
         "op10_media": media.op10_media,
     }
+    return {name: _shipped(f) for name, f in plain.items()}
 
 
 def oracle_sql() -> dict[str, str]:
