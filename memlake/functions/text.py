@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,10 @@ STOP = ("the", "and", "for", "with", "that", "this", "from", "was", "are", "have
 OPINION, WORLD = r"(?i)\b(think|believe|prefer|like|love|hate|feel)s?\b", r"(?i)\b(is a|are a|was founded|located in|capital of)\b"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once also where a lambda uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
 def normalised(form: str, text: Column) -> Column:
     """Unicode normal form, which Spark has no function for."""
@@ -76,9 +80,10 @@ def anomalies(text: Column) -> Column:
     # A word that is more than half of all is what pairwise cancelling leaves; counting it takes one more pass.
     start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"))
     step = lambda a, w: F.when(a["n"] == 0, F.struct(w.alias("w"), F.lit(1).alias("n"))).otherwise(F.struct(a["w"].alias("w"), F.when(a["w"] == w, a["n"] + 1).otherwise(a["n"] - 1).alias("n")))
-    top = F.aggregate(words, start, step)["w"]
-    most = F.size(F.filter(words, lambda w: w == top))
-    flags = [(n > 2000, "length"), (other / F.greatest(n, F.lit(1)) > 0.3, "non_ascii"), ((F.size(words) >= 10) & (most >= 5) & (most / F.size(words) > 0.5), "repetition")]
+    # Both are bound to lambda variables: as plain expressions they would be evaluated anew for every word.
+    count = lambda ws: _let(F.aggregate(ws, start, step)["w"], lambda top: F.struct(F.size(ws).alias("all"), F.size(F.filter(ws, lambda w: w == top)).alias("most")))
+    repeated = _let(_let(words, count), lambda c: (c["all"] >= 10) & (c["most"] >= 5) & (c["most"] / c["all"] > 0.5))
+    flags = [(n > 2000, "length"), (other / F.greatest(n, F.lit(1)) > 0.3, "non_ascii"), (repeated, "repetition")]
     return F.filter(F.array(*[F.when(c, F.lit(x)) for c, x in flags]), lambda x: x.isNotNull())
 
 

@@ -104,11 +104,11 @@ def injections(s, d):
     return table(s, d, "documents").select("doc_id", (found(t) | found(F.col("text"))).alias("flagged"))
 
 
-@query("f10_anomalies", "SELECT doc_id, length(text) > 2000 AS too_long, (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::DOUBLE / greatest(length(text), 1) > 0.3 AS foreign_text FROM documents WHERE text IS NOT NULL")
+@query("f10_anomalies", "SELECT doc_id, length(text) > 2000 AS too_long, (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')))::DOUBLE / greatest(length(text), 1) > 0.3 AS foreign_text, len(w) >= 10 AND most >= 5 AND most > 0.5 * len(w) AS repetition FROM (SELECT *, len(list_filter(w, lambda x: x = top)) AS most FROM (SELECT *, list_aggregate(w, 'mode') AS top FROM (SELECT *, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)))")
 def anomalies(s, d):
     a = X.anomalies(F.col("text"))
     rows = table(s, d, "documents").where("text IS NOT NULL").withColumn("a", a)
-    return rows.select("doc_id", F.array_contains("a", "length").alias("too_long"), F.array_contains("a", "non_ascii").alias("foreign_text"))
+    return rows.select("doc_id", F.array_contains("a", "length").alias("too_long"), F.array_contains("a", "non_ascii").alias("foreign_text"), F.array_contains("a", "repetition").alias("repetition"))
 
 
 @query("f11_trust_score", "SELECT doc_id, round(greatest(0.0, least(1.0, 1 - CASE WHEN source IN ('src1', 'src2') THEN 0 ELSE 0.2 END - least(0.3 * (doc_id % 4), 0.9) - 0.1 * (doc_id % 2))), 6)::DOUBLE AS trust FROM documents")
