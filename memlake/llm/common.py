@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 
@@ -45,9 +43,12 @@ class Scratch:
     """Tables an operator writes to the shared folder to cut lineage and to compute a thing once.
 
     A table is an ordinary committed Parquet folder, so it survives the loss of any executor.
-    drop() removes one as soon as nothing reads it; the rest goes when the driver ends.
+    The shuffle files of the step that wrote it go at once, as nothing else reads them.
+    drop() removes a table as soon as nothing reads it; the rest goes when the driver ends.
     """
 
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/memlake/{name}-{uuid.uuid4().hex}"
@@ -57,7 +58,13 @@ class Scratch:
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{label}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            # Planned anew under that setting; df itself may have been made before.
+            df.select("*").write.parquet(path)
+        finally:
+            self.spark.conf.unset(self.CLEAN) if before is None else self.spark.conf.set(self.CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._memlake_path = path
         return out
@@ -92,25 +99,50 @@ def blocks(array: Column) -> Column:
     return let(array, cut)
 
 
-#: Largest written table, in bytes of its files, that is broadcast; beyond it a join is a shuffled one.
-SMALL = 16 << 20
-
+#: Bits of a key filter.
+FILTER_BITS = 1 << 27
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its files are small enough."""
-    spark = table.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in table.inputFiles()]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return F.broadcast(table) if size <= SMALL else table
 
+def key_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose 64-bit key may be among the wanted ones: all that are, and some others.
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps before a large step starts."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works in a thread of its own
+    A bitmap over the keys' remainders, 16 MB at any size of the input, is broadcast; where it fills up
+    it merely lets more rows pass.  Callers join the result exactly.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("_p")).select(F.bitmap_bucket_number("_p").alias("_row"), F.bitmap_bit_position("_p").alias("_bit"))
+    bits = bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    keyed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_row"))
+    return keyed.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def apart_blocks(rows: DataFrame, group: str, item: str, scratch: Scratch, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """What to compare so that all items of a group meet that are in different components.
+
+    rows: (group, item, component, ...).  Components of half a block or more have blocks of their own,
+    which need not meet each other; all other components of a group share blocks.  Returns rows with
+    their block (big, only, part) and pairs of blocks (group, p, q), structs of the same, p = q for a
+    shared block with itself.  Blocks hold some ``size`` items, so a pair of them is bounded work; there
+    are as many pairs as unlinked items call for, none within one component.
+    """
+    parts = lambda n: F.ceil(F.col(n) / size).cast("long")
+    per = scratch.keep(rows.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n")), "per")
+    big = per.where(F.col("n") >= size // 2).select(group, "component", parts("n").alias("parts"))
+    shared = per.where(F.col("n") < size // 2).groupBy(group).agg(F.sum("n").alias("n")).select(group, parts("n").alias("shared"))
+    tagged = rows.join(big, [group, "component"], "left").join(shared, group, "left").withColumn("big", F.col("parts").isNotNull())
+    part = F.when(F.col("big"), F.pmod(F.xxhash64(item), F.col("parts"))).otherwise(F.pmod(F.xxhash64("component"), F.col("shared")))
+    tagged = tagged.select(*rows.columns, "big", F.when(F.col("big"), F.col("component")).otherwise(0).alias("only"), part.alias("part"))
+    block = lambda b, only, part: F.struct(F.lit(b).alias("big"), F.col(only).alias("only") if only else F.lit(0).cast("long").alias("only"), F.col(part).alias("part"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    each = shared.select(group, "shared", upto("shared").alias("i"))
+    within = each.select(group, "i", F.explode(F.sequence("i", F.col("shared") - 1)).alias("k")).select(group, block(False, None, "i").alias("p"), block(False, None, "k").alias("q"))
+    between = each.join(big, group).select(group, "i", "component", upto("parts").alias("k")).select(group, block(False, None, "i").alias("p"), block(True, "component", "k").alias("q"))
+    other = big.select(group, F.col("component").alias("other"), F.col("parts").alias("parts_o"))
+    large = big.join(other, group).where("component < other").select(group, "component", "other", "parts_o", upto("parts").alias("i"))
+    large = large.select(group, "component", "other", "i", upto("parts_o").alias("k")).select(group, block(True, "component", "i").alias("p"), block(True, "other", "k").alias("q"))
+    return tagged, within.union(between).union(large)
 
 
 _shipped: set[str] = set()

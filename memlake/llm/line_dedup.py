@@ -1,23 +1,26 @@
 """Fuzzy line dedup by MinHash (operator 7), in DataFrame operations only.
 
-Lines are sets of character 9-grams.  One-permutation MinHash keeps, of a line's n-gram hashes, the
-least in each of 16 bins; 16 bands of four bins each bring lines of similarity 0.8 together with a
-probability of some 98 % (of 0.9: 99.9 %); each line of a bucket is paired with the bucket's least;
-pairs are verified by exact Jaccard similarity on whole n-gram sets; links are joined into components
-by distributed union-find.  Then all lines of a bucket that are still in different components are
-compared with each other, so every pair that shares a bucket is decided; of each component the
-earliest line stays.
-
-Scale: equal lines are one from the first aggregate on, so a line in a third of all documents is one
-row; lines alike to their bucket's least cost one pair each.  Only the rest of a bucket is compared
-pairwise (quadratic in lines that share a bucket and aren't linked), in blocks of bounded size, so that
-a large bucket is dealt over many tasks.  Narrow rows (16 hashes or one band key for each distinct
-line) are shuffled; n-gram sets only for lines that have a pair.
-
-Defined results: a line's form is its text in lower case, runs of ASCII white
-space as one space, trimmed; lines of an empty form always stay; forms shorter than nine characters
-match only equal ones; a null text has no lines; order is by document id, then line number, a null id
-coming first; rows that repeat an id share their lines' fate; an empty table gives no rows.
+Lines are sets of character 9-grams.  Of a line's n-gram hashes, MinHash keeps the nearest to each of
+16 fixed points (the least of hash XOR point); 8 bands of three minima each bring lines of similarity
+0.8 together with a probability of 99 % (of 0.9: above 99.9 %).  Each line of a bucket is paired with
+the bucket's least; pairs are verified by exact Jaccard similarity on whole n-gram sets; links are
+joined into components by distributed union-find.  Then all lines of a bucket that are still in
+different components are compared with each other, so every pair that shares a bucket is decided; of
+each component the earliest line stays.
+
+Scale: n-grams are made and reduced to minima within generated code, one pass over the text, whose
+shuffle has 16 numbers for each distinct line of a task; so equal lines are one from there on, and a
+line in a third of all documents is one row.  Lines alike to their bucket's least cost one pair each.
+Only the rest of a bucket is compared pairwise (quadratic in lines that share a bucket and aren't
+linked), in blocks of bounded size, so that a large bucket is dealt over many tasks.  Texts are
+shuffled only for lines that have a pair, and as text: n-gram sets are made where they are compared.
+
+Defined results: a line's form is its text in lower case, runs of ASCII white space as one space,
+trimmed; characters are UTF-16 units; lines of an empty form always stay; forms shorter than nine
+characters match only equal ones; a null text has no lines; a line of any length is one line, its
+n-grams taken in blocks; order is by document id, then line number, a null id coming first; rows that
+repeat an id share their lines' fate; an empty table gives no rows; further columns are ignored, and
+passed through by ``drop_lines`` whatever their names.
 """
 
 from __future__ import annotations
@@ -27,28 +30,42 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import Scratch, components, documents, free_shuffles, let, small
+from memlake.llm.common import Scratch, apart_blocks, components, documents, key_filter, let
 
-K, BINS, BANDS, ROWS = 9, 16, 16, 4
+K, HASHES, BANDS, ROWS = 9, 16, 8, 3
 #: Lines of a bucket that are compared at once.
 BLOCK = 256
+#: Pairs with one line that are verified in one task.
+STAR = 1024
+#: N-grams of a line that are listed at once.
+GRAMS = 1 << 16
 #: Least similarity.
-SIMILAR = 0.8
+SIMILAR = 80  # percent
+
+
+def points() -> list[int]:
+    """Where minima are taken: one point in each sixteenth of the hashes."""
+    r = random.Random(7)
+    return [(j << 60 | r.getrandbits(60)) - (1 << 63) for j in range(HASHES)]
 
 
 def bands() -> list[tuple[int, ...]]:
-    """The bins of each band: a fixed choice in which every bin is used equally often."""
-    r, out = random.Random(5), []
+    """The minima of each band: a fixed choice in which they are used equally often."""
+    r, out, pool = random.Random(5), [], []
     while len(out) < BANDS:
-        bins = list(range(BINS))
-        r.shuffle(bins)
-        out += [tuple(sorted(bins[i : i + ROWS])) for i in range(0, BINS, ROWS)]
-    return out[:BANDS]
+        if len(pool) < ROWS:
+            pool += r.sample(range(HASHES), HASHES)
+        band = []
+        while len(band) < ROWS:
+            band.append(pool.pop(next(i for i, x in enumerate(pool) if x not in band)))
+        out.append(tuple(sorted(band)))
+    return out
 
 
 def form(line: Column) -> Column:
-    # Only runs that change are matched: single spaces are most of a line's white space.
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "))
+    # Most lines have single spaces only; for those no regular expression runs.
+    odd = F.greatest(*[line.contains(x) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,83 +78,88 @@ def _keys(form_: Column) -> list[Column]:
     return [F.xxhash64(form_).alias("l1"), F.xxhash64(form_, F.lit(1)).alias("l2")]
 
 
+def _wide(form_: Column) -> Column:
+    """A text with two bytes for each character."""
+    return F.encode(form_, "UTF-16BE")
+
+
+def _last(wide: Column) -> Column:
+    return (F.length(wide) / 2).cast("int") - K
+
+
 def gram(wide: Column, i: Column) -> Column:
-    """Hash of the n-gram at character i of a text as UTF-32, in which every character has four bytes."""
-    return F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * K)), F.lit(7))
+    """Hash of the n-gram at a place of a wide text."""
+    return F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * K)))
 
 
-def places(form_: Column) -> Column:
-    return F.sequence(F.lit(0), F.length(form_) - K)
+def minima(long: DataFrame) -> DataFrame:
+    """(l1, m0 ... m15) for lines that have an n-gram."""
+    # The wide text is a column below the explosions, so it is made once for a line.
+    wide = long.select(F.xxhash64("form").alias("l1"), _wide(F.col("form")).alias("wide"))
+    starts = wide.select("l1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")), F.lit(GRAMS))).alias("start"))
+    places = starts.select("l1", "wide", F.explode(F.sequence("start", F.least(F.col("start") + (GRAMS - 1), _last(F.col("wide"))))).alias("i"))
+    hashed = places.select("l1", gram(F.col("wide"), F.col("i")).alias("h"))
+    return hashed.groupBy("l1").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{j}") for j, p in enumerate(points())])
 
 
-def _alike(x: Column, y: Column) -> Column:
-    """Exact Jaccard similarity of two n-gram sets, SIMILAR at least; sets of too different sizes aren't intersected."""
-    common = F.size(F.array_intersect(x, y))
-    sizes = F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y))
-    return sizes & (common >= SIMILAR * (F.size(x) + F.size(y) - common))
+def gram_set(form_: Column) -> Column:
+    listed = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: gram(w, i)))
+    return let(_wide(form_), listed)
 
 
-def _sets(long: DataFrame, asked: DataFrame) -> DataFrame:
-    """(l1, s) for the lines asked for: their n-grams."""
-    forms = long.select(F.xxhash64("form").alias("l1"), "form").join(small(asked), "l1").groupBy("l1").agg(F.min("form").alias("form"))
-    return forms.select("l1", F.array_distinct(let(F.encode("form", "UTF-32"), lambda w: F.transform(places(F.col("form")), lambda i: gram(w, i)))).alias("s"))
+def _alike(x: str, y: str) -> Column:
+    """Exact Jaccard similarity of two n-gram sets, SIMILAR percent at least; sets of too different sizes aren't intersected."""
+    sizes = 100 * F.least(F.size(x), F.size(y)) >= SIMILAR * F.greatest(F.size(x), F.size(y))
+    return sizes & ((100 + SIMILAR) * F.size(F.array_intersect(x, y)) >= SIMILAR * (F.size(x) + F.size(y)))
 
 
 def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) pairs of line keys that are verified as similar; they connect all similar lines that share a bucket."""
-    spark = rows.sparkSession
     long = rows.where(F.length("form") >= K)
-    wide = F.encode("form", "UTF-32")
-    hashed = long.select(F.xxhash64("form").alias("l1"), wide.alias("wide"), F.explode(places(F.col("form"))).alias("i")).select("l1", gram(F.col("wide"), F.col("i")).alias("h"))
-    bin_ = F.col("h").bitwiseAND(BINS - 1)
-    least = hashed.groupBy("l1").agg(*[F.min(F.when(bin_ == j, F.col("h"))).alias(f"m{j}") for j in range(BINS)])
-    least = scratch.keep(least, "minhash")
-    free_shuffles(spark)
-
-    # A band of empty bins only says nothing; two lines that are short agree in their empty bins.
-    keys = [F.when(F.coalesce(*[F.col(f"m{j}") for j in bins]).isNotNull(), F.xxhash64(F.lit(i), *[F.coalesce(F.col(f"m{j}"), F.lit(j).cast("long")) for j in bins])) for i, bins in enumerate(bands())]
-    keyed = least.select("l1", F.array(*keys).alias("bands"))
-    banded = keyed.select("l1", "bands", F.explode("bands").alias("band")).where("band IS NOT NULL")
+    keys = [F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(bands())]
+    keyed = scratch.keep(minima(long).select("l1", F.array(*keys).alias("bands")), "bands")
+    banded = keyed.select("l1", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
-    shared = scratch.keep(shared, "shared")
-    free_shuffles(spark)
     # Every line of a bucket, with the bucket's least.
-    held = scratch.keep(banded.join(shared, "band"), "held")
-    free_shuffles(spark)
-    scratch.drop(least, shared)
+    held = scratch.keep(banded.join(scratch.keep(shared, "shared"), "band"), "held")
 
-    # Exact similarity with the bucket's least, on the n-gram sets of the lines that share a bucket.
+    # Exact similarity with the bucket's least, for so many lines of a bucket at once.
     pairs = scratch.keep(held.where("l1 <> low").select(F.col("l1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    asked = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct(), "asked")
-    sets = scratch.keep(_sets(long, asked), "sets")
-    free_shuffles(spark)
-    scratch.drop(asked)
-    with_a = pairs.join(sets, F.col("a") == F.col("l1")).select("a", "b", F.col("s").alias("x"))
-    both = with_a.join(sets, F.col("b") == F.col("l1")).select("a", "b", "x", F.col("s").alias("y"))
-    first = scratch.keep(both.where(_alike(F.col("x"), F.col("y"))).select("a", "b"), "stars")
-    free_shuffles(spark)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct()
+    forms = key_filter(long.select(F.xxhash64("form").alias("l1"), "form"), "l1", asked).groupBy("l1").agg(F.min("form").alias("form"))
+    forms = scratch.keep(forms, "forms")
+    centres = scratch.keep(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "centres")
+    # Texts are shuffled; sets are made after the shuffle.
+    x = pairs.join(centres, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).join(forms, F.col("a") == F.col("l1"))
+    x = x.repartition("b", "part").select("a", "b", "part", gram_set(F.col("form")).alias("x"))
+    y = centres.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(forms, F.col("b") == F.col("l1"))
+    y = y.repartition("b", "part").select("b", "part", gram_set(F.col("form")).alias("y"))
+    first = scratch.keep(x.join(y, ["b", "part"]).where(_alike("x", "y")).select("a", "b"), "stars")
 
     # Buckets that hold several components after that: their lines are compared across components.
     found = scratch.keep(components(first, scratch).distinct(), "found")
-    rest = held.join(found, F.col("l1") == F.col("node"), "left").select("band", "l1", "bands", F.coalesce("component", "l1").alias("component"))
+    rest = held.join(found, F.col("l1") == F.col("node"), "left").select("band", "l1", F.coalesce("component", "l1").alias("component"))
     rest = scratch.keep(rest, "rest")
     mixed = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     # A bucket of two lines was decided with its least.
-    mixed = scratch.keep(mixed.where("low < high AND n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "mixed")
-    rest_ = rest.join(mixed, "band").withColumn("part", F.pmod(F.xxhash64("l1"), F.col("parts")).cast("int"))
-    rest_ = rest_.join(sets, "l1").select("band", "part", "parts", "l1", "bands", "component", "s")
-    rest_ = scratch.keep(rest_, "blocks")
-    free_shuffles(spark)
-    scratch.drop(held, rest, pairs)
-    # Each pair of parts (p <= q) is one key; a line is on the left of its part's pairs, and on the right.
-    left = rest_.select("band", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), *[F.col(c).alias(f"{c}_a") for c in ("l1", "bands", "component", "s")])
-    right = rest_.select("band", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), *[F.col(c).alias(f"{c}_b") for c in ("l1", "bands", "component", "s")])
+    mixed = scratch.keep(rest.join(mixed.where("low < high AND n > 2").select("band"), "band"), "mixed")
+    tagged, blocks = apart_blocks(mixed, "band", "l1", scratch, BLOCK)
+    tagged = scratch.keep(tagged, "tagged")
+    tagged = scratch.keep(tagged.join(keyed, "l1").join(forms, "l1").select("band", "big", "only", "part", "l1", "bands", "component", "form"), "blocks")
+    blocks = scratch.keep(blocks, "pairs")
+    scratch.drop(held, rest, mixed)
+
+    def side(block: str, x: str) -> DataFrame:
+        wanted = blocks.select("band", "p", "q", *[F.col(f"{block}.{c}").alias(c) for c in ("big", "only", "part")])
+        rows = wanted.join(tagged, ["band", "big", "only", "part"]).select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("l1", "bands", "component", "form")])
+        return rows.repartition("band", "p", "q").withColumn(f"s_{x}", gram_set(F.col(f"form_{x}"))).drop(f"form_{x}")
+
     # Pairs that share several buckets are compared in the first of them.
-    same = F.filter(F.zip_with("bands_a", "bands_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("p") < F.col("q")) | (F.col("l1_a") < F.col("l1_b")))
-    second = left.join(right, ["band", "p", "q"]).where(apart & (F.element_at(same, 1) == F.col("band")) & _alike(F.col("s_a"), F.col("s_b")))
+    same = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("p") != F.col("q")) | (F.col("l1_a") < F.col("l1_b"))) & (same == F.col("band"))
+    second = side("p", "a").join(side("q", "b"), ["band", "p", "q"]).where(apart & _alike("s_a", "s_b"))
     second = scratch.keep(second.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")), "rest-links")
-    scratch.drop(sets, rest_)
+    scratch.drop(tagged, blocks, forms, keyed)
     return first.union(second)
 
 
@@ -164,10 +186,10 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that stay as their text."""
-    gone = decide(docs, id_col, text_col).where("NOT kept").groupBy("id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("id", "_id")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left")
-    stay = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stay)
+    gone = decide(docs, id_col, text_col).where("NOT kept").groupBy("id").agg(F.collect_set("line").alias("gone"))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left")
+    stay = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(gone["gone"], i)), "\n")
+    text = F.when(gone["gone"].isNull(), docs[text_col]).otherwise(stay)
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 

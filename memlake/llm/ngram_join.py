@@ -1,28 +1,36 @@
 """N-gram Jaccard self-join by a token-group matrix (operator 8).
 
-Documents are sets of word 4-grams; two link if their Jaccard similarity is 0.85 or more, and the
-result is each document's component.  Exact at every size, in four steps:
-
-1. Groups of similar documents.  Let two sets of at most s elements link: they differ in at most d =
-   0.15 / 1.85 * 2s elements.  Cut the space of n-gram hashes into K > d ranges: some range then holds the
-   same elements of both.  So the signature (range, its elements) of some non-empty range is equal,
-   and documents chained by equal signatures form the groups; no link crosses them.  (Sets so spread
-   that K - d or more ranges are empty also sign their empty ranges.)  Sizes are handled in classes.
-2. The token-group matrix: for each group the n-grams of its members, with the number of members
-   that have them.  A document's overlap with the rest of its group is the number of its n-grams that
-   another member has; a document with an overlap below 0.85 of its size links with no one.
+Documents are sets of word n-grams; two link if their Jaccard similarity is ``percent`` or more, and
+the result is each document's component.  Exact at every size, in four steps:
+
+1. Groups of similar documents.  Let two sets of at most s elements link: they differ in at most d
+   elements (at 85 percent d = 0.15 / 1.85 * 2s).  Cut the space of n-gram hashes into K > d ranges: at
+   least K - d ranges then hold the same elements of both.  So the signature (range, its elements) of
+   some non-empty range is equal, and documents chained by equal signatures form the groups; no link
+   crosses them.  (Sets so spread that K - d or more ranges are empty also sign their empty ranges.)
+   Sizes are handled in classes.  As a set shares K - d signatures with each of its partners, it can
+   do without the K - d - 1 (less its empty ranges) that most sets have: the rarest signature of a
+   linked pair is never among them.  So a passage in a third of all documents chains no strangers.
+2. The token-group matrix: for each group the union of its members' n-grams, and for an n-gram of one
+   member only, that member.  A document's overlap with the rest of its group is the number of its
+   n-grams that another member has; a document with an overlap below the threshold's share of its size
+   links with no one.  Of the others the groups are formed anew.
 3. Only groups with two documents left are opened.  Members are compared in blocks of bounded size,
    each with a few pivots of the group, by one matrix product; a block emits a spanning forest of
    its links, so results are linear in members.
-4. Blocks that a step-3 component fills need no comparison with each other; all other pairs of blocks
-   of a group are compared in the same way.
+4. Blocks within a component that step 3 found need no comparison with each other; all other pairs of
+   blocks of a group are compared in the same way.
 
-Documents with equal sets are one member from the start, so copies cost nothing.  Texts are read
-where they lie; only the texts of members are joined, by id.
+Documents with equal sets are one member from the start, so copies cost nothing.  Signatures are
+shuffled once; steps 2 to 4 move ids and sizes, and a set only to the block that it is compared in.
+Small and large inputs run the same plan.
 
 Defined results: a null text, or one without words, has the empty set and is a component of its own;
-fewer than four words are one n-gram; a null id takes no part in links and keeps a null component;
-repeated rows are copies; an empty table gives no rows; further columns are ignored.
+fewer than n words are one n-gram; texts of any length are taken whole; a null id takes no part in
+links and keeps a null component; repeated rows are copies; of rows that repeat an id with different
+texts each takes part under that id; among links of equal similarity none is preferred, all count; an
+empty table gives no rows; further columns are ignored, and passed through by ``keep_one`` whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,16 +40,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import Scratch, components, documents, free_shuffles, small
+from memlake.llm.common import BLOCK, Scratch, apart_blocks, components, documents, key_filter
 
-N = 4
+N = 5
 #: Least similarity, as percent: 100 * intersection >= PERCENT * union.
-PERCENT = 85
-BLOCK, PIVOTS = 256, 8
+PERCENT = 80
+PIVOTS = 8
 #: Words whose hashes a worker remembers before it starts anew.
 WORDS = 150_000
 
@@ -103,18 +111,22 @@ class Classes:
             self._grow()
         top = self.bounds[c + 1] - 1
         d = (100 - self.percent) * 2 * top // (100 + self.percent)
-        return d, d + 1 + (1 + d // 25 if d > 2 else 0)
+        return d, d + 1 + (1 + d // 16 if d > 2 else 0)
 
 
 _classes: dict[int, Classes] = {}
 
 
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The set's signatures in its own class and, as the smaller set of a pair, in the next."""
+def signatures(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, tuple[int, int]]:
+    """The set's signatures in its own class and, as the smaller set of a pair, in the next; and how many it can do without.
+
+    A signature's last bit is that of its class; the two numbers are those of the even and of the odd class.
+    """
     classes = _classes.setdefault(percent, Classes(percent))
     n = len(s)
+    spare = [0, 0]
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), (0, 0)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s + _GOLD))])
     out = []
     own = classes.of(n)
@@ -129,8 +141,11 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         full = at[1:] > at[:-1]
         where = np.arange(k, dtype=np.uint64) + np.uint64(c << 40)
         sig = _mix(_mix(content + _GOLD) ^ _mix(where + _GOLD))
-        out.append(sig if int((~full).sum()) >= k - d else sig[full])
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        sig = sig & ~np.uint64(1) | np.uint64(c & 1)
+        empty = int((~full).sum())
+        out.append(sig if empty >= k - d else sig[full])
+        spare[c & 1] = max(0, k - d - 1 - (0 if empty >= k - d else empty))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64), (spare[0], spare[1])
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -141,36 +156,35 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(d >> 64).astype(np.int64)), int(np.uint64(d & (1 << 64) - 1).astype(np.int64))
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(id, n, k1, k2, sigs) for every row."""
+def describe(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """(id, n, k1, k2, even, odd, sigs) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 500):
-                n, k1, k2, sigs = [], [], [], []
+                rows, sigs = [], []
                 for text in b.column(1).slice(a, 500):
-                    s = shingle_hashes(text.as_py())
-                    n.append(len(s))
-                    x, y = _keys(s)
-                    k1.append(x)
-                    k2.append(y)
-                    sigs.append(signatures(s, percent))
+                    s = shingle_hashes(text.as_py(), n)
+                    sig, spare = signatures(s, percent)
+                    rows.append((len(s), *_keys(s), *spare))
+                    sigs.append(sig)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 values = pa.array(np.concatenate(sigs), pa.int64())
-                ids = b.column(0).slice(a, 500).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "n", "k1", "k2", "sigs"])
+                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, 500), *columns, pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "n", "k1", "k2", "even", "odd", "sigs"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, k1 long, k2 long, sigs array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, even long, odd long, sigs array<long>")
 
 
-def shingle_sets(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+def shingle_sets(docs: DataFrame, columns: list[str], text_col: str, n: int = N) -> DataFrame:
     """columns and ``set array<long>`` for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 200):
                 part = b.slice(a, 200)
-                sets = [shingle_hashes(t.as_py()).view(np.int64) for t in part.column(len(columns))]
+                sets = [shingle_hashes(t.as_py(), n).view(np.int64) for t in part.column(len(columns))]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*columns, "set"])
@@ -232,91 +246,94 @@ def _links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.select(*keys, "rep", "set").groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def _blocks(n: str) -> Column:
-    return F.ceil(F.col(n) / BLOCK).cast("long")
+def _groups(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, grp): what equal signatures chain together; shared: (k1, sig)."""
+    low = scratch.keep(shared.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig", "low"), "low")
+    chained = scratch.keep(shared.join(low, "sig").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")).distinct(), "chained")
+    groups = scratch.keep(components(chained, scratch).distinct().select(F.col("node").alias("k1"), F.col("component").alias("grp")), "groups")
+    scratch.drop(low, chained)
+    return groups
+
+
+def similar_groups(described: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, sig) of signatures that different sets share, without those that a set can do without."""
+    # Of equal sets one row signs; further rows that the filter lets through are equal to it.
+    rows = key_filter(described.select("id", "k1", "even", "odd", "sigs"), "id", classes.select(F.col("rep").alias("id")))
+    signed = rows.select("k1", "even", "odd", F.explode("sigs").alias("sig"))
+    counted = signed.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("df"))
+    counted = scratch.keep(counted.where("low < high").select("sig", "df"), "counted")
+    shared = key_filter(signed, "sig", counted).join(counted, "sig").distinct()
+    common_first = F.row_number().over(Window.partitionBy("k1", F.col("sig").bitwiseAND(1)).orderBy(F.desc("df"), "sig"))
+    spare = F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))
+    shared = scratch.keep(shared.select("k1", "sig", (common_first > spare).alias("needed")).where("needed").select("k1", "sig"), "shared")
+    scratch.drop(counted)
+    return shared
+
+
+def _opened(blocks: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    return _links(blocks.join(sets.select("rep", "set"), "rep"), keys, percent)
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
-    all_docs = scratch.keep(describe(docs, id_col, text_col, percent), "docs")
-    free_shuffles(spark)
-    classes = all_docs.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    classes = scratch.keep(classes, "classes")
-
-    # 1. Groups: signatures that different sets share, then what they chain together.
-    signed = all_docs.select("k1", F.explode("sigs").alias("sig"))
-    shared = scratch.keep(signed.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("sig", "low"), "shared")
-    free_shuffles(spark)
-    chained = signed.join(shared, "sig").where("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")).distinct()
-    chained = scratch.keep(chained, "chained")
-    free_shuffles(spark)
-    groups = scratch.keep(components(chained, scratch).select(F.col("node").alias("k1"), F.col("component").alias("grp")), "groups")
-    scratch.drop(shared, chained)
-
-    # 2. The token-group matrix and each member's overlap with the rest of its group.
-    members = classes.where("rep IS NOT NULL").join(groups, "k1").select("rep", "grp")
-    members = scratch.keep(members, "members")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(members), F.col("_id") == F.col("rep"))
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    described = scratch.keep(describe(docs, id_col, text_col, n, percent), "described")
+    all_docs = scratch.keep(described.select("id", "n", "k1", "k2"), "docs")
+    classes = scratch.keep(all_docs.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
+
+    # 1. Groups.
+    shared = similar_groups(described, classes.where("rep IS NOT NULL"), scratch)
+    scratch.drop(described)
+    groups = _groups(shared, scratch)
+
+    # 2. The token-group matrix, and each member's overlap with the rest of its group.
+    members = scratch.keep(classes.where("rep IS NOT NULL").join(groups, "k1").select("k1", "rep", "grp"), "members")
+    texts = key_filter(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")), "rep", members.select("rep"))
     # Rows that repeat an id: any of them that has the set will do, so a set is kept for each of them.
-    sets = scratch.keep(shingle_sets(texts.select("rep", "grp", "_text"), ["rep", "grp"], "_text"), "sets")
-    cells = sets.select("grp", "rep", F.explode("set").alias("token"))
-    matrix = cells.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    matrix = scratch.keep(matrix.select("grp", "token"), "matrix")
-    overlap = cells.join(matrix, ["grp", "token"]).groupBy("rep").agg(F.count(F.lit(1)).alias("overlap"))
-    overlap = scratch.keep(overlap, "overlap")
-    free_shuffles(spark)
-    open_ = sets.join(overlap, "rep").where(100 * F.col("overlap") >= percent * F.size("set"))
+    sets = scratch.keep(shingle_sets(texts.join(members, "rep").select("rep", "grp", "text"), ["rep", "grp"], "text", n), "sets")
+    matrix = sets.select("grp", "rep", F.explode("set").alias("token")).groupBy("grp", "token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    matrix = scratch.keep(matrix.select("grp", "token", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only")), "matrix")
+    alone = matrix.where("only IS NOT NULL").groupBy(F.col("only").alias("rep")).agg(F.count(F.lit(1)).alias("alone"))
+    size = sets.select("rep", F.size("set").cast("long").alias("n")).groupBy("rep").agg(F.max("n").alias("n"))
+    size = size.join(alone, "rep", "left").withColumn("overlap", F.col("n") - F.coalesce("alone", F.lit(0)))
+    left = scratch.keep(members.join(size.where(100 * F.col("overlap") >= percent * F.col("n")), "rep").select("k1", "rep", "overlap"), "left")
+    scratch.drop(matrix)
+    groups = _groups(shared.join(left.select("k1"), "k1", "left_semi"), scratch)
+    scratch.drop(shared)
 
     # 3. Open the groups that qualify, in blocks with pivots.
-    sized = open_.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = scratch.keep(sized, "sized")
-    open_ = scratch.keep(open_.join(sized, "grp"), "open")
-    part = F.pmod(F.xxhash64("rep"), _blocks("size"))
-    blocks = open_.select("grp", "size", part.alias("block"), "rep", "set")
+    open_ = left.join(groups, "k1").select("grp", "rep", "overlap")
+    open_ = scratch.keep(open_.join(open_.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "grp"), "open")
+    count = F.ceil(F.col("size") / BLOCK).cast("long")
+    blocks = open_.select("grp", F.pmod(F.xxhash64("rep"), count).alias("block"), "rep")
     large = open_.where(F.col("size") > BLOCK)
-    pivots = large.groupBy("grp", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.max_by(F.struct("rep", "set"), F.struct("overlap", "rep")).alias("x"), F.first("size").alias("size"))
-    pivots = pivots.select("grp", "size", F.explode(F.sequence(F.lit(0).cast("long"), _blocks("size") - 1)).alias("block"), "x.rep", "x.set")
-    first = scratch.keep(_links(blocks.union(pivots), ["grp", "block"], percent), "links")
+    pivots = large.groupBy("grp", F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(PIVOTS)).alias("p")).agg(F.max_by("rep", F.struct("overlap", "rep")).alias("rep"), F.first("size").alias("size"))
+    pivots = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"), "rep")
+    first = scratch.keep(_opened(blocks.union(pivots).distinct(), sets, ["grp", "block"], percent), "links")
 
     # 4. Pairs of blocks of large groups, but for pairs within one component.
-    found = scratch.keep(components(first, scratch), "found")
-    rest = large.select("grp", "rep", "set").join(found, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    found = scratch.keep(components(first, scratch).distinct(), "found")
+    rest = large.select("grp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("component"))
     rest = scratch.keep(rest, "rest")
-    per = rest.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
-    whole = F.col("n") >= BLOCK // 2
-    minor = per.where(~whole).groupBy("grp").agg(F.sum("n").alias("n_small"))
-    kind = rest.join(per, ["grp", "component"]).join(minor, "grp", "left")
-    kind = kind.select("grp", "rep", "set", F.when(whole, F.col("component")).alias("only"), F.when(whole, F.pmod(F.xxhash64("rep"), _blocks("n"))).otherwise(F.pmod(F.xxhash64("component"), _blocks("n_small"))).alias("part"))
-    kind = scratch.keep(kind, "kind")
-    names = kind.select("grp", "only", "part").distinct()
-    x, y = names.alias("x"), names.alias("y")
-    order = lambda t: F.struct(F.col(f"{t}.only"), F.col(f"{t}.part"))
-    needed = (F.col("x.only").isNull() & (order("x") == order("y"))) | (order("x") < order("y"))
-    pairs = x.join(y, F.col("x.grp") == F.col("y.grp")).where(needed & ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False)))
-    pairs = pairs.select(F.col("x.grp").alias("grp"), order("x").alias("p"), order("y").alias("q"))
-    pairs = scratch.keep(pairs, "pairs")
-    sides = pairs.select("*", F.explode(F.array_distinct(F.array("p", "q"))).alias("side"))
-    sides = sides.select("grp", "p", "q", F.col("side.only").alias("only"), F.col("side.part").alias("part"))
-    on = (sides["grp"] == kind["grp"]) & sides["only"].eqNullSafe(kind["only"]) & (sides["part"] == kind["part"])
-    opened = sides.join(kind, on).select(sides["grp"], "p", "q", "rep", "set")
-    second = _links(opened.withColumn("pair", F.xxhash64("grp", "p", "q")), ["grp", "pair"], percent)
+    tagged, pairs = apart_blocks(rest, "grp", "rep", scratch, BLOCK)
+    sides = pairs.select("grp", F.xxhash64("grp", "p", "q").alias("pair"), F.explode(F.array_distinct(F.array("p", "q"))).alias("side")).select("grp", "pair", "side.*")
+    second = _opened(sides.join(tagged, ["grp", "big", "only", "part"]).select("pair", "rep"), sets, ["pair"], percent)
     links = scratch.keep(first.union(second), "links")
     linked = scratch.keep(components(links, scratch).distinct(), "linked")
+    scratch.drop(sets)
 
     reps = scratch.keep(classes.join(linked, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), "reps")
-    out = all_docs.drop("sigs").join(reps, ["k1", "k2"], "left")
+    out = all_docs.join(reps, ["k1", "k2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One document of each component, that of the smallest id, with the input's columns."""
-    found = ngram_components(docs, id_col, text_col)
+    found = ngram_components(docs, id_col, text_col, n, percent)
     go = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
     return docs.join(go, id_col, "left_anti").select(*docs.columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ngram_components(documents(spark, sf_dir))
+    out = ngram_components(documents(spark, sf_dir), n=4, percent=85)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
