@@ -1,13 +1,19 @@
 """Exact dedup against a persistent digest index (operator 6), in DataFrame operations only.
 
 The index is a table bucketed and sorted by digest.  A batch of documents is reduced to digests, its
-distinct digests are sort-merge anti-joined with the index, and those that are new are appended.
-
-Defined results: a null text counts as empty; texts are equal when identical after each run of ASCII
-white space became one space; of equal texts the row with the smallest id stays (a null id comes
-last); rows that repeat an id and its text are one document and all report the same decision; an
-empty batch gives no rows and leaves the index as it was; further columns are ignored by the index
-and passed through by ``drop_copies``.
+distinct digests are sort-merge anti-joined with the index, and those that are new are appended under
+the batch's name.  A whole table goes through the index in a few batches in the order of its ids.
+
+Recovery: the caller names a batch.  A batch that is added again, after a crash at any point, is held
+against the other batches only and appends what its first run didn't, so it gets the same decisions.
+Each append adds a file to every bucket; ``compact`` rewrites the index with one sorted file a bucket.
+
+Defined results: a null text counts as empty; texts of any length are hashed whole; texts are equal
+when identical after each run of ASCII white space became one space; of equal texts the row with the
+smallest id stays (a null id comes last), if batches come in the order of ids, else that of the
+earlier batch; rows that repeat an id and its text are one document and all report the same decision;
+an empty batch gives no rows and leaves the index as it was; further columns are ignored by the index
+and passed through by ``drop_copies`` whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import WS, Scratch, documents
 
+SCHEMA = "digest binary, keep_id {id}, batch string"
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS + "+", " ")
@@ -36,48 +44,68 @@ class DigestIndex:
     index sorts in an executor's memory (1 TB of digests: some 16,000).
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64, id_type: str = "bigint"):
         self.spark, self.name, self.buckets = spark, name, buckets
-
-    def _known(self) -> DataFrame | None:
-        return self.spark.table(self.name) if self.spark.catalog.tableExists(self.name) else None
-
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Decide on a batch and append its new digests.
+        self._fresh = f"{name}_compacted"
+        exists = spark.catalog.tableExists
+        if not exists(name) and exists(self._fresh):  # a compaction that ended between its last two steps
+            spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {name}")
+        if not exists(name):
+            self._write(spark.createDataFrame([], SCHEMA.format(id=id_type)), name, "append")
+
+    def _write(self, rows: DataFrame, name: str, mode: str) -> None:
+        rows.repartition(self.buckets, "digest").write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+
+    def known(self) -> DataFrame:
+        return self.spark.table(self.name).hint("merge")
+
+    def append(self, seen: DataFrame, batch: str) -> None:
+        """Add the digests of (id, digest) rows that the index doesn't know from other batches."""
+        first = seen.groupBy("digest").agg(F.min("id").alias("keep_id")).withColumn("batch", F.lit(batch))
+        self._write(first.join(self.known().select("digest"), "digest", "left_anti"), self.name, "append")
+
+    def decide(self, seen: DataFrame, batches: list[str], scratch: Scratch) -> DataFrame:
+        """(id, digest, keep_id, group_size, kept) for (id, digest) rows of these batches."""
+        groups = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        # One row for each text, written out so that both sides of the next join are plain exchanges:
+        # Spark can then split a text that a third of all rows share.
+        verdict = groups.join(self.known(), "digest").select("digest", "keep_id", "group_size", F.col("batch").isin(batches).alias("fresh"))
+        out = seen.join(scratch.keep(verdict, "verdict"), "digest")
+        return out.select("id", "digest", "keep_id", "group_size", (F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"))
+
+    def add(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text", parts: int = 1) -> DataFrame:
+        """Decide on a batch and append its new digests, in parts by order of id.
 
         Returns (id, digest, keep_id, group_size, kept) for each row of the batch; keep_id is the id
         that the index holds for the text, group_size counts the batch's rows with it.
         """
         scratch = Scratch(self.spark, "exact-dedup")
-        batch = uuid.uuid4().hex
         seen = scratch.keep(docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest")), "seen")
-        groups = seen.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-        known = self._known()
-        fresh = groups if known is None else groups.join(known.hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .saveAsTable(self.name)
-        )
-        # One row for each text of the batch, written out so that both sides of the next join are plain
-        # exchanges: Spark can then split a text that a third of all rows share.
-        verdict = scratch.keep(
-            groups.join(self.spark.table(self.name).hint("merge"), "digest").select(
-                "digest", "keep_id", "group_size", (F.col("batch") == batch).alias("fresh")
-            ),
-            "verdict",
-        )
-        return seen.join(verdict, "digest").select(
-            "id", "digest", "keep_id", "group_size", (F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept")
-        )
+        names = [f"{batch}/{i}" for i in range(parts)]
+        share = [i / parts for i in range(1, parts)]
+        cuts = [*(seen.agg(F.percentile_approx("id", share)).first()[0] or []), None] if share else [None]
+        low = None
+        for name, cut in zip(names, cuts, strict=False):
+            above = F.lit(True) if low is None else F.coalesce(F.col("id") > low, F.lit(True))
+            self.append(seen.where(above if cut is None else above & (F.col("id") <= cut)), name)
+            low = cut
+        return self.decide(seen, names, scratch)
+
+    def compact(self) -> None:
+        """Rewrite the index with one sorted file for each bucket; safe to repeat after a crash."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._fresh}")
+        self._write(self.spark.table(self.name), self._fresh, "append")
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {self.name}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+#: Parts in which a whole table goes through a new index.
+PARTS = 3
+
+
 def temporary_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     """An index of its own for a one-off run; dropped when the driver ends."""
     index = DigestIndex(spark, f"memlake_digests_{uuid.uuid4().hex}", buckets)
@@ -93,16 +121,17 @@ def temporary_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     return index
 
 
-def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_copies(docs: DataFrame, index: DigestIndex, batch: str = "all", id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """The documents that stay, with the input's columns; of rows repeating id and text, one."""
-    stay = index.add(docs, id_col, text_col).where("kept").select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_digest", digest(F.col(text_col)))
-    key = marked[id_col].eqNullSafe(stay["_id"]) & (marked["_digest"] == stay["_digest"])
-    return marked.join(stay, key, "left_semi").dropDuplicates([id_col, "_digest"]).select(*docs.columns)
+    stay = index.add(docs, batch, id_col, text_col, parts).where("kept").select("id", "digest").distinct()
+    # The operator's own columns are in structs, so no name of the input can clash with them.
+    mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(docs[id_col].alias("id"), digest(docs[text_col]).alias("digest")).alias("key"))
+    once = mine.join(stay, mine["key.id"].eqNullSafe(stay["id"]) & (mine["key.digest"] == stay["digest"]), "left_semi").dropDuplicates(["key"])
+    return once.select("row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = temporary_index(spark).add(documents(spark, sf_dir))
+    decided = temporary_index(spark).add(documents(spark, sf_dir), "documents", parts=PARTS)
     return decided.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )

@@ -3,20 +3,21 @@
 HTML is parsed into an ordered sequence of text and media-reference structs; a reference names its
 payload by digest; a join on the digest resolves payloads (or any columns about them), while
 positions and captions stay with the sequence.  Payloads are stored losslessly as 8-bit samples in
-WAV containers, a media column of the table of payloads.
+WAV containers, the media column of a written table; what is known about them is read back from it.
 
-Scale: sequences and references are narrow; a join asks only for the media columns it returns, so
-payload bytes move only if asked for.  A digest that a third of all rows refer to is one row of the
-payload table and may be split by Spark on the side of the references.
+Scale: of equal payloads one is stored.  Sequences and references are narrow; a join asks only for the
+media columns it returns, so payload bytes move only if asked for.  A digest that a third of all rows
+refer to is one row of the payload table and may be split by Spark on the side of the references.
 
-Defined results: a null text or page is empty; equal payloads are one row of the payload table; a
-reference to an unknown digest keeps its place with null media columns; an empty table gives no rows.
+Defined results: a null text or page is empty; texts of any length are stored whole; equal payloads
+have equal rows of the payload table, of which readers take one; a reference to an unknown digest
+keeps its place with a null media struct; repeated rows have a sequence each; an empty table gives no
+rows; further columns are ignored, and those of a media table stay inside its struct, so no names clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import html
 import io
 import wave
 import zlib
@@ -27,8 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from memlake.llm.common import Scratch, documents
+from memlake.llm.common import Scratch, documents, key_filter
 
 BLOCK = 64
 RATE = 8000
@@ -123,12 +126,12 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """One row for each element of each sequence, in ``position`` order, with the columns of ``media``
-    (unique by ``digest``) for references it holds; other elements have nulls there."""
+    """One row for each element of each sequence, in ``position`` order, with the row of ``media`` (unique by
+    ``digest``) as a struct for references it holds; other elements have null there."""
     items = sequences.select("id", F.explode("sequence").alias("e")).select("id", "e.*")
     by_digest = F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64))
-    items = items.withColumn("ref_digest", by_digest)
-    return items.join(media, items["ref_digest"] == media["digest"], "left").drop("digest")
+    table = media.select(F.col("digest").alias("_digest"), F.struct(*[media[c] for c in media.columns]).alias("media"))
+    return items.join(table, by_digest == F.col("_digest"), "left").drop("_digest")
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -161,28 +164,46 @@ def features(samples: bytes) -> str:
     return f"n={n};mean_milli={int(x.sum()) * 1000 // n};square={int((x * x).sum()) // n};crossings={crossings}"
 
 
-_MEDIA = [("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("media", pa.binary())]
-
-
-def payloads(docs: DataFrame, text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """The payload of each text: stored, read back and described; keyed by the stored payload's digest."""
-    names = _MEDIA if keep_media else _MEDIA[:-1]
+def _per_row(df: DataFrame, make, schema: str, names: list[str]) -> DataFrame:
+    """Rows made from the values of each row, a few at a time, as payloads may be large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 64):
-                rows = []
-                for text in b.column(0).slice(a, 64).to_pylist():
-                    payload, n = padded(text)
-                    stored = store(payload)
-                    back = read_back(stored)
-                    sha = hashlib.sha256(back).hexdigest()
-                    rows.append((digest_of(payload, n), n, len(back), sha, zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), features(back), stored)[: len(names)])
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, names, strict=True)], names=[x for x, _ in names])
+                rows = [make(*r) for r in zip(*[c.to_pylist() for c in b.slice(a, 64).columns], strict=True)]
+                yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}, schema=types)
+
+    types = to_arrow_schema(T._parse_datatype_string(schema))
+    return df.mapInArrow(run, schema)
+
+
+def stored(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest, n_bytes, media): the payload of each text in its stored form, keyed by the text's digest."""
+
+    def make(text: str | None) -> tuple:
+        payload, n = padded(text)
+        return digest_of(payload, n), n, store(payload)
+
+    return _per_row(docs.select(text_col), make, "digest string, n_bytes long, media binary", ["digest", "n_bytes", "media"])
 
-    kinds = {pa.string(): "string", pa.int64(): "long", pa.binary(): "binary"}
-    return docs.select(text_col).mapInArrow(run, ", ".join(f"{x} {kinds[t]}" for x, t in names))
+
+def described(table: DataFrame) -> DataFrame:
+    """(digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) from the stored bytes."""
+
+    def make(digest: str, n: int, media: bytes) -> tuple:
+        back = read_back(media)
+        return digest, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(back)
+
+    names = ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = ["string", "long", "long", "string", "long", "long", "string", "string"]
+    return _per_row(table.select("digest", "n_bytes", "media"), make, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)), names)
+
+
+def one_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows that hold every text of the table, nearly all of them once."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    first = rows.groupBy(F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")).agg(F.min("id").alias("id"))
+    return key_filter(rows, "id", first.select("id"))
 
 
 def digest_of(payload: bytes, n: int) -> str:
@@ -191,25 +212,25 @@ def digest_of(payload: bytes, n: int) -> str:
 
 
 def as_page(doc_text: Column) -> Column:
-    """A page that refers to a text's payload, captioned with its size."""
-    data = F.coalesce(doc_text, F.lit("")).cast("binary")
-    return F.concat(
-        F.lit('<article><figure><img src="' + SCHEME), F.sha2(data, 256), F.lit('"><figcaption>'), F.length(data).cast("string"), F.lit(" bytes</figcaption></figure></article>"),
-    )
-
-
-def text_page(text: str) -> str:
-    """A page with a text as its one paragraph."""
-    return f"<p>{html.escape(text)}</p>"
+    """A page of a text: its lines as paragraphs, and after the first a figure with its payload, captioned with its size."""
+    text = F.coalesce(doc_text, F.lit(""))
+    data = text.cast("binary")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    figure = [F.lit('<figure><img src="' + SCHEME), F.sha2(data, 256), F.lit('"><figcaption>'), F.length(data).cast("string"), F.lit(" bytes</figcaption></figure>")]
+    first, rest = F.substring_index(text, "\n", 1), F.replace(text, F.lit("\n"), F.lit("</p><p>"))
+    after = F.substring(rest, F.length(first) + len("</p><p>") + 1, F.length(rest))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), *figure, F.lit("<p>"), after, F.lit("</p></article>"))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also position: of the payload in its document's sequence; n_items: elements of the sequence; caption."""
     docs = documents(spark, sf_dir)
-    pages = docs.select("doc_id", as_page(F.col("text")).alias("html"))
-    table = payloads(docs, keep_media=False)
-    names = [c for c in table.columns if c != "digest"]
-    media = table.groupBy("digest").agg(*[F.first(c).alias(c) for c in names])
-    # Written out, so that both sides of the join are plain exchanges that Spark can split.
-    media = Scratch(spark, "media").keep(media, "payloads")
-    out = resolve(interleave(pages, "doc_id", "html"), media).where("kind = 'media'")
-    return out.select(F.col("id").alias("doc_id"), *names, "position", "caption")
+    scratch = Scratch(spark, "media")
+    table = scratch.keep(stored(one_each(docs, "doc_id", "text")), "media")
+    known = described(table)
+    known = scratch.keep(known.groupBy("digest").agg(*[F.first(c).alias(c) for c in known.columns[1:]]), "described")
+    sequences = interleave(docs.select("doc_id", as_page(F.col("text")).alias("html")), "doc_id", "html")
+    references = sequences.select("id", F.size("sequence").alias("n_items"), F.filter("sequence", lambda e: e["kind"] == "media").alias("sequence"))
+    out = resolve(references.select(F.struct("id", "n_items").alias("id"), "sequence"), known)
+    return out.select(F.col("id.id").alias("doc_id"), *[f"media.{c}" for c in known.columns[1:]], "position", F.col("id.n_items").alias("n_items"), "caption")

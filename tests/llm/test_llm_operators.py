@@ -175,8 +175,29 @@ def test_exact_dedup(spark, tables):
     index = exact_dedup.temporary_index(spark, 4)
     kept = exact_dedup.drop_copies(docs, index)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 7]
-    later = index.add(spark.createDataFrame([(1, "a b"), (2, "new")], "doc_id long, text string"))
-    assert {r["id"]: (r["keep_id"], r["kept"]) for r in later.collect()} == {1: (4, False), 2: (2, True)}
+    more = spark.createDataFrame([(1, "a b"), (2, "new")], "doc_id long, text string")
+    want = {1: (4, False), 2: (2, True)}
+    assert {r["id"]: (r["keep_id"], r["kept"]) for r in index.add(more, "later").collect()} == want
+    # A batch that is added again keeps what it kept, and the index has each digest once.
+    index.compact()
+    assert {r["id"]: (r["keep_id"], r["kept"]) for r in index.add(more, "later").collect()} == want
+    assert spark.table(index.name).count() == spark.table(index.name).select("digest").distinct().count() == 4
+
+
+def test_exact_dedup_survives_a_crash_after_the_append(spark, monkeypatch):
+    index = exact_dedup.temporary_index(spark, 4)
+    docs = spark.createDataFrame([(1, "x"), (2, "x "), (3, "y")], "doc_id long, text string")
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup.DigestIndex, "decide", crash)
+        with pytest.raises(RuntimeError):
+            index.add(docs, "b")
+    got = index.add(docs, "b").collect()
+    assert sorted((r["id"], r["keep_id"], r["kept"]) for r in got) == [(1, 1, True), (2, 2, True), (3, 3, True)]
+    assert sorted(r["kept"] for r in index.add(docs, "c").collect()) == [False] * 3
 
 
 def test_line_dedup(spark, tables, words):
@@ -286,17 +307,36 @@ def test_media(spark, tables):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
         assert media.read_back(media.store(pad)) == pad and r["media_bytes"] == len(media.store(pad))
+        samples = [x - 128 for x in pad]
+        crossings = sum((x >= 0) != (y >= 0) for x, y in zip(samples, samples[1:], strict=False))
+        assert r["feature"] == f"n={len(pad)};mean_milli={sum(samples) * 1000 // len(pad)};square={sum(x * x for x in samples) // len(pad)};crossings={crossings}"
+        assert r["media_sha256"] == hashlib.sha256(media.store(pad)).hexdigest()
     assert tuple(got[3])[1:] == tuple(got[50])[1:]
 
 
+def test_media_stands_within_its_text(spark, tables):
+    texts = ["one\ntwo <b> & three\n\nfour", "\nonly", "x", "", "<script>a\nb</script>&lt;"]
+    path = tables([(i, t, None, None) for i, t in enumerate(texts)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    pages = media.interleave(docs.select("doc_id", media.as_page(F.col("text")).alias("html")), "doc_id", "html")
+    for r in pages.collect():
+        lines = texts[r["id"]].split("\n")
+        want = [("text", x) for x in lines[:1] if x.strip()] + [("media", f"{len(texts[r['id']].encode())} bytes")] + [("text", x) for x in lines[1:] if x.strip()]
+        assert [(e["kind"], e["text"] or e["caption"]) for e in r["sequence"]] == want
+        assert [e["position"] for e in r["sequence"]] == list(range(len(want)))
+    stored = media.stored(docs)
+    bytes_of = {r["media"]["digest"]: r["media"]["media"] for r in media.resolve(pages, stored).where("kind = 'media'").collect()}
+    assert {hashlib.sha256(t.encode()).hexdigest(): media.padded(t)[0] for t in texts} == {k: media.read_back(v) for k, v in bytes_of.items()}
+
+
 def test_interleaving(spark):
     page = '<title>T</title><p>one <b>two</b></p><figure><img src="digest:ab" alt="x"><figcaption>cap</figcaption></figure><script>no</script><p>three<img src="u.png"></p>'
     got = media.parse(page)
     assert [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in got] == [("text", "T", None), ("text", "one two", None), ("media", "digest:ab", "cap"), ("text", "three", None), ("media", "u.png", None)]
     seqs = media.interleave(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"))
-    table = spark.createDataFrame([("ab", 5)], "digest string, n_bytes long")
+    table = spark.createDataFrame([("ab", 5, "clash")], "digest string, n_bytes long, kind string")
     out = media.resolve(seqs, table).orderBy("position").collect()
-    assert [r["n_bytes"] for r in out] == [None, None, 5, None, None]
+    assert [r["media"] and r["media"]["n_bytes"] for r in out] == [None, None, 5, None, None]
 
 
 def test_components_of_a_long_path(spark):
