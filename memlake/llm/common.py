@@ -24,10 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="memlake-")
     return _own_dir
@@ -100,18 +102,19 @@ def blocks(array: Column) -> Column:
 
 
 #: Bits of a key filter.
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 
 
 def key_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose 64-bit key may be among the wanted ones: all that are, and some others.
 
-    A bitmap over the keys' remainders, 16 MB at any size of the input, is broadcast; where it fills up
+    A bitmap over the keys' remainders, 8 MB at any size of the input, is broadcast; where it fills up
     it merely lets more rows pass.  Callers join the result exactly.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bits = wanted.select(place.alias("_p")).select(F.bitmap_bucket_number("_p").alias("_row"), F.bitmap_bit_position("_p").alias("_bit"))
-    bits = bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    # Dealt by row first: partial bitmaps of each task would be as large as the whole.
+    bits = bits.repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     keyed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_row"))

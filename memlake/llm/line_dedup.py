@@ -29,6 +29,7 @@ import random
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.llm.common import Scratch, apart_blocks, components, documents, key_filter, let
 
@@ -39,6 +40,8 @@ BLOCK = 256
 STAR = 1024
 #: N-grams of a line that are listed at once.
 GRAMS = 1 << 16
+#: N-grams that are hashed in one row.
+STEP = 8
 #: Least similarity.
 SIMILAR = 80  # percent
 
@@ -87,24 +90,28 @@ def _last(wide: Column) -> Column:
     return (F.length(wide) / 2).cast("int") - K
 
 
-def gram(wide: Column, i: Column) -> Column:
-    """Hash of the n-gram at a place of a wide text."""
-    return F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * K)))
+def gram(wide: Column, at: Column) -> Column:
+    """Hash of the n-gram at a byte of a wide text, counted from 1."""
+    return F.xxhash64(F.substring(wide, at, F.lit(2 * K)))
 
 
-def minima(long: DataFrame) -> DataFrame:
+def minima(rows: DataFrame) -> DataFrame:
     """(l1, m0 ... m15) for lines that have an n-gram."""
     # The wide text is a column below the explosions, so it is made once for a line.
-    wide = long.select(F.xxhash64("form").alias("l1"), _wide(F.col("form")).alias("wide"))
-    starts = wide.select("l1", "wide", F.explode(F.sequence(F.lit(0), _last(F.col("wide")), F.lit(GRAMS))).alias("start"))
-    places = starts.select("l1", "wide", F.explode(F.sequence("start", F.least(F.col("start") + (GRAMS - 1), _last(F.col("wide"))))).alias("i"))
-    hashed = places.select("l1", gram(F.col("wide"), F.col("i")).alias("h"))
-    return hashed.groupBy("l1").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(p))).alias(f"m{j}") for j, p in enumerate(points())])
+    # Short lines explode to nothing; a filter on the length would make every form a second time.
+    wide = rows.select(F.xxhash64("form").alias("l1"), _wide(F.col("form")).alias("wide")).withColumn("last", _last(F.col("wide")))
+    starts = wide.select("l1", "wide", "last", F.explode(F.when(F.col("last") >= 0, F.sequence(F.lit(0), F.greatest("last", F.lit(0)), F.lit(GRAMS)))).alias("start"))
+    places = starts.select("l1", "wide", "last", F.explode(F.sequence("start", F.least(F.col("start") + (GRAMS - 1), "last"), F.lit(STEP))).alias("i"))
+    # Some n-grams at a time: their least is taken within the row, so that fewer rows meet the aggregate.
+    # Places beyond the last are the last again, which changes no minimum.
+    hashed = places.select("l1", *[gram(F.col("wide"), F.least(F.col("i") + k, F.col("last")) * 2 + 1).alias(f"h{k}") for k in range(STEP)])
+    near = lambda p: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)])
+    return hashed.groupBy("l1").agg(*[F.min(near(p)).alias(f"m{j}") for j, p in enumerate(points())])
 
 
 def gram_set(form_: Column) -> Column:
-    listed = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(w)), lambda i: gram(w, i)))
-    return let(_wide(form_), listed)
+    listed = lambda w: F.transform(F.sequence(F.lit(1), _last(w) * 2 + 1, F.lit(2)), lambda at: gram(w, at))
+    return F.array_distinct(let(_wide(form_), listed))
 
 
 def _alike(x: str, y: str) -> Column:
@@ -115,18 +122,18 @@ def _alike(x: str, y: str) -> Column:
 
 def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) pairs of line keys that are verified as similar; they connect all similar lines that share a bucket."""
-    long = rows.where(F.length("form") >= K)
     keys = [F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(bands())]
-    keyed = scratch.keep(minima(long).select("l1", F.array(*keys).alias("bands")), "bands")
+    keyed = scratch.keep(minima(rows).select("l1", F.array(*keys).alias("bands")), "bands")
     banded = keyed.select("l1", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
+    # Nearly every band is of one line, so a partial aggregate would save nothing.
+    shared = banded.repartition("band").groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
     # Every line of a bucket, with the bucket's least.
     held = scratch.keep(banded.join(scratch.keep(shared, "shared"), "band"), "held")
 
     # Exact similarity with the bucket's least, for so many lines of a bucket at once.
     pairs = scratch.keep(held.where("l1 <> low").select(F.col("l1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct()
-    forms = key_filter(long.select(F.xxhash64("form").alias("l1"), "form"), "l1", asked).groupBy("l1").agg(F.min("form").alias("form"))
+    forms = key_filter(rows.select(F.xxhash64("form").alias("l1"), "form"), "l1", asked).groupBy("l1").agg(F.min("form").alias("form"))
     forms = scratch.keep(forms, "forms")
     centres = scratch.keep(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "centres")
     # Texts are shuffled; sets are made after the shuffle.
@@ -149,38 +156,50 @@ def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     blocks = scratch.keep(blocks, "pairs")
     scratch.drop(held, rest, mixed)
 
-    def side(block: str, x: str) -> DataFrame:
-        wanted = blocks.select("band", "p", "q", *[F.col(f"{block}.{c}").alias(c) for c in ("big", "only", "part")])
+    def side(pairs: DataFrame, block: str, x: str) -> DataFrame:
+        wanted = pairs.select("band", "p", "q", *[F.col(f"{block}.{c}").alias(c) for c in ("big", "only", "part")])
         rows = wanted.join(tagged, ["band", "big", "only", "part"]).select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("l1", "bands", "component", "form")])
         return rows.repartition("band", "p", "q").withColumn(f"s_{x}", gram_set(F.col(f"form_{x}"))).drop(f"form_{x}")
 
     # Pairs that share several buckets are compared in the first of them.
     same = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
+    among = blocks.where("NOT q.big")
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("p") != F.col("q")) | (F.col("l1_a") < F.col("l1_b"))) & (same == F.col("band"))
-    second = side("p", "a").join(side("q", "b"), ["band", "p", "q"]).where(apart & _alike("s_a", "s_b"))
-    second = scratch.keep(second.select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b")), "rest-links")
+    second = side(among, "p", "a").join(side(among, "q", "b"), ["band", "p", "q"]).where(apart & _alike("s_a", "s_b")).select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b"))
+    # One link with a large component is enough for a line.
+    beside = blocks.where("q.big")
+    a, b = side(beside, "p", "a").alias("x"), side(beside, "q", "b").alias("y")
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    third = a.join(b, on & _alike("s_a", "s_b"), "left_semi").select(F.col("l1_a").alias("a"), F.col("q.only").alias("b"))
+    second = scratch.keep(second.union(third), "rest-links")
     scratch.drop(tagged, blocks, forms, keyed)
     return first.union(second)
 
 
+def _place(rows: DataFrame) -> Column:
+    """The order of lines: by id, a null one first, then by number; a number where ids are, so that it is aggregated in place."""
+    if isinstance(rows.schema["id"].dataType, T.IntegralType):
+        low = F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
+        return (F.coalesce(F.col("id").cast("decimal(20,0)"), low) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")).cast("decimal(38,0)")
+    return F.struct("id", "line")
+
+
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, blank, exact, kept) for every line; exact: an equal line is earlier."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = lines(docs, id_col, text_col)
     links = scratch.keep(similar_pairs(rows, scratch), "links")
     found = components(links, scratch).distinct()
-    place = F.struct(F.col("id"), F.col("line"))
-    at = scratch.keep(rows.select("id", "line", (F.col("form") == "").alias("blank"), *_keys(F.col("form"))), "at")
-    equal = at.where("NOT blank").groupBy("l1", "l2").agg(F.min(place).alias("first_equal"))
-    # Lines without a link are apart by both keys; those with one go by their component.
-    equal = equal.join(found, F.col("l1") == F.col("node"), "left")
-    equal = equal.select("l1", "l2", "first_equal", F.coalesce("component", "l1").alias("c1"), F.when(F.col("component").isNull(), F.col("l2")).otherwise(0).alias("c2"))
-    equal = scratch.keep(equal, "equal")
-    first = scratch.keep(equal.groupBy("c1", "c2").agg(F.min("first_equal").alias("first")), "first")
-    verdict = scratch.keep(equal.join(first, ["c1", "c2"]).select("l1", "l2", "first_equal", "first"), "verdict")
+    at = scratch.keep(rows.select("id", "line", (F.col("form") == "").alias("blank"), *_keys(F.col("form"))), "at").withColumn("place", _place(rows))
+    equal = scratch.keep(at.where("NOT blank").groupBy("l1", "l2").agg(F.min("place").alias("first_equal")), "equal")
+    # Lines without a link go by their equals only; those with one by their component.
+    linked = equal.join(found, F.col("l1") == F.col("node")).select("l1", "component", "first_equal")
+    first = linked.groupBy("component").agg(F.min("first_equal").alias("first"))
+    first = scratch.keep(linked.join(first, "component").groupBy("l1").agg(F.min("first").alias("first")), "first")
+    verdict = scratch.keep(equal.join(first, "l1", "left").select("l1", "l2", "first_equal", F.coalesce("first", "first_equal").alias("first")), "verdict")
     out = at.join(verdict, ["l1", "l2"], "left")
-    kept = F.coalesce(place == F.col("first"), F.lit(False)) | F.col("blank")
-    exact = F.coalesce(place != F.col("first_equal"), F.lit(False)) & ~F.col("blank")
+    kept = F.coalesce(F.col("place") == F.col("first"), F.lit(False)) | F.col("blank")
+    exact = F.coalesce(F.col("place") != F.col("first_equal"), F.lit(False)) & ~F.col("blank")
     return out.select("id", "line", "blank", exact.alias("exact"), kept.alias("kept"))
 
 
