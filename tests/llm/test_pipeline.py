@@ -18,7 +18,7 @@ def brute(rows):
     sets = {}
     for i, t, _, _ in rows:
         w = t.encode().lower().split()
-        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -28,7 +28,7 @@ def brute(rows):
 
     for i in sets:
         for j in sets:
-            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     rows = [r for r in rows if find(r[0]) == r[0]]
