@@ -26,9 +26,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents stays, that of the smallest id."""
+    """One document of each component of documents linked by five-word shingles at 80 percent stays, that of the smallest id."""
     ship(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
