@@ -11,35 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Phrases that mark an attempt to instruct the reader of a stored text.
-INJECTIONS = (
-    ("ignore_previous", r"(?i)ignore\s+(all\s+)?(previous|prior|above)\s+instructions"),
-    ("disregard", r"(?i)disregard\s+(all\s+)?(previous|prior|above)"),
-    ("new_role", r"(?i)you\s+are\s+now\s+"),
-    ("system_tag", r"(?i)</?(system|assistant|user)>"),
-    ("override", r"(?i)override\s+(your|the)\s+(instructions|rules|system)"),
-    ("reveal_prompt", r"(?i)(reveal|show|print)\s+(your|the)\s+(system\s+)?prompt"),
-    ("forget", r"(?i)forget\s+(everything|all\s+you)"),
-    ("jailbreak", r"(?i)\b(jailbreak|developer\s+mode)\b"),
-    ("system_label", r"(?i)system\s*:\s*"),
-    ("llama_inst_tag", r"(?i)\[INST\]"),
-    ("llama_inst_close", r"(?i)\[/INST\]"),
-    ("llama_sys_tag", r"(?i)<<SYS>>"),
-    ("knowledge", r"(?i)Knowledge\s*:\s*"),
-    ("importance_override", r"(?i)IMPORTANT\s*:\s*override"),
-    ("new_instructions", r"(?i)new\s+instructions?\s*:"),
-    ("act_as", r"(?i)act\s+as\s+(if\s+)?you\s+are"),
-    ("pretend_to_be", r"(?i)pretend\s+(that\s+)?you('re|\s+are)"),
-    ("hide_instruction", r"(?i)do\s+not\s+mention\s+this"),
-    ("persistent_override", r"(?i)from\s+now\s+on\s*,?\s*you"),
-    ("cross_site_exfil", r"(?i)include\s+all\s+memories\s+from"),
-    ("cross_site_merge", r"(?i)merge\s+all\s+.*memories\s+across"),
-    ("behaviour_override", r"(?i)always\s+(agree|comply|say\s+(yes|there\s+are\s+no))"),
-    ("restriction_removal", r"(?i)never\s+(refuse|question|deny)"),
-)
-META = r"^(The user|User) (asked|requested|wants to know|is asking)"
+# Fixed values.
 STOP = ("the", "and", "for", "with", "that", "this", "from", "was", "are", "have", "has", "not", "but", "you", "your", "they", "what", "when", "where", "who", "how")
-OPINION, WORLD = r"(?i)\b(think|believe|prefer|like|love|hate|feel)s?\b", r"(?i)\b(is a|are a|was founded|located in|capital of)\b"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,11 +40,6 @@ def detection_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(normalised("NFKC", text), "[​-‍⁠﻿]", ""), r"\s+", " "))
 
 
-def injections(text: Column) -> Column:
-    """Names of the patterns a text matches."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in INJECTIONS]), lambda x: x.isNotNull())
-
-
 def anomalies(text: Column) -> Column:
     """Too long, too little ASCII, or one word over and over."""
     n = F.length(text)
@@ -87,14 +55,6 @@ def anomalies(text: Column) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(x)) for c, x in flags]), lambda x: x.isNotNull())
 
 
-def is_meta(text: Column) -> Column:
-    return text.rlike(META)
-
-
-def network(text: Column) -> Column:
-    return F.when(text.rlike(OPINION), "opinion").when(text.rlike(WORLD), "world").otherwise("experience")
-
-
 def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda x: x != "")
 
@@ -109,49 +69,21 @@ def headline(text: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, 10), " ")
 
 
-def stem(word: Column) -> Column:
-    return F.regexp_replace(word, "(ing|ed|es|s)$", "")
-
-
 def keywords(text: Column, least: int = 4) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(f"([a-z]{{{least},}})"), F.lit(1))
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP)))
 
 
-def keyword_matches(text: Column, wanted: list[str]) -> Column:
-    mine = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), stem)
-    return F.size(F.array_intersect(F.array(*[stem(F.lit(w)) for w in wanted]), mine))
-
-
 def entity_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]{3,})"), F.lit(1))
     compound = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+[-_.][a-z0-9]+)"), F.lit(1))
     return F.array_sort(F.array_distinct(F.concat(F.array_except(words, F.array(*map(F.lit, STOP))), compound)))
 
 
-def lookup_tokens(text: Column, most: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,}|[0-9]+)"), F.lit(1))), 1, most)
-
-
-def dates(text: Column) -> Column:
-    """ISO dates of a text."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1)), lambda x: F.try_to_date(x)), lambda x: x.isNotNull())
-
-
 def duration(days: Column, unit: str) -> Column:
     return F.floor(days / {"days": 1, "weeks": 7, "months": 30}[unit] + 0.5).cast("long")
 
 
-def complexity(query: Column) -> Column:
-    q = F.lower(query)
-    return F.when(q.rlike("how many|list all|total|count"), "aggregation").when(q.rlike("before|after|relationship|between|because"), "multi-hop").when(F.size(F.split(q, r"\s+")) > 12, "complex").when(F.size(F.split(q, r"\s+")) > 6, "medium").otherwise("simple")
-
-
-def temporal_intent(query: Column) -> Column:
-    q = F.lower(query)
-    return F.when(q.rlike("current|now|latest"), "current").when(q.rlike("used to|previous|before"), "historical").when(q.rlike("when|what date|how long"), "when").otherwise("none")
-
-
 def abstains(answer: Column) -> Column:
     return F.lower(answer).rlike("(don't know|do not know|no information|not mentioned|cannot answer)")
 
@@ -188,26 +120,25 @@ def cursor(*columns: str) -> Column:
 
 
 def cut(text: str, size: int = 1500, overlap: int = 150, least: int = 100) -> list[tuple[int, int]]:
-    """Chunk offsets: up to ``size`` characters, ended at white space if there is some in the last part, trimmed,
-    the next starting ``overlap`` before the end; a remainder shorter than ``least`` joins the last chunk."""
+    """Chunk offsets: windows of up to ``size`` characters, ended at white space if there is some behind the first
+    ``least``, trimmed; the next starts ``overlap`` before the end.  A window shorter than ``least`` is no chunk."""
+    size = max(1, size)
+    overlap, least = min(max(0, overlap), size // 2), max(1, min(least, size))
     out, pos, n = [], 0, len(text)
     while pos < n:
         end = min(n, pos + size)
         if end < n:
-            back = next((k for k in range(end, max(pos + size // 2, pos), -1) if text[k - 1].isspace()), end)
-            end = back
-            if n - end < least:
-                end = n
+            end = next((k for k in range(end, pos + least, -1) if text[k - 1].isspace()), end)
         a, b = pos, end
         while a < b and text[a].isspace():
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if b > a:
+        if b - a >= least:
             out.append((a, b))
         if end >= n:
             break
-        pos = max(end - overlap, pos + 1)
+        pos = end - overlap if end - overlap > pos else end
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.sources.tables import cut
+
 
 def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(src, dst, ...) with every undirected edge in both directions: makes OR-joins equi-joins."""
@@ -28,24 +30,29 @@ def subgraph(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return inside.join(near.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, checkpoint_every: int = 5) -> DataFrame:
-    """Personalised PageRank (node, rank) from seeds (node, weight), dangling mass lost.
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 20, tolerance: float = 1e-6, hops: int = 2, cut_every: int = 5) -> DataFrame:
+    """Personalised PageRank (node, rank) of the nodes within ``hops`` of the seeds (node, weight), without the seeds.
 
-    A fixed number of rounds, each a join with the edge table and one sum; lineage is cut with
-    checkpoint() to the shared folder if the session names one.
+    Each round is a join with the edge table and one sum; dangling mass is lost.  Every few rounds the
+    ranks are written to the checkpoint folder, which cuts their lineage, and compared with those of
+    the round before; a sum of changes below the tolerance ends the loop.
     """
+    near = cut(subgraph(edges, seeds.select("node"), hops).distinct())
     total = seeds.agg(F.sum("weight").alias("t"))
-    start = seeds.crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("p"))
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    out = edges.join(degree, "src")
+    start = seeds.crossJoin(F.broadcast(total)).select("node", (F.col("weight") / F.col("t")).alias("p"))  # one row
+    out = cut(near.join(near.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"))
     rank = start.select("node", F.col("p").alias("rank"))
-    sc = edges.sparkSession.sparkContext
+    again = start.select("node", ((1 - damping) * F.col("p")).alias("rank"))
     for k in range(rounds):
-        flow = out.join(rank, F.col("src") == F.col("node")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("flow"))
-        rank = flow.select(F.col("dst").alias("node"), (damping * F.col("flow")).alias("rank")).unionByName(start.select("node", ((1 - damping) * F.col("p")).alias("rank"))).groupBy("node").agg(F.sum("rank").alias("rank"))
-        if k % checkpoint_every == checkpoint_every - 1 and sc.getCheckpointDir():
-            rank = rank.checkpoint()
-    return rank
+        before = rank
+        flow = out.join(rank, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), (damping * F.col("rank") / F.col("degree")).alias("rank"))
+        rank = flow.unionByName(again).groupBy("node").agg(F.sum("rank").alias("rank"))
+        if k % cut_every == cut_every - 1:
+            rank = cut(rank)
+            change = rank.join(before.withColumnRenamed("rank", "old"), "node", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("x")).first()["x"]
+            if (change or 0.0) < tolerance:
+                break
+    return rank.join(seeds.select("node"), "node", "left_anti")
 
 
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 3, decay: float = 0.7) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries over the operators, by family; importing this package registers them."""
 
-from memlake.plans import core, more, search  # noqa: F401
+from memlake.plans import core, lifecycle, more, rules, search  # noqa: F401

@@ -223,9 +223,9 @@ def by_entities(s, d):
     return table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")).join(lines.select(F.col("l_orderkey").alias("id")), "id", "left_semi").distinct()
 
 
-@query("j12_both_ends", with_views(", bridge AS (SELECT DISTINCT l_orderkey AS memory_id, l_partkey AS entity_id FROM lineitem WHERE l_orderkey % 20 = 0) SELECT p.entity_a, p.entity_b, x.memory_id, p.n > 1 AS strong FROM part_edges p JOIN bridge x ON x.entity_id = p.entity_a JOIN bridge y ON y.entity_id = p.entity_b AND y.memory_id = x.memory_id", "part_edges"))
+@query("j12_both_ends", with_views(", bridge AS (SELECT DISTINCT l_orderkey AS memory_id, l_partkey AS entity_id FROM lineitem) SELECT p.entity_a, p.entity_b, x.memory_id, p.n > 1 AS strong FROM part_edges p JOIN bridge x ON x.entity_id = p.entity_a JOIN bridge y ON y.entity_id = p.entity_b AND y.memory_id = x.memory_id", "part_edges"))
 def both_ends(s, d):
-    b = table(s, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
+    b = table(s, d, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id")).distinct()
     p = view(s, d, "part_edges").select("entity_a", "entity_b", "n")
     one = p.join(b.withColumnRenamed("entity_id", "entity_a"), "entity_a")
     return one.join(b.withColumnRenamed("entity_id", "entity_b"), ["entity_b", "memory_id"]).select("entity_a", "entity_b", "memory_id", (F.col("n") > 1).alias("strong"))

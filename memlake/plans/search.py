@@ -201,23 +201,26 @@ def mmr(s, d):
 
 
 def _ppr_sql(rounds: int) -> str:
-    out = with_views(", e AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), o AS (SELECT s, t, count(*) OVER (PARTITION BY s) AS deg FROM e), r0 AS (SELECT 1::BIGINT AS n, 0.5::DOUBLE AS p UNION ALL SELECT 2, 0.5)", "part_edges")
+    out = with_views(
+        ", a AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), n1 AS (SELECT t AS n FROM a WHERE s IN (1, 2) UNION SELECT unnest([1, 2])), n2 AS (SELECT t AS n FROM a JOIN n1 ON s = n UNION SELECT n FROM n1),"
+        " o AS MATERIALIZED (SELECT s, t, count(*) OVER (PARTITION BY s) AS deg FROM a WHERE s IN (SELECT n FROM n2) AND t IN (SELECT n FROM n2)), r0 AS (SELECT 1::BIGINT AS n, 0.5::DOUBLE AS p UNION ALL SELECT 2, 0.5)", "part_edges",
+    )
     for k in range(rounds):
         out += f", r{k + 1} AS (SELECT n, sum(p)::DOUBLE AS p FROM (SELECT o.t AS n, 0.5 * sum(r.p / o.deg) AS p FROM o JOIN r{k} r ON o.s = r.n GROUP BY o.t UNION ALL SELECT n, 0.5 * p FROM r0) GROUP BY n)"
-    return out + f" SELECT n AS node, round(p, 6) AS rank FROM r{rounds} WHERE round(p, 6) > 0"
+    return out + f" SELECT n AS node, round(p, 6) AS rank FROM r{rounds} WHERE round(p, 6) > 0 AND n NOT IN (1, 2)"
 
 
-@query("r6_personalised_pagerank", _ppr_sql(6))
+@query("r6_personalised_pagerank", _ppr_sql(20))
 def personalised_pagerank(s, d):
     e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b"), "entity_a", "entity_b")
     seeds = s.createDataFrame([(1, 1.0), (2, 1.0)], "node long, weight double")
-    return graph.pagerank(e, seeds, rounds=6).select("node", F.round("rank", 6).alias("rank")).where("rank > 0")
+    return graph.pagerank(e, seeds).select("node", F.round("rank", 6).alias("rank")).where("rank > 0")
 
 
-@query("r6b_activation", with_views(", e AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), a1 AS (SELECT n, max(v) AS v FROM (SELECT 1::BIGINT AS n, 1.0 AS v UNION ALL SELECT t, 0.7 FROM e WHERE s = 1) GROUP BY n), a2 AS (SELECT n, max(v) AS v FROM (SELECT * FROM a1 UNION ALL SELECT t, 0.7 * v FROM e JOIN a1 ON s = n) GROUP BY n) SELECT n AS node, round(v, 6)::DOUBLE AS activation FROM a2", "part_edges"))
+@query("r6b_activation", with_views(", e AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), a1 AS (SELECT n, max(v) AS v FROM (SELECT 1::BIGINT AS n, 1.0 AS v UNION ALL SELECT t, 0.7 FROM e WHERE s = 1) GROUP BY n), a2 AS (SELECT n, max(v) AS v FROM (SELECT * FROM a1 UNION ALL SELECT t, 0.7 * v FROM e JOIN a1 ON s = n) GROUP BY n), a3 AS (SELECT n, max(v) AS v FROM (SELECT * FROM a2 UNION ALL SELECT t, 0.7 * v FROM e JOIN a2 ON s = n) GROUP BY n) SELECT n AS node, round(v, 6)::DOUBLE AS activation FROM a3", "part_edges"))
 def activation(s, d):
     e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b"), "entity_a", "entity_b")
-    return graph.spread(e, s.createDataFrame([(1, 1.0)], "node long, weight double"), hops=2).select("node", F.round("activation", 6).alias("activation"))
+    return graph.spread(e, s.createDataFrame([(1, 1.0)], "node long, weight double")).select("node", F.round("activation", 6).alias("activation"))
 
 
 @query("r8_protected")

@@ -7,6 +7,7 @@ checked against the SQL in another engine.
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,7 @@ SELECT event_id AS version_id, user_id % 50 || ':' || event_type AS claim_id, us
 FROM events WINDOW w AS (PARTITION BY user_id % 50, event_type ORDER BY ts, event_id)""",
     "part_edges": """
 SELECT a.l_partkey AS entity_a, b.l_partkey AS entity_b, min(a.l_orderkey) AS memory_id, count(*) AS n
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey
-WHERE a.l_orderkey % 20 = 0 GROUP BY a.l_partkey, b.l_partkey""",
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY a.l_partkey, b.l_partkey""",
     "relations": "SELECT 'c' || c_custkey AS source_entity, 'n' || c_nationkey AS target_entity, 'located_in' AS relation_type, least(1.0, abs(c_acctbal) / 10000.0) AS confidence, CASE WHEN c_custkey % 10 = 0 THEN 1 END AS closed FROM customer",
     "attributes": """
 SELECT doc_id AS fact_id, 'src' || (doc_id % 20) AS entity, a.attribute AS attribute, CASE a.attribute WHEN 'quality' THEN quality ELSE toxic END AS value, doc_id AS observed_at
@@ -63,6 +63,28 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(named, **frames)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="memlake-"))
+    return _own[0]
+
+
+_own: list[str] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and kept in the shared folder, so that its lineage ends."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def parquet_with_schema(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

@@ -58,4 +58,4 @@ def test_injections_in_every_documents_own_text(spark, tmp_path):
     rows = [(3 * i + k, f"x {t} y") for i, t in enumerate(texts) for k in (1, 2)] + [(1001, "clean"), (1002, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["flagged"] for r in registry.QUERIES["f9_injections"](spark, str(tmp_path)).collect()}
-    assert got == {i: t is not None and t != "clean" or i % 3 == 0 for i, t in rows}
+    assert got == {i: t is not None and t != "clean" for i, t in rows}
