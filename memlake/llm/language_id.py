@@ -196,8 +196,9 @@ def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with an identified language, as they were; those without any letter go."""
-    marked = predict(docs, fit_documents(docs), out=("_lang_pred", "_score"))
-    return marked.where(F.col("_lang_pred") != UNKNOWN).select(*docs.columns)
+    # The row is a struct, so the prediction's columns clash with none of it.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    return predict(rows, fit_documents(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """License scans by a positional rare-token index (operator 2), in DataFrame operations only.
 
-Templates are short licence notices as word sequences; the index has the postings (template, position)
-of their key phrases' words.  Over all documents the words' document frequencies are counted; for each
-file and template, the rarest word of the key phrase is looked up, and each of its occurrences gives
-an offset at which the template would lie.  Every offset is verified: a template counts as found if
-at one of them its mandatory key phrase stands at its place and enough of its words do; the best
-share counts.
-
-Scale: one pass counts the frequencies of the templates' words (a table as long as the templates'
-vocabulary goes to the driver), one pass scans; no text is shuffled.  Key phrases are first tested as
-plain substrings, so that only files that may verify are aligned.
+Templates are licence texts and notices as word sequences.  Over all documents the document
+frequencies of the templates' words are counted; the index is a table of postings (word, template,
+position) of each template's rarest words, that of its mandatory key phrase always among them.  Files'
+words are looked up in the index by a join; postings that agree on the offset at which the template
+would lie meet in one row.  Every such offset is verified: a template counts as found if at one of
+them its key phrase stands at its place and enough of its words do; the best share counts.
+
+Scale: one pass counts frequencies (a table as long as the templates' vocabulary goes to the driver),
+one looks words up, one gives the base columns.  The index, a few rows for each template, is broadcast;
+no text is shuffled: what leaves the second pass is one row for each occurrence of a rare licence word
+whose template verifies there, keyed by the text's digest, so that copies of a text share it.
 
 Defined results: a null text is empty; a file without words has n_words 0, null first_word and
-last_word, empty labels and score 0; repeated rows are scanned apart; an empty table gives no rows.
+last_word, empty labels and score 0; texts of any length are scanned whole; of offsets that tie none is
+preferred, the share is the same; repeated rows have equal results; an empty table gives no rows;
+columns that are named like a result are replaced, all others passed through whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Least share of a template's words in place.
 LEAST = 0.6
+#: Words of a template that are indexed.
+RARE = 4
 
 
 @dataclass(frozen=True)
@@ -71,6 +76,16 @@ TEMPLATES = (
     Template("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
     Template("cc0", "cc0", "released under cc0 1 0 universal"),
     Template("cc-by-4.0", "creative commons attribution 4 0", "licensed under a creative commons attribution 4 0 international license"),
+    Template("mit", "the above copyright notice and this permission notice shall be included", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    Template("bsd-2-clause", "redistributions in binary form must reproduce", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    Template("bsd-3-clause", "neither the name of the copyright holder", "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template("isc", "provided that the above copyright notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("zlib", "the origin of this software must not be misrepresented", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    Template("apache-2.0", "licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    Template("gpl", "without even the implied warranty of merchantability", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    Template("epl-2.0", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    Template("bsl-1.0", "boost software license", "distributed under the boost software license version 1 0"),
 )
 
 
@@ -109,66 +124,72 @@ def document_frequencies(padded: DataFrame, templates: tuple[Template, ...] = TE
     return {r["w"]: r["count"] for r in rows}
 
 
-def _literal(t: Template, idf: dict[str, float]) -> Column:
-    key = t.key.split()
-    rare = min(key, key=lambda w: (-idf.get(w, math.inf), w))
-    strings = lambda x: F.array(*map(F.lit, x))
-    return F.struct(
-        F.lit(t.label).alias("label"), F.lit(f" {t.key} ").alias("key"), strings(key).alias("key_words"), F.lit(t.key_at).alias("key_at"),
-        strings(t.words).alias("words"), F.lit(rare).alias("rare"), F.lit(t.key_at + key.index(rare)).alias("rare_at"),
-    )
-
-
-def _coverage(t: Column, words: Column) -> Column:
-    """Largest share of the template's words at their places over the offsets at which the key phrase is in
-    place: each occurrence of its rarest word is tried; null if there is none or the share is too small."""
+def postings(spark: SparkSession, idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """The index: (word, position, template, label, words, key_words, key_at); the rarest words of each template."""
+    rarity = lambda w: (-idf.get(w, math.inf), w)
+    rows = []
+    for n, t in enumerate(templates):
+        key = t.key.split()
+        sure = t.key_at + key.index(min(key, key=rarity))
+        more = sorted(range(len(t.words)), key=lambda i: (rarity(t.words[i]), i))
+        for i in dict.fromkeys([sure, *more][:RARE]):
+            rows.append((t.words[i], i, n, t.label, t.words, key, t.key_at))
+    return spark.createDataFrame(rows, "word string, position int, template int, label string, words array<string>, key_words array<string>, key_at int")
 
-    def by_offset(at: Column) -> Column:
-        there = lambda i: F.when(at + i >= 0, F.try_element_at(words, at + i + 1))
-        share = F.aggregate(F.transform(t["words"], lambda w, i: F.coalesce((there(i) == w).cast("int"), F.lit(0))), F.lit(0), lambda a, x: a + x) / F.size(t["words"])
-        key = F.forall(F.transform(t["key_words"], lambda w, k: F.coalesce(there(t["key_at"] + k) == w, F.lit(False))), lambda x: x)
-        return F.when(key & (share >= LEAST), share)
 
-    offsets = F.filter(F.transform(words, lambda w, i: F.when(w == t["rare"], i - t["rare_at"])), lambda d: d.isNotNull())
-    return F.array_max(F.transform(offsets, by_offset))
+def found_templates(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b, found): for the digest of each text with a template in it, the (label, share) of its templates.
 
-
-def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score appended.
+    texts: (_padded, a, b).
+    """
+    hits = texts.select("a", "b", F.split(F.trim("_padded"), " ").alias("file")).select("a", "b", "file", F.posexplode("file").alias("at", "word"))
+    hits = hits.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("position"))
+    # The file's words from the offset on, as far as the template goes; places before the file are missing.
+    start = F.greatest(F.col("offset"), F.lit(0))
+    there = F.slice("file", start + 1, F.greatest(F.size("words") - (start - F.col("offset")), F.lit(0)))
+    hits = hits.select("a", "b", "template", "offset", "label", "words", "key_words", "key_at", (start - F.col("offset")).alias("skip"), there.alias("there"))
+    key = F.slice("there", F.greatest(F.col("key_at") - F.col("skip"), F.lit(0)) + 1, F.size("key_words"))
+    hits = hits.where((F.col("key_at") >= F.col("skip")) & (key == F.col("key_words")))
+    same = F.zip_with("there", F.slice("words", F.col("skip") + 1, F.size("there")), lambda x, y: (x == y).cast("int"))
+    share = F.aggregate(same, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))) / F.size("words")
+    placed = hits.select("a", "b", "template", "offset", "label", share.alias("share")).where(F.col("share") >= LEAST)
+    best = placed.groupBy("a", "b", "label").agg(F.max("share").alias("share"))
+    return best.groupBy("a", "b").agg(F.collect_list(F.struct("label", "share")).alias("found"))
+
+
+def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, keep: list[str] | None = None) -> DataFrame:
+    """docs (or the columns in ``keep``) with n_words, n_base, first_word, last_word, base_labels, labels and score appended.
 
     score is the largest share of a found template's words in place; a base phrase counts as whole.
     """
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    docs = docs.drop(*[c for c in made if c != text_col])
-    padded = docs.withColumn("_padded", padded_words(F.col(text_col)))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    # The input's row is a struct, so the operator's columns clash with none of it.
+    padded = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), padded_words(docs[text_col]).alias("_padded"))
+    padded = padded.withColumn("a", F.xxhash64("_padded")).withColumn("b", F.xxhash64("_padded", F.lit(1)))
     total = docs.count()
     idf = {w: math.log((1 + total) / n) for w, n in document_frequencies(padded.select("_padded"), templates).items()}
+    found = found_templates(padded.select("_padded", "a", "b"), postings(docs.sparkSession, idf, templates))
 
     rows = padded.withColumn("_n", _spaces(F.col("_padded")) - 1)
-    every = F.array(*[_literal(t, idf) for t in templates])
-    possible = F.filter(every, lambda t: F.contains(F.col("_padded"), t["key"]))
-    found = F.transform(F.col("_possible"), lambda t: F.struct(t["label"].alias("label"), _coverage(t, F.col("_words")).alias("share")))
-    rows = rows.withColumn("_possible", possible)
-    rows = rows.withColumn("_words", F.when(F.size("_possible") > 0, F.split(F.trim("_padded"), " ")))
-    rows = rows.withColumn("_found", F.when(F.size("_possible") > 0, F.filter(found, lambda x: x["share"].isNotNull())).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
-    places = [_base(p) for p, _ in BASE]
-    for i, (count, first, last) in enumerate(places):
+    for i, (count, first, last) in enumerate([_base(p) for p, _ in BASE]):
         rows = rows.withColumn(f"_c{i}", count).withColumn(f"_f{i}", first).withColumn(f"_l{i}", last)
     k = range(len(BASE))
+    rows = rows.select("_row", "a", "b", "_n", *[f"_{x}{i}" for i in k for x in "cfl"]).join(found, ["a", "b"], "left")
     base = F.filter(F.array(*[F.when(F.col(f"_c{i}") > 0, F.lit(BASE[i][1])) for i in k]), lambda x: x.isNotNull())
-    best = F.coalesce(F.array_max(F.transform("_found", lambda x: x["share"])), F.lit(0.0))
+    names = F.coalesce(F.transform("found", lambda x: x["label"]), F.array().cast("array<string>"))
+    best = F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0))
     rows = (
         rows.withColumn("n_words", F.col("_n"))
         .withColumn("n_base", sum((F.col(f"_c{i}") for i in k), F.lit(0).cast("long")))
         .withColumn("first_word", F.least(*[F.col(f"_f{i}") for i in k]))
         .withColumn("last_word", F.greatest(*[F.col(f"_l{i}") for i in k]))
         .withColumn("base_labels", F.array_join(F.array_sort(F.array_distinct(base)), ","))
-        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("_found", lambda x: x["label"])))), ","))
+        .withColumn("labels", F.array_join(F.array_sort(F.array_distinct(F.concat(base, names))), ","))
         .withColumn("score", F.when(F.col("n_base") > 0, 1.0).otherwise(best))
     )
-    return rows.select(*docs.columns, *made)
+    return rows.select("_row.*", *made)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.drop("text")
+    return scan(documents(spark, sf_dir), keep=["doc_id"])

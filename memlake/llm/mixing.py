@@ -128,12 +128,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Documents are looked up by id and size, so ids are expected to be distinct; a null id is a value.
     """
     per = taken_sizes(*mix(docs, id_col=id_col, **options))
-    per = per.where("copies > 0").select(F.col("id").alias("_id"), F.col("size").alias("_size"), "source", F.col("copies").alias("_copies"))
-    per = per.withColumnRenamed("source", "_source").dropDuplicates(["_id", "_size", "_source"])
-    left = docs.withColumn("_n", words(F.col("text")))
-    on = left[id_col].eqNullSafe(per["_id"]) & (left["_n"] == per["_size"]) & left["source"].eqNullSafe(per["_source"])
-    out = left.join(per, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*[left[c] for c in docs.columns])
+    per = per.where("copies > 0").select("id", "size", "source", "copies").dropDuplicates(["id", "size", "source"])
+    # The row is a struct, so the schedule's columns clash with none of it.
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), words(docs["text"]).alias("size"), docs["source"].alias("source"))
+    on = left["id"].eqNullSafe(per["id"]) & (left["size"] == per["size"]) & left["source"].eqNullSafe(per["source"])
+    out = left.join(per, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

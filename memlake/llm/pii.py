@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction (operator 9), in DataFrame operations only.
 
 Well-formed e-mail addresses, IP addresses, card and phone numbers are found by pattern (the base).
-They are the seeds: the words before and after them induce lexical patterns, a bipartite graph links
-patterns with the identifier-shaped tokens in their places, and scores are passed to and fro between
-the two sides: a pattern is as good as the share of its places that hold good instances, an instance
-as good as the patterns around it.  Patterns of high confidence then discover identifiers of other
-shapes, reported as spans of kind ``context``.
+They are the seeds: the one or two words before and after them, and the word on either side together,
+induce lexical patterns, a bipartite graph links patterns with the identifier-shaped tokens in their
+places, and scores are passed to and fro between the two sides until they no longer change: a pattern
+is as good as the share of its places that hold good instances, an instance as good as the patterns
+around it.  Patterns of high confidence then discover identifiers of other shapes, reported as spans
+of kind ``context``.
+
+What a candidate is: a token with a digit whose core has 7 to 128 characters, 7 letters or digits and 2
+digits at least; its context are the words within 64 characters.  The base patterns know no such bounds.
 
 Scale: one pass over the texts writes, for each document, its spans and candidate tokens (a small
 fraction of the text); what is iterated is the graph of distinct (pattern, instance) pairs.  A
@@ -14,7 +18,8 @@ plain ones that Spark can split.  All regular expressions run in linear time.
 
 Defined results: a null text is empty; documents without findings have counts 0, the digest of the
 empty string and empty spans; repeated rows are treated apart; ties of a span's start are in the
-order e-mail, ip, card, phone, context; an empty table gives no rows.
+order e-mail, ip, card, phone, context; texts of any length are searched whole; further columns are
+ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +44,10 @@ CONTEXT = "context"
 TOKEN = rf"(?<!{NOT_WS})[^\x20\x09-\x0D0-9]*+[0-9]{NOT_WS}*+"
 #: Shape of a candidate: length, letters and digits, and digits at least.
 SHORTEST, LONGEST, ALNUM, DIGITS = 7, 128, 7, 2
-#: Rounds of scoring; seeds a pattern needs; score at which a pattern counts and an instance is reported.
-ROUNDS, SUPPORT, CONFIDENT, REPORTED = 4, 3, 0.5, 0.6
+#: Good instances a pattern needs; score at which a pattern counts and an instance is reported.
+SUPPORT, CONFIDENT, REPORTED = 3, 0.5, 0.6
+#: Characters on each side of a token that its context is taken from.
+NEAR = 64
 
 
 _PLACED = "array<struct<start:bigint,text:string>>"
@@ -141,9 +148,10 @@ def candidates(rows: DataFrame) -> DataFrame:
         core = F.regexp_replace(F.substring(rest, lead + 1, F.length(rest)), r"[^\p{L}\p{N}]++$", "")
         start = t["start"] + F.length(t["text"]) - F.length(rest) + lead
         before, after = F.element_at(F.col("_gap"), i + 1), F.element_at(F.col("_gap"), i + 2)
-        word_before = F.regexp_extract(F.lower(F.right(before, F.lit(64))), r"(\p{L}+)[^\p{L}]*+$", 1)
-        word_after = F.regexp_extract(F.lower(F.left(after, F.lit(64))), r"^[^\p{L}]*+(\p{L}+)", 1)
-        left = F.when(named != "", F.lower(named)).otherwise(word_before)
+        words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}+)"), F.lit(1))
+        ahead, behind = words(F.right(before, F.lit(NEAR))), words(F.left(after, F.lit(NEAR)))
+        left = F.when(named != "", F.array(F.lower(named))).otherwise(F.slice(ahead, F.greatest(F.size(ahead) - 1, F.lit(1)), F.lit(2)))
+        word_after = F.slice(behind, 1, 2)
         stop = start + F.length(core)
         near = lambda b: (b["start"] < stop) & (start < b["stop"])
         seed = F.exists(spans, lambda x: near(x) & F.exists(x["spans"], near))
@@ -155,16 +163,25 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_cand", cand).drop("_tok", "_gap", "_at", "_blocks")
 
 
+def patterns(left: Column, right: Column) -> Column:
+    """Lexical patterns of a place: the nearest word on each side, the two nearest, and one on either side."""
+    one_left, one_right = F.try_element_at(left, F.lit(-1)), F.try_element_at(right, F.lit(1))
+    two = lambda words: F.when(F.size(words) == 2, F.array_join(words, " "))
+    made = F.array(F.concat(F.lit("<"), one_left), F.concat(F.lit("<"), two(left)), F.concat(F.lit(">"), one_right), F.concat(F.lit(">"), two(right)), F.concat(one_left, F.lit("|"), one_right))
+    return F.filter(made, lambda p: p.isNotNull())
+
+
 def confident_instances(cands: DataFrame, scratch: Scratch) -> DataFrame:
     """(core, score) of unseeded instances that confident patterns surround.
 
-    cands: (core, left, right, seed), one row for each place.  A pattern is a word on one side.
+    cands: (core, left, right, seed), one row for each place.  Scores only ever rise from round to
+    round and are rounded, so the rounds end.
     """
-    sides = cands.select("core", "seed", F.explode(F.array(F.concat(F.lit("<"), F.col("left")), F.concat(F.lit(">"), F.col("right")))).alias("pattern"))
-    edges = sides.where(F.length("pattern") > 1).groupBy("pattern", "core").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
+    sides = cands.select("core", "seed", F.explode(patterns(F.col("left"), F.col("right"))).alias("pattern"))
+    edges = sides.groupBy("pattern", "core").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"))
     edges = scratch.keep(edges, "edges")
-    score = None
-    for _ in range(ROUNDS):
+    score, state = None, None
+    while True:
         # Patterns: the share of places held by good instances, and how many good instances speak for them.
         e = edges if score is None else edges.join(score, "core", "left")
         known = F.lit(0.0) if score is None else F.coalesce(F.col("score"), F.lit(0.0))
@@ -173,10 +190,13 @@ def confident_instances(cands: DataFrame, scratch: Scratch) -> DataFrame:
         pattern = pattern.where(F.col("support") >= SUPPORT).select("pattern", F.round(F.col("hits") / F.col("places"), 6).alias("p"))
         pattern = scratch.keep(pattern.where(F.col("p") >= CONFIDENT), "patterns")
         # Instances: as good as the best confident pattern they stand in.
-        i = edges.where("NOT seed").join(pattern, "pattern")
-        fresh = i.groupBy("core").agg(F.max("p").alias("score"))
-        score = scratch.keep(fresh.where(F.col("score") >= CONFIDENT), "instances")
-    return score.where(F.col("score") >= REPORTED)
+        fresh = edges.where("NOT seed").join(pattern, "pattern").groupBy("core").agg(F.max("p").alias("score"))
+        old, score = score, scratch.keep(fresh.where(F.col("score") >= CONFIDENT), "instances")
+        scratch.drop(pattern, *([old] if old is not None else []))
+        now = score.agg(F.count(F.lit(1)), F.sum(F.col("score").cast("decimal(20,6)"))).first()
+        if now == state:
+            return score.where(F.col("score") >= REPORTED)
+        state = now
 
 
 def _joined(spans: Column, names: Column) -> Column:

@@ -103,6 +103,49 @@ def test_language_id(spark, tables):
     assert kept.columns == docs.columns and kept.count() == 120 and kept.first()["score"] == "clash"
 
 
+def test_language_vectors_by_brute_force():
+    """Bound and bundled letter vectors, and the nearest prototype, spelt out n-gram by n-gram."""
+    import numpy as np
+
+    h = language_id.Hyperspace(64, 3)
+    texts = ["Ab, cé! xyz", "", "12", "aaaa", "the quick brown fox jumps"]
+    got, some = h.bundle(texts)
+    for k, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", t.lower())
+        line = " " + " ".join(words) + " " if words else ""
+        want = np.zeros(64)
+        for i in range(len(line) - 2):
+            v = np.ones(64)
+            for p in range(3):
+                v = v * np.roll(h.letter(ord(line[i + p])).astype(float), p)
+            want += v
+        # Places in an n-gram may be counted from either end, as long as it is always the same one.
+        back = np.zeros(64)
+        for i in range(len(line) - 2):
+            v = np.ones(64)
+            for p in range(3):
+                v = v * np.roll(h.letter(ord(line[i + p])).astype(float), 2 - p)
+            back += v
+        assert some[k] == bool(words) and (np.allclose(got[k], want) or np.allclose(got[k], back))
+
+
+def test_language_predictions_by_brute_force(spark, tables):
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(i, " ".join("".join(r.choice(a) for _ in range(4)) for _ in range(25)), x, "s") for i in range(80) for x, a in [(("aa", "abcdef"), ("bb", "defghi"), ("cc", "ghijkl"))[i % 3]]]
+    h = language_id.Hyperspace()
+    unit = lambda v: v / max(float(np.linalg.norm(v)), 1e-9)
+    vectors = {i: unit(h.bundle([t])[0][0].astype(np.float64)) for i, t, _, _ in rows}
+    learnt = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    names = sorted({x for _, _, x, _ in learnt})
+    proto = {n: unit(sum(vectors[i] for i, _, x, _ in learnt if x == n)) for n in names}
+    got = {x["doc_id"]: x for x in rows_of(spark, "op3_language_id", tables(rows))}
+    for i, v in vectors.items():
+        cos = {n: float(v @ p) for n, p in proto.items()}
+        assert got[i]["lang_pred"] == max(names, key=cos.get) and got[i]["score"] == pytest.approx(max(0.0, max(cos.values())), abs=2e-4)
+
+
 def brute_suffix(texts):
     seen, out = set(), {}
     for i in sorted(texts):
@@ -298,6 +341,22 @@ def test_pii_contexts(spark, tables):
     assert got[100] == "context:13:23" and got[101] == ""
 
 
+def test_pii_precision_and_recall(spark, tables):
+    """Identifiers of shapes that no base pattern knows, in contexts that seeds share, beside look-alikes elsewhere."""
+    r = random.Random(12)
+    ip = lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4))
+    code = lambda: "".join(r.choice("ABCDEFGHJK") for _ in range(4)) + "".join(r.choice("0123456789") for _ in range(6))
+    filler = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(r.randrange(3, 9)))
+    frames = ["the login id {} was used", "please call account holder {} back", "sent from host {} overnight"]
+    rows = [(i, f"{filler()} {frames[i % 3].format(ip())} {filler()}", None, None) for i in range(90)]
+    want = set(range(200, 260))
+    rows += [(i, f"{filler()} {frames[i % 3].format(code())} {filler()}", None, None) for i in sorted(want)]
+    rows += [(i, f"{filler()} part number {code()} in stock {filler()}", None, None) for i in range(300, 360)]
+    got = {x["doc_id"] for x in rows_of(spark, "op9_pii", tables(rows)) if "context:" in x["spans"]}
+    print("precision", len(got & want) / max(1, len(got)), "recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
 def test_media(spark, tables):
     texts = [None, "", "a\x00", "a", "é" * 31, "é" * 32, "x" * 100_000]
     got = {r["doc_id"]: r for r in rows_of(spark, "op10_media", tables([(i, t, None, None) for i, t in enumerate(texts)] + [(50, "a", None, None)]))}
