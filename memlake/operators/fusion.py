@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.operators.search import RRF_K
+from memlake.operators.search import RRF_K, top_k
 
 #: Weights of the channels.
 CHANNELS = {"semantic": 1.2, "entity": 1.3, "keyword": 1.0, "hierarchical": 1.4, "topic": 1.15, "recap": 1.5}
@@ -74,32 +74,33 @@ def mmr(rows: DataFrame, k: int, lam: float = 0.85, by: str = "query_id") -> Dat
     return rows.select(by, "id", "score", "embedding").groupBy(by).applyInPandas(pick, f"{by} {t[by]}, id {t['id']}, pick int")
 
 
-def protect(rows: DataFrame, k: int) -> DataFrame:
-    """Keep protected rows in the first k by swapping out the lowest unprotected ones; rows: (id, score, protected)."""
-    w = Window.orderBy(F.desc("score"), "id")
-    ranked = rows.withColumn("rank", F.row_number().over(w))
-    # The first k after protected rows take precedence, which is what swapping ends at.
-    return ranked.orderBy(F.desc(F.col("protected") & (F.col("rank") > 0)), "rank").limit(k).orderBy("rank")
+def protect(rows: DataFrame, k: int, by: str) -> DataFrame:
+    """The first k of each list with its protected rows among them, in order of score; rows: (by, id, score, protected).
+
+    Swapping the lowest unprotected rows out for protected ones ends at the protected rows first.
+    """
+    kept = top_k(rows, k, F.desc("protected"), F.desc("score"), F.asc("id"), by=(by,))
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id")))
 
 
-def current_state(rows: DataFrame, historical: bool = False) -> DataFrame:
-    """Recency rank and wording adjust the score; for historical questions the other way round."""
-    w, everything = Window.orderBy(F.desc("created_at"), "id"), Window.partitionBy()
-    n = F.count(F.lit(1)).over(everything)
+def current_state(rows: DataFrame, by: str, historical: bool = False) -> DataFrame:
+    """Recency rank within the list and wording adjust the score; for historical questions the other way round."""
+    n = F.col("_n")
+    rows = rows.join(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), by)
     c = F.lower("content")
     move = c.rlike("(switched|migrated|moved|changed|replaced)")
     now, past = c.rlike("(now|current|currently|latest)"), c.rlike("(previously|formerly|used to|no longer)")
-    bonus = 2.5 * (n - (F.row_number().over(w) - 1)) / n + F.when(move, 1.5).otherwise(0.0) + F.when(now, 0.45).otherwise(0.0) - F.when(past, 0.6).otherwise(0.0)
-    return rows.withColumn("adjusted", F.col("score") + (-bonus if historical else bonus))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_at"), "id"))
+    bonus = 2.5 * (n - (place - 1)) / n + F.when(move, 1.5).otherwise(0.0) + F.when(now, 0.45).otherwise(0.0) - F.when(past, 0.6).otherwise(0.0)
+    return rows.withColumn("adjusted", F.col("score") + (-bonus if historical else bonus)).drop("_n")
 
 
-def concise(rows: DataFrame) -> DataFrame:
-    """Texts longer than the (upper) median and 150 characters lose up to 15 % of their score."""
-    n = F.length("content")
-    lengths = F.array_sort(F.collect_list(n).over(Window.partitionBy()))
-    median = F.element_at(lengths, (F.floor(F.size(lengths) / 2) + 1).cast("int"))
+def concise(rows: DataFrame, by: str) -> DataFrame:
+    """Texts longer than their list's (upper) median and 150 characters lose up to 15 % of their score."""
+    middle = rows.groupBy(by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY length(content) DESC)").alias("median"))
+    n, median = F.length("content"), F.col("median")
     over = F.least(F.lit(1.0), (n - median) / F.greatest(median, F.lit(1)))
-    return rows.withColumn("median", median).withColumn("adjusted", F.when((n > F.col("median")) & (n > 150), F.col("score") * (1 - 0.15 * over)).otherwise(F.col("score")))
+    return rows.join(middle, by).withColumn("adjusted", F.when((n > median) & (n > 150), F.col("score") * (1 - 0.15 * over)).otherwise(F.col("score")))
 
 
 def month_boost(rows: DataFrame, month: int, year: int, boost: float = 1.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
@@ -109,6 +109,15 @@ def expand_by_links(rows: DataFrame, links: DataFrame, neighbours: DataFrame, by
     return rows.select(by, "id", "score", F.lit("search").alias("source")).unionByName(top_k(more, budget, F.desc("score"), F.asc("id"), by=(by,)))
 
 
+def by_session(rows: DataFrame, by: str, text: Column) -> DataFrame:
+    """rows with tier and place: sessions in the order of their best rows, within them by tier, then by time."""
+    session = Window.partitionBy(by, "episode_id")
+    rows = rows.withColumn("tier", R.session_tier(text)).withColumn("_best", F.min("tier").over(session))
+    rows = rows.withColumn("_first", F.min(F.when(F.col("tier") == F.col("_best"), F.col("created_at"))).over(session))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_first", "episode_id", "tier", "created_at", "id"))
+    return rows.withColumn("place", place).drop("_best", "_first")
+
+
 # Words that say nothing about what is counted.
 COUNT_STOP = (
     "user", "wants", "want", "need", "needs", "says", "said", "mentioned", "discuss", "discussed", "note", "noted", "adds", "added", "tries", "tried", "handle", "handles", "handled", "handling",

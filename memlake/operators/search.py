@@ -37,13 +37,6 @@ def vector_search(memories: DataFrame, query: list[float], k: int, now: str, flo
     return top_k(scored(memories, query, now, floor), k, F.desc("ranking_score"), F.asc("id"))
 
 
-def batch_search(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank) for a table of (query_id, query): the k nearest of each."""
-    pairs = memories.select("id", "embedding").join(queries, how="cross").select("query_id", "id", vectors.cosine("embedding", "query").alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def two_stage(memories: DataFrame, query: list[float], k: int, now: str, step: int = 6) -> DataFrame:
     """Shortlist by every step-th dimension, then exact scores for max(6k, 24) rows."""
     rough = vectors.cosine(vectors.subsample("embedding", step), vectors.literal(query[::step]))
@@ -79,7 +72,8 @@ def hybrid_search(memories: DataFrame, query: list[float], terms: list[str], k:
     v = top_k(memories.select("id", near), 4 * k, F.desc("sim"), F.asc("id")).select("id", rank(F.desc("sim"), F.asc("id")).alias("vr"))
     f = keyword_search(memories, terms, 4 * k).select("id", rank(F.desc("rank_score"), F.desc("importance"), F.asc("id")).alias("fr"))
     fused = v.join(f, "id", "full_outer").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("vr")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("fr")), F.lit(0.0)))
-    out = scored(memories, query, now).join(fused, "id").withColumn("ranking_score", F.col("ranking_score") + lexical * F.col("rrf"))
+    # Scores are for the fused rows only, 8k at most.
+    out = scored(memories.join(F.broadcast(fused), "id"), query, now).withColumn("ranking_score", F.col("ranking_score") + lexical * F.col("rrf"))
     return top_k(out, k, F.desc("ranking_score"), F.asc("id"))
 
 
@@ -91,7 +85,7 @@ def fact_hybrid(facts: DataFrame, query: list[float], terms: list[str], k: int)
     v = top_k(near.select(F.col("fact_id").alias("id"), "sim"), 6 * k, F.desc("sim"), F.asc("id")).select("id", rank(F.desc("sim"), F.asc("id")).alias("vr"))
     f = keyword_search(facts.withColumnRenamed("fact_id", "id"), terms, 6 * k).select("id", rank(F.desc("rank_score"), F.desc("importance"), F.asc("id")).alias("fr"))
     fused = v.join(f, "id", "full_outer").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("vr")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("fr")), F.lit(0.0)))
-    rows = near.join(fused, near["fact_id"] == fused["id"]).select("parent", "fact_id", "sim", "rrf")
+    rows = facts.join(F.broadcast(fused), facts["fact_id"] == fused["id"]).select("parent", "fact_id", vectors.cosine("embedding", vectors.literal(query)).alias("sim"), "rrf")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-(F.col("sim") + F.col("rrf"))).alias("o"), "fact_id"))), 1, 3)
     return rows.groupBy("parent").agg(F.max("sim").alias("similarity"), F.max("rrf").alias("rrf"), F.transform(best, lambda x: x["fact_id"]).alias("facts"))
 

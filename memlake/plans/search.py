@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from memlake.functions import predicates as P
 from memlake.functions import scoring, vectors
-from memlake.operators import fusion, graph, search
+from memlake.functions import rules as R
+from memlake.operators import fusion, graph, ranking, search
 from memlake.plans.core import ACTIVE, M, T, mem
+from memlake.plans.rules import has
 from memlake.registry import query
 from memlake.sources.tables import NOW, table, view, with_views
 
@@ -223,25 +225,25 @@ def activation(s, d):
     return graph.spread(e, s.createDataFrame([(1, 1.0)], "node long, weight double")).select("node", F.round("activation", 6).alias("activation"))
 
 
-@query("r8_protected")
+@query("r8_protected", M("SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS rank FROM (SELECT * FROM memories QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (id % 7 = 0) DESC, importance DESC, id) <= 8)"))
 def protected(s, d):
-    rows = mem(s, d).where("user_id = 3").select("id", F.col("importance").cast("double").alias("score"), (F.col("id") % 7 == 0).alias("protected"))
-    return fusion.protect(rows, 8)
+    rows = mem(s, d).select("user_id", "id", F.col("importance").cast("double").alias("score"), (F.col("id") % 7 == 0).alias("protected"))
+    return fusion.protect(rows, 8, "user_id").select("user_id", "id", "rank")
 
 
 MOVED = "CASE WHEN regexp_matches(lower(content), '(switched|migrated|moved|changed|replaced)') THEN 1.5 ELSE 0 END + CASE WHEN regexp_matches(lower(content), '(now|current|currently|latest)') THEN 0.45 ELSE 0 END - CASE WHEN regexp_matches(lower(content), '(previously|formerly|used to|no longer)') THEN 0.6 ELSE 0 END"
 
 
-@query("r9_current_state", M(f"SELECT id, round(importance + 2.5 * (count(*) OVER () - (row_number() OVER (ORDER BY created_at DESC, id) - 1)) / count(*) OVER () + {MOVED}, 6) AS adjusted FROM memories WHERE user_id = 3"))
+@query("r9_current_state", M(f"SELECT id, round(importance + 2.5 * (count(*) OVER (PARTITION BY user_id) - (row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) - 1)) / count(*) OVER (PARTITION BY user_id) + {MOVED}, 6) AS adjusted FROM memories"))
 def current_state(s, d):
-    m = mem(s, d).where("user_id = 3").withColumn("score", F.col("importance").cast("double"))
-    return fusion.current_state(m).select("id", F.round("adjusted", 6).alias("adjusted"))
+    m = mem(s, d).withColumn("score", F.col("importance").cast("double"))
+    return fusion.current_state(m, "user_id").select("id", F.round("adjusted", 6).alias("adjusted"))
 
 
-@query("r11_concise", M(", x AS (SELECT *, length(content) AS n, list_sort(list(length(content)) OVER ())[count(*) OVER () // 2 + 1] AS med FROM memories WHERE user_id = 3) SELECT id, round(CASE WHEN n > med AND n > 150 THEN importance * (1 - 0.15 * least(1.0, (n - med)::DOUBLE / greatest(med, 1))) ELSE importance END, 6) AS adjusted FROM x"))
+@query("r11_concise", M(", x AS (SELECT *, length(content) AS n, list_sort(list(length(content)) OVER (PARTITION BY user_id))[count(*) OVER (PARTITION BY user_id) // 2 + 1] AS med FROM memories) SELECT id, round(CASE WHEN n > med AND n > 150 THEN importance * (1 - 0.15 * least(1.0, (n - med)::DOUBLE / greatest(med, 1))) ELSE importance END, 6) AS adjusted FROM x"))
 def concise(s, d):
-    m = mem(s, d).where("user_id = 3").withColumn("score", F.col("importance").cast("double"))
-    return fusion.concise(m).select("id", F.round("adjusted", 6).alias("adjusted"))
+    m = mem(s, d).withColumn("score", F.col("importance").cast("double"))
+    return fusion.concise(m, "user_id").select("id", F.round("adjusted", 6).alias("adjusted"))
 
 
 @query("r12_month_boost", M("SELECT id, round(importance + CASE WHEN month(created_at) = 1 AND year(created_at) = 2024 THEN 1 ELSE 0 END, 6) AS adjusted FROM memories"))
@@ -261,21 +263,23 @@ def model_rerank(s, d):
     return fusion.rerank(rows, lambda texts: [len(set(t.split())) / 100 - 1 for t in texts]).select("query_id", "id", F.round("reranked", 6).alias("reranked"))
 
 
-@query("r17_recency_sort", M("SELECT id, created_at FROM memories WHERE user_id = 3 ORDER BY created_at DESC, id LIMIT 10"))
+@query("r17_recency_sort", M("SELECT user_id, id, created_at FROM memories QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) <= 10"))
 def recency_sort(s, d):
-    return mem(s, d).where("user_id = 3").orderBy(F.desc("created_at"), "id").limit(10).select("id", "created_at")
+    return search.top_k(mem(s, d), 10, F.desc("created_at"), F.asc("id"), by=("user_id",)).select("user_id", "id", "created_at")
 
 
-@query("r18_session_order", M("SELECT id, dense_rank() OVER (ORDER BY first_at, episode_id) AS grp, tier FROM (SELECT *, CASE WHEN importance >= 0.7 THEN 1 WHEN importance >= 0.4 THEN 2 ELSE 3 END AS tier, min(created_at) OVER (PARTITION BY episode_id) AS first_at FROM memories WHERE user_id = 3)"))
+_TIER = f"CASE WHEN {has('content', *R.TIER_1)} THEN 1 WHEN {has('content', *R.TIER_2)} THEN 2 ELSE 3 END"
+
+
+@query("r18_session_order", M(f"SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY first_at, episode_id, tier, created_at, id) AS place, tier FROM (SELECT *, min(created_at) FILTER (WHERE tier = best) OVER (PARTITION BY user_id, episode_id) AS first_at FROM (SELECT *, min(tier) OVER (PARTITION BY user_id, episode_id) AS best FROM (SELECT *, {_TIER} AS tier FROM memories)))"))
 def session_order(s, d):
-    m = mem(s, d).where("user_id = 3").withColumn("tier", F.when(F.col("importance") >= 0.7, 1).when(F.col("importance") >= 0.4, 2).otherwise(3))
-    m = m.withColumn("first_at", F.min("created_at").over(Window.partitionBy("episode_id")))
-    return m.select("id", F.dense_rank().over(Window.orderBy("first_at", "episode_id")).alias("grp"), "tier")
+    return ranking.by_session(mem(s, d), "user_id", F.col("content")).select("user_id", "id", "place", "tier")
 
 
-@query("r19_answer_trim", M("SELECT id FROM memories WHERE user_id = 3 ORDER BY regexp_matches(content, '[0-9]') DESC, importance DESC, id LIMIT 6"))
+@query("r19_answer_trim", M(f"SELECT user_id, id FROM memories QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_TIER} < 3 DESC, importance DESC, id) <= 6"))
 def answer_trim(s, d):
-    return mem(s, d).where("user_id = 3").orderBy(F.desc(F.col("content").rlike("[0-9]")), F.desc("importance"), "id").limit(6).select("id")
+    m = mem(s, d).withColumn("bears", R.answer_bearing(F.col("content")))
+    return search.top_k(m, 6, F.desc("bears"), F.desc("importance"), F.asc("id"), by=("user_id",)).select("user_id", "id")
 
 
 @query("r20_adaptive_limit", "SELECT 'simple' AS label, 5 AS k UNION ALL SELECT 'multi-hop', 12 UNION ALL SELECT 'aggregation', 25")
