@@ -51,10 +51,13 @@ class DigestIndex:
         if not exists(name) and exists(self._fresh):  # a compaction that ended between its last two steps
             spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {name}")
         if not exists(name):
-            self._write(spark.createDataFrame([], SCHEMA.format(id=id_type)), name, "append")
+            columns = SCHEMA.format(id=id_type)
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
 
-    def _write(self, rows: DataFrame, name: str, mode: str) -> None:
-        rows.repartition(self.buckets, "digest").write.mode(mode).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+    def _write(self, rows: DataFrame, name: str) -> None:
+        # Dealt by the number of the bucket, so that an append makes one file for each, however many tasks there are.
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        rows.repartition(self.buckets, bucket).write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
 
     def known(self) -> DataFrame:
         return self.spark.table(self.name).hint("merge")
@@ -62,7 +65,7 @@ class DigestIndex:
     def append(self, seen: DataFrame, batch: str) -> None:
         """Add the digests of (id, digest) rows that the index doesn't know from other batches."""
         first = seen.groupBy("digest").agg(F.min("id").alias("keep_id")).withColumn("batch", F.lit(batch))
-        self._write(first.join(self.known().select("digest"), "digest", "left_anti"), self.name, "append")
+        self._write(first.join(self.known().select("digest"), "digest", "left_anti"), self.name)
 
     def decide(self, seen: DataFrame, batches: list[str], scratch: Scratch) -> DataFrame:
         """(id, digest, keep_id, group_size, kept) for (id, digest) rows of these batches."""
@@ -94,7 +97,7 @@ class DigestIndex:
     def compact(self) -> None:
         """Rewrite the index with one sorted file for each bucket; safe to repeat after a crash."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self._fresh}")
-        self._write(self.spark.table(self.name), self._fresh, "append")
+        self._write(self.spark.table(self.name), self._fresh)
         self.spark.sql(f"DROP TABLE {self.name}")
         self.spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {self.name}")
 
@@ -103,7 +106,7 @@ class DigestIndex:
 
 
 #: Parts in which a whole table goes through a new index.
-PARTS = 3
+PARTS = 2
 
 
 def temporary_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
