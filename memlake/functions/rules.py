@@ -156,6 +156,34 @@ FACT_STOP = (
     "actually", "currently", "being",
 )
 
+#: Query expansion: words that say nothing, literal signals, markers of an order in time.
+QUERY_STOP = (
+    "a", "an", "at", "did", "do", "does", "for", "from", "her", "his", "in", "is", "kind", "of", "on", "say", "the", "their", "type", "was", "were", "what", "when", "where", "which", "who",
+)
+NAME_STOP = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "shall", "must", "need",
+    "dare", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below", "and", "but", "or", "nor", "not", "so", "yet", "both",
+    "either", "what", "which", "who", "whom", "this", "that", "these", "those", "how", "when", "where", "why", "if", "then", "than", "because", "while", "although", "though", "unless", "until",
+    "whether", "it", "its", "he", "she", "they", "we", "you", "i", "me", "my", "about", "also", "just", "like", "more", "most", "much", "no", "yes", "all", "any", "each", "every", "some", "such",
+    "very", "ask", "tell", "give", "get", "make", "take", "see", "know",
+)
+LITERAL_SIGNALS = (
+    "book", "books", "bowl", "cat", "cats", "clothing store", "concert", "decor", "dog", "dogs", "drawing", "fan", "festival", "flooring", "furniture", "grand canyon", "guinea pig", "library",
+    "meteor shower", "music", "musician", "musicians", "painting", "paintings", "pet", "pets", "photo", "photos", "poetry reading", "poster", "posters", "pottery", "road trip", "shoe", "shoes",
+    "sidewalk", "sign", "slipper", "song", "songs", "store", "title", "workshop",
+)
+ABSTRACT = ("attitude", "important", "inspired", "meaning", "motivated", "reaction", "realize", "reason", "represent", "symbol", "take away", "why")
+LOOKUP_QUESTION = r"(?i)^\s*(?:what|which|who|where|when)\b"
+ORDER_MARKERS = ("before", "after", "when", "timeline", "order", "sequence", "relative", "how long", "first", "second")
+ORDER_STOP = (
+    "what", "when", "where", "which", "who", "whom", "whose", "why", "how", "did", "does", "do", "was", "were", "is", "are", "the", "a", "an", "and", "or", "to", "of", "in", "for", "on", "with",
+    "between", "these", "those", "this", "that", "their", "they", "them", "therefore", "developer", "student", "order", "changes", "made", "project", "relative", "timeline", "receive", "from",
+)
+HIGH_SIGNAL = (
+    r"\bDr\.?\s+[A-Z][a-z]+\b", r"\b[A-Z]{2,}\s+\d{4}\b", r"(?i)\b(?:career advice|application timeline|application deadlines|first paper|second submission|finance tracker)\b", r"(?i)\bdotctl\b",
+)
+
+
 # Rules ------------------------------------------------------------------------------------------
 
 
@@ -381,3 +409,72 @@ def fact_sentences(text: Column) -> Column:
     kept = F.regexp_replace(text, r"\b(Dr|Mr|Mrs|Ms|Prof)\.", "$1\x01")
     cut = F.split(kept, r"(?<=[.!?])\s+|(?<=\n)")
     return F.filter(F.transform(cut, lambda x: F.regexp_replace(F.replace(x, F.lit("\x01"), F.lit(".")), r"^\s+|\s+$", "")), lambda x: F.length(x) > 10)
+
+
+def _all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(edged(pattern)), F.lit(group))
+
+
+def _without(words: Column, stop: Sequence[str]) -> Column:
+    return F.filter(words, lambda w: ~F.lower(w).isin(*stop))
+
+
+def literal_keywords(query: Column, most: int = 8) -> Column:
+    """What a question asks for literally: quotations, names, dates, and the words around a literal signal."""
+    quoted = _all(query, "[\"“”']([^\"“”']{2,80})[\"“”']")
+    names = _all(query, r"(\b[A-Z][A-Za-z'’.-]+(?:\s+[A-Z][A-Za-z'’.-]+)+\b)")
+    words = _all(query, r"(\b[\w'’.-]+\b)")
+    single = F.filter(F.slice(words, 2, 1 << 20), lambda w: w.rlike("^[A-Z][A-Za-z'’.-]+$") & ~F.lower(w).isin(*QUERY_STOP))
+    months = "|".join(m.capitalize() for m in MONTHS)
+    when = F.concat(_all(query, rf"(?i)(\b\d{{1,2}}\s+(?:{months})\b)"), _all(query, r"(\b(?:19|20)\d{2}\b)"))
+    one, two = [x for x in LITERAL_SIGNALS if " " not in x], [x for x in LITERAL_SIGNALS if " " in x]
+
+    def around(ws: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            pair = F.lower(F.array_join(F.slice(ws, i + 1, F.lit(2)), " "))
+            n = F.when(F.lower(w).isin(*one), 1).when(pair.isin(*two), 2)
+            start = F.greatest(i - 2, F.lit(0))
+            window = F.array_join(F.slice(ws, start + 1, i - start + n + 2), " ")
+            return F.when(n.isNotNull(), F.array(window, F.array_join(F.slice(ws, i + 1, n), " ")))
+
+        return F.flatten(F.filter(F.transform(ws, at), lambda x: x.isNotNull()))
+
+    windows = F.element_at(F.transform(F.array(words), around), 1)
+    found = F.array_distinct(F.concat(quoted, names, single, when, windows))
+    bare = F.transform(found, lambda k: F.regexp_replace(F.trim(k), "^[^A-Za-z0-9_\"“”']+|[^A-Za-z0-9_\"“”']+$", ""))
+    clean = F.transform(bare, lambda k: F.array_join(_without(F.split(k, r"\s+"), QUERY_STOP), " "))
+    return F.slice(F.filter(clean, lambda k: F.length(k) >= 2), 1, most)
+
+
+def asks_literally(query: Column) -> Column:
+    return matches(query, LOOKUP_QUESTION) & ~any_in(query, ABSTRACT) & (F.size(literal_keywords(query)) > 0)
+
+
+def order_keywords(query: Column, most: int = 10) -> Column:
+    """Keywords of a question about an order in time: high signals, telling words, the first pairs of them; else none."""
+    phrases = F.concat(*[_all(query, f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})") for p in HIGH_SIGNAL])
+    words = _without(_all(query, "([A-Za-z0-9.]+)"), ORDER_STOP)
+    words = F.filter(words, lambda w: w.rlike("^[A-Z]{3,}$") | F.substring(w, F.lit(2), F.length(w)).rlike("[A-Z]") | (F.length(w) >= 4))
+    pairs = lambda ws: F.slice(F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1))), 1, 4)
+    both = F.element_at(F.transform(F.array(words), lambda ws: F.concat(ws, pairs(ws))), 1)
+    found = F.slice(F.array_distinct(F.concat(phrases, both)), 1, most)
+    return F.when(any_in(query, ORDER_MARKERS), found).otherwise(F.array().cast("array<string>"))
+
+
+def named_candidates(query: Column) -> Column:
+    """Names in a question: quotations, runs of capitalised words without stop words at their ends, capitalised words inside."""
+    quoted = F.transform(_all(query, "[\"']([^\"']+)[\"']"), F.trim)
+    runs = _all(query, r"(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b)")
+    stop = "|".join(NAME_STOP)
+    runs = F.transform(runs, lambda x: F.regexp_replace(x, rf"(?i)^(?:(?:{stop})\s+)+|(?:\s+(?:{stop}))+$", ""))
+
+    def inside(ws: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            bare = F.regexp_replace(w, "[?.,!;:]", "")
+            opens = (i == 0) | F.coalesce(F.get(ws, i - 1).rlike("[.!?]$"), F.lit(False))
+            return F.when((F.length(bare) > 1) & bare.rlike("^[A-Z][a-z]*$") & ~opens & ~F.lower(bare).isin(*NAME_STOP), bare)
+
+        return F.filter(F.transform(ws, at), lambda x: x.isNotNull())
+
+    single = F.element_at(F.transform(F.array(F.split(query, r"\s+")), inside), 1)
+    return F.filter(F.array_distinct(F.concat(quoted, runs, single)), lambda x: F.length(x) >= 2)

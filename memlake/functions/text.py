@@ -114,6 +114,38 @@ def infer_namespace(site: Column, topic: Column) -> Column:
     return F.concat_ws("/", slug(site), F.when(topic.isNotNull(), slug(topic)))
 
 
+def first_object(raw: str | None) -> str | None:
+    """The first JSON object in a text, without code fences; one that breaks off is closed; the text itself if it has none."""
+    if raw is None:
+        return None
+    text = raw.strip()
+    if text.startswith("```"):
+        text = text.split("\n", 1)[-1].rsplit("```", 1)[0].strip()
+    start = text.find("{")
+    if start < 0:
+        return text
+    closers, quoted, skip = [], False, False
+    for k in range(start, len(text)):
+        c = text[k]
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"':
+            quoted = True
+        elif c in "{[":
+            closers.append("}" if c == "{" else "]")
+        elif c in "}]" and closers:
+            closers.pop()
+            if not closers:
+                return text[start : k + 1]
+    return text[start:] + '"' * quoted + "".join(reversed(closers))
+
+
+def json_object(text: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(first_object), T.StringType())(text)
+
+
 def cursor(*columns: str) -> Column:
     """A keyset cursor as base64 of JSON."""
     return F.base64(F.to_json(F.struct(*columns)).cast("binary"))

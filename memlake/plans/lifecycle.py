@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
+from memlake.functions import text as X
 from memlake.operators import lifecycle, packaging, ranking
 from memlake.plans.core import M, mem
 from memlake.plans.rules import S, has, holds, lit, said
@@ -227,3 +228,11 @@ def except_intersect(s, d):
     of = lambda t: table(s, d, "events").where(F.col("event_type") == t).select("user_id")
     a, b = of("click"), of("error")
     return a.subtract(b).withColumn("op", F.lit("except")).unionByName(a.intersect(b).withColumn("op", F.lit("intersect")))
+
+
+@query("f38_json_objects", "SELECT event_id, props AS object FROM events")
+def json_objects(s, d):
+    """Objects as a model may return them: plain, fenced, within other text, or broken off."""
+    p, k = F.col("props"), F.col("event_id") % 4
+    raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(F.lit("answer: "), p, F.lit(" {done}"))).otherwise(F.substring(p, F.lit(1), F.length(p) - 1))
+    return table(s, d, "events").select("event_id", X.json_object(raw).alias("object"))

@@ -306,3 +306,30 @@ def contradictions(s, d):
 def entity_scope(s, d):
     names = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit("([A-Z][a-z]{3,})"), F.lit(1))
     return conflict.entity_scoped(decisions(s, d), names("fact"), names("candidate")).select("conv_id", "turn", "action")
+
+
+@query("f19_named_candidates")
+def named_candidates(s, d):
+    return said(s, d).select("conv_id", "turn", F.array_join(R.named_candidates(F.col("text")), ";").alias("names"))
+
+
+@query("f20_literal_keywords")
+def literal_keywords(s, d):
+    q = F.col("text")
+    return said(s, d).select("conv_id", "turn", R.asks_literally(q).alias("literal"), F.array_join(R.literal_keywords(q), ";").alias("keywords"))
+
+
+_OSTOP = "[" + ", ".join(map(lit, R.ORDER_STOP)) + "]"
+_PHRASES = "list_concat(" + ", ".join(f"regexp_extract_all(text, {lit(p)})" for p in R.HIGH_SIGNAL[:1]) + "".join(f", regexp_extract_all(text, {lit(p)})" for p in R.HIGH_SIGNAL[1:]) + ")"
+_TELLING = f"list_filter(regexp_extract_all(text, '[A-Za-z0-9.]+'), lambda w: NOT list_contains({_OSTOP}, lower(w)) AND (regexp_matches(w, '^[A-Z]{{3,}}$') OR regexp_matches(substr(w, 2), '[A-Z]') OR length(w) >= 4))"
+
+
+@query(
+    "f21_order_keywords",
+    S(
+        f"SELECT {KEY}, CASE WHEN {holds('text', R.ORDER_MARKERS)} THEN array_to_string(list_transform(list_sort(list_transform(list_distinct(k), lambda x: {{'p': list_position(k, x), 'x': x}})), lambda y: y.x)[1:10], ';') ELSE '' END AS keywords"
+        f" FROM (SELECT *, list_concat(p, list_concat(w, list_transform(range(1, least(5, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) AS k FROM (SELECT *, {_PHRASES} AS p, {_TELLING} AS w FROM said))"
+    ),
+)
+def order_keywords(s, d):
+    return said(s, d).select("conv_id", "turn", F.array_join(R.order_keywords(F.col("text")), ";").alias("keywords"))

@@ -54,3 +54,41 @@ def test_every_injection_has_its_label(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["x"] for r in df.orderBy("i").select(rules.labels(F.col("t"), rules.INJECTIONS).alias("x")).collect()]
     assert got == list(rules.INJECTIONS)
+
+
+def test_query_expansion(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    q = F.lit('Which song did Mary Jones play on 5 May 2023 near the "Blue Moon" poster with Rex?')
+    assert one(rules.literal_keywords(q)) == ["Blue Moon", "Mary Jones", "Mary", "Jones", "May", "Blue", "Moon", "Rex"]
+    assert one(rules.asks_literally(q)) and not one(rules.asks_literally(F.lit("Why is the song important?")))
+    assert one(rules.literal_keywords(F.lit("what guinea pig do I have"))) == ["guinea pig I", "guinea pig"]
+    assert one(rules.named_candidates(F.lit("Did The Blue Ocean team meet Anna? Then Bob saw 'red fox'."))) == ["red fox", "Blue Ocean", "Bob", "Blue", "Ocean", "Anna"]
+    assert one(rules.order_keywords(F.lit("What came before the NSDI 2024 paper by Dr. Lee?")))[:2] == ["Dr. Lee", "NSDI 2024"]
+    assert one(rules.order_keywords(F.lit("What is it?"))) == []
+
+
+def test_retrieval_by_profile(spark):
+    import datetime
+
+    import pytest
+
+    from memlake import profiles
+
+    day = datetime.datetime(2024, 1, 20)
+    rows = [(i, f"text {i} the of", [1.0, i / 10.0], 0.5, 0.9, day) for i in range(20)]
+    m = spark.createDataFrame(rows, "id long, content string, embedding array<double>, importance double, trust double, last_accessed_at timestamp")
+    links = spark.createDataFrame([(0, 19, 0.9), (0, 18, 0.1), (1, 0, 0.9)], "src long, dst long, similarity double")
+    got = profiles.retrieve(m, [1.0, 0.0], ["the"], "2024-02-01 00:00:00", profiles.profile("safe")).collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [0, 1, 2, 3, 4]
+    got = profiles.retrieve(m, [1.0, 0.0], ["the"], "2024-02-01 00:00:00", profiles.profile("quality", results=3), links).collect()
+    assert {r["id"] for r in got if r["source"] == "link"} == {19} and sum(r["source"] == "search" for r in got) == 3
+    with pytest.raises(ValueError):
+        profiles.profile("other")
+
+
+def test_json_repair():
+    from memlake.functions.text import first_object
+
+    assert first_object('x {"a": "}\\"{"} y') == '{"a": "}\\"{"}'
+    assert first_object('{"a": [1, {"b": "c') == '{"a": [1, {"b": "c"}]}'
+    assert first_object("```json\n{}\n```") == "{}" and first_object("none") == "none" and first_object(None) is None
