@@ -151,28 +151,36 @@ def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # A bucket of two lines was decided with its least.
     mixed = scratch.keep(rest.join(mixed.where("low < high AND n > 2").select("band"), "band"), "mixed")
     tagged, blocks = apart_blocks(mixed, "band", "l1", scratch, BLOCK)
-    tagged = scratch.keep(tagged, "tagged")
-    tagged = scratch.keep(tagged.join(keyed, "l1").join(forms, "l1").select("band", "big", "only", "part", "l1", "bands", "component", "form"), "blocks")
+    tagged = scratch.keep(tagged.join(keyed, "l1").select("band", "big", "only", "part", "l1", "bands", "component"), "tagged")
     blocks = scratch.keep(blocks, "pairs")
     scratch.drop(held, rest, mixed)
 
     def side(pairs: DataFrame, block: str, x: str) -> DataFrame:
         wanted = pairs.select("band", "p", "q", *[F.col(f"{block}.{c}").alias(c) for c in ("big", "only", "part")])
-        rows = wanted.join(tagged, ["band", "big", "only", "part"]).select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("l1", "bands", "component", "form")])
-        return rows.repartition("band", "p", "q").withColumn(f"s_{x}", gram_set(F.col(f"form_{x}"))).drop(f"form_{x}")
+        return wanted.join(tagged, ["band", "big", "only", "part"]).select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("l1", "bands", "component")])
 
-    # Pairs that share several buckets are compared in the first of them.
+    def with_sets(rows: DataFrame, x: str) -> DataFrame:
+        texts = rows.join(forms.withColumnRenamed("l1", f"l1_{x}"), f"l1_{x}").repartition("band", "p", "q")
+        return texts.withColumn(f"s_{x}", gram_set(F.col("form"))).drop("form")
+
+    # Pairs that share several buckets are compared in the first of them; lines without a pair to compare are left out.
     same = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
     among = blocks.where("NOT q.big")
-    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("p") != F.col("q")) | (F.col("l1_a") < F.col("l1_b"))) & (same == F.col("band"))
-    second = side(among, "p", "a").join(side(among, "q", "b"), ["band", "p", "q"]).where(apart & _alike("s_a", "s_b")).select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b"))
+    left, right = scratch.keep(side(among, "p", "a"), "left"), scratch.keep(side(among, "q", "b"), "right")
+    x, y = left.alias("x"), right.alias("y")
+    block = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    apart = (F.col("component_a") != F.col("component_b")) & ((F.col("x.p") != F.col("x.q")) | (F.col("l1_a") < F.col("l1_b"))) & (same == F.col("x.band"))
+    asked_a, asked_b = x.join(y, block & apart, "left_semi"), y.join(x, block & apart, "left_semi")
+    names = lambda rows, c: rows.select("band", "p", "q", *[f"{n}_{c}" for n in ("l1", "bands", "component")])
+    left, right = scratch.keep(names(asked_a, "a"), "left"), scratch.keep(names(asked_b, "b"), "right")
+    x, y = with_sets(left, "a").alias("x"), with_sets(right, "b").alias("y")
+    second = x.join(y, block & apart & _alike("s_a", "s_b")).select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b"))
     # One link with a large component is enough for a line.
     beside = blocks.where("q.big")
-    a, b = side(beside, "p", "a").alias("x"), side(beside, "q", "b").alias("y")
-    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    third = a.join(b, on & _alike("s_a", "s_b"), "left_semi").select(F.col("l1_a").alias("a"), F.col("q.only").alias("b"))
+    x, y = with_sets(side(beside, "p", "a"), "a").alias("x"), with_sets(side(beside, "q", "b"), "b").alias("y")
+    third = x.join(y, block & _alike("s_a", "s_b"), "left_semi").select(F.col("l1_a").alias("a"), F.col("q.only").alias("b")).distinct()
     second = scratch.keep(second.union(third), "rest-links")
-    scratch.drop(tagged, blocks, forms, keyed)
+    scratch.drop(tagged, blocks, forms, keyed, left, right)
     return first.union(second)
 
 
