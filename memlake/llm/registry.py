@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import exact_dedup, language_id, licenses, line_dedup, media, mixing, ngram_join, pii, sentencepieces, suffix_dedup
+from memlake.llm import exact_dedup, infill, language_id, licenses, line_dedup, media, merkle, mixing, ngram_join, packing, pii, sentencepieces, suffix_dedup
 from memlake.llm.common import ship
 
 
@@ -31,9 +31,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_pii": pii.op9_pii,
         "op10_media": media.op10_media,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_packing": packing.op12_packing,
+        "op13_infill": infill.op13_infill,
     }
     return {name: _shipped(f) for name, f in plain.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op11_merkle": merkle.OP11_SQL, "op13_infill": infill.OP13_SQL}
