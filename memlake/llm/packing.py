@@ -178,8 +178,10 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode("utf-8").split())), "<u4")
 
 
-#: One for each file in a worker, so that tasks which follow each other share what it has learnt.
-encoder = functools.cache(Encoder)
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each file in a worker, so that tasks which follow each other share what it has learnt."""
+    return Encoder(path)
 
 
 def pack(
