@@ -197,10 +197,19 @@ def turn_windows(turns: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame
     return g.select("conv_id", "win", F.array_join(F.slice("lines", F.col("win") * step + 1, F.lit(size)), "\n").alias("content"))
 
 
+#: Code point of the first bucket's letter; letters go up to U+00FF.
+FIRST_LETTER = 48
+
+
 def embed(texts: Column, dim: int = 64) -> Column:
     """The default embedder: a bag of hashed words at unit length.  A model takes its place as another pandas UDF."""
+    if dim > 256 - FIRST_LETTER:
+        raise ValueError(f"at most {256 - FIRST_LETTER} dimensions")
     words = F.regexp_extract_all(F.lower(texts), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))
+    # A word's bucket as a letter, so that a bucket's count is what the letters lose without it; each step is bound once.
+    letters = F.array_join(F.transform(words, lambda w: F.char(F.pmod(F.xxhash64(w), F.lit(dim)) + FIRST_LETTER)), "")
+    count = lambda s, i: (F.length(s) - F.length(F.replace(s, F.lit(chr(FIRST_LETTER + i)), F.lit("")))).cast("double")
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    vector = bound(letters, lambda s: F.array(*[count(s, i) for i in range(dim)]))
+    unit = lambda v: bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return bound(vector, unit)

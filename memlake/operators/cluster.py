@@ -1,10 +1,14 @@
-"""Greedy clustering, per user or episode: pairs and centroids are numpy within one group."""
+"""Greedy clustering: stars by exact similarity joins and rounds; centroids within one episode are numpy."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from memlake.operators.similarity import greedy, similar_pairs
+from memlake.sources.tables import cut
 
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
@@ -16,28 +20,20 @@ def affinity_clusters(rows: DataFrame, by: str, threshold: float = 0.85, beta: f
     """Greedy stars by importance: beta * cosine + (1 - beta) * exp(-rate * hours) at least the threshold.
 
     rows: (by, id, importance, created_at, embedding) -> (by, cluster, id, affinity), affinity the mean to the centre.
+    Pairs come from the exact similarity join, the sequence is kept in rounds: no user's rows meet in one task.
     """
 
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["importance", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        e, hours = _unit(pdf), pdf["created_at"].to_numpy().astype("datetime64[us]").astype(np.int64) / 3.6e9
-        free, out = np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if not free[i]:
-                continue
-            a = beta * (e @ e[i]) + (1 - beta) * np.exp(-rate * np.abs(hours - hours[i]))
-            member = free & (a >= threshold)
-            member[i] = True
-            if member.sum() >= least:
-                free &= ~member
-                others = member.copy()
-                others[i] = False
-                mean = round(float(a[others].mean()), 6)
-                out += [(pdf[by][i], pdf["id"][i], x, mean) for x in pdf["id"][member]]
-        return pd.DataFrame(out, columns=[by, "cluster", "id", "affinity"])
+    def affinity(cosine: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return beta * cosine + (1 - beta) * np.exp(-rate * np.abs(one - other))
 
-    t = dict(rows.dtypes)
-    return rows.select(by, "id", "importance", "created_at", "embedding").groupBy(by).applyInPandas(stars, f"{by} {t[by]}, cluster {t['id']}, id {t['id']}, affinity double")
+    r = rows.select(by, "id", "importance", "embedding", (F.unix_micros(F.col("created_at").cast("timestamp_ltz")) / 3.6e9).alias("hours"))
+    floor = (threshold - (1 - beta)) / beta if beta > 0 else -1.0
+    edges = cut(similar_pairs(r, max(floor, -1.0), by, carry="hours", score=affinity, least=threshold))
+    nodes = r.select("id", by, F.struct(-F.coalesce("importance", F.lit(0)).cast("double"), "id").alias("ord"))
+    stars = greedy(nodes, edges.select("a", "b"), least)
+    ways = edges.select(F.col("a").alias("cluster"), F.col("b").alias("id"), "similarity").union(edges.select(F.col("b").alias("cluster"), F.col("a").alias("id"), "similarity"))
+    mean = stars.select(F.col("centre").alias("cluster"), "id").join(ways, ["cluster", "id"]).groupBy("cluster").agg(F.round(F.avg("similarity"), 6).alias("affinity"))
+    return stars.select("id", F.col("centre").alias("cluster")).join(mean, "cluster").join(nodes.select("id", by), "id").select(by, "cluster", "id", "affinity")
 
 
 def leader_clusters(rows: DataFrame, by: list[str], threshold: float = 0.55, most: int = 3) -> DataFrame:

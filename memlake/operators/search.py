@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, vectors
+from memlake.operators import similarity
 
 RRF_K = 60
 
@@ -125,8 +126,8 @@ def heuristic_rerank(rows: DataFrame, now: str) -> DataFrame:
 
 def near_pairs(rows: DataFrame, threshold: float, block: str) -> DataFrame:
     """(a, b, similarity), a < b, of rows of one block whose cosine exceeds the threshold."""
-    a, b = rows.select(F.col("id").alias("a"), F.col("embedding").alias("ea"), block), rows.select(F.col("id").alias("b"), F.col("embedding").alias("eb"), block)
-    return a.join(b, block).where("a < b").withColumn("similarity", vectors.cosine("ea", "eb")).where(F.col("similarity") > threshold).drop("ea", "eb")
+    p = similarity.similar_pairs(rows.select("id", "embedding", block), threshold, block)
+    return p.where(F.col("similarity") > threshold).withColumnRenamed("grp", block)
 
 
 def sign_bands(rows: DataFrame, dim: int, bands: int = 16, bits: int = 8, seed: int = 13) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.sources.tables import cut
+
 
 def as_of(versions: DataFrame, at: str, keys: tuple[str, ...]) -> DataFrame:
     """For each key the latest version that is valid at a time (from <= at < to)."""
@@ -34,6 +36,25 @@ def neighbours_in_time(rows: DataFrame, anchors: DataFrame, minutes: int) -> Dat
     return rows.join(hit, "id", "left_semi").join(anchors.select("id"), "id", "left_anti")
 
 
+def places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with idx, their place in their group from 0, and n, the group's size, without a window over a group.
+
+    Rows are range-partitioned by group and order and numbered by the engine within partitions; one row
+    for each (group, partition) turns that into places.  A group of any size is many tasks.
+    """
+    keys = [*group, *order]
+    numbered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = cut(numbered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    parts = numbered.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_rows").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_p"), "_first", before.alias("_before"), F.sum("_rows").over(w).alias("n"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return numbered.join(parts, same).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("idx"), "n")
+
+
 def chain(rows: DataFrame, entity: str, *order: str) -> DataFrame:
     """Position in the entity's chain, from 0, and the row before."""
     w = Window.partitionBy(entity).orderBy(*order)

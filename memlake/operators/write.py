@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import text
+from memlake.operators import similarity
+from memlake.sources.tables import cut
+
 
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
@@ -168,3 +172,41 @@ def resolve_entities(names: DataFrame, entities: DataFrame) -> DataFrame:
     """
     known = entities.select("entity_id", F.explode(F.array_union(F.array("normalised"), "aliases")).alias("normalised")).groupBy("normalised").agg(F.min("entity_id").alias("entity_id"))
     return names.join(known, "normalised", "left")
+
+
+def resolve_mentions(mentions: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """(id, entity_id, by): the entity of each mention, as if mentions came one by one.
+
+    mentions: (id, ord, user_id, entity_type, name, aliases, embedding).  A name that an entity of the
+    user and type has, or has as an alias, is that entity, of several the first; else the most similar
+    entity, if its cosine is at least the threshold, which then has the name as an alias; else a new one.
+    Entities are named by their first mention's id; ``by`` says which stage found them.
+
+    All mentions of a name follow its first, so names decide, not mentions; and whether a name founds an
+    entity depends on earlier founders only, which ``greedy`` settles in rounds.  Null names, and names
+    of white space, are one name, which no alias matches.
+    """
+    scope = ["user_id", "entity_type"]
+    m = mentions.withColumn("key", F.coalesce(text.entity_name(F.col("name")), F.lit("")))
+    firsts = m.groupBy(*scope, "key").agg(F.min_by(F.struct("id", "ord", "aliases", "embedding"), "ord").alias("x"))
+    # Nulls are values of the scope: a pair's scope is one string for joins.
+    names = cut(firsts.select(F.to_json(F.struct(*scope), {"ignoreNullFields": "false"}).alias("scope"), *scope, "key", "x.*"))
+    near = similarity.similar_pairs(names.select("id", "scope", "embedding"), threshold, "scope").select("a", "b", "similarity")
+    alias = names.select("scope", F.col("id").alias("a"), F.col("ord").alias("oa"), F.explode(F.coalesce("aliases", F.array().cast("array<string>"))).alias("alias"))
+    alias = alias.select("scope", "a", "oa", text.entity_name(F.col("alias")).alias("key")).where("key <> ''")
+    known = alias.join(names.select("scope", "key", F.col("id").alias("b"), F.col("ord").alias("ob")), ["scope", "key"]).where("oa < ob")
+    edges = near.withColumn("alias", F.lit(False)).union(known.select("a", "b", F.lit(1.0), F.lit(True)))
+    edges = cut(edges.groupBy("a", "b").agg(F.max("similarity").alias("similarity"), F.bool_or("alias").alias("alias")))
+    order = names.select("id", "ord")
+    founders = cut(similarity.greedy(order, edges).select(F.col("centre").alias("f")).distinct())
+    ways = edges.union(edges.where("NOT alias").select("b", "a", "similarity", "alias"))
+    options = ways.join(founders, ways["a"] == founders["f"], "left_semi").join(founders.withColumnRenamed("f", "b"), "b", "left_anti")
+    options = options.join(order.select(F.col("id").alias("a"), F.col("ord").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("ord").alias("ob")), "b").where("oa < ob")
+    # An alias before any likeness, the first entity before later ones; then the most similar, of equals the first.
+    rank = F.struct(~F.col("alias"), F.when(~F.col("alias"), -F.col("similarity")), "oa")
+    follows = options.groupBy("b").agg(F.min_by(F.struct(F.col("a").alias("entity_id"), F.when(F.col("alias"), "alias").otherwise("similar").alias("by")), rank).alias("e"))
+    found = names.join(follows, names["id"] == follows["b"], "left").select(*scope, "key", F.col("id").alias("first"), F.coalesce("e.entity_id", "id").alias("entity_id"), F.coalesce("e.by", F.lit("new")).alias("how"))
+    same = m["key"] == found["key"]
+    for c in scope:
+        same = same & m[c].eqNullSafe(found[c])
+    return m.join(found, same).select(m["id"], "entity_id", F.when(m["id"] == F.col("first"), F.col("how")).otherwise("name").alias("by"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from memlake.functions import rules as R
 from memlake.functions import scoring
 from memlake.functions import text as X
+from memlake.functions import vectors as V
 from memlake.operators import cluster, dedupe, packaging, temporal, write
 from memlake.plans.core import M, T, mem
 from memlake.registry import query
@@ -304,6 +305,23 @@ def version_chain(s, d):
     return write.scd2(v, "claim_id", "valid_from").select("version_id", "valid_to", "superseded_by", "previous_version", "current")
 
 
+def mentions(s, d):
+    """Memories as mentions of entities: the first words are the name; some are named again in capitals, by an alias, or by a new name with almost the same vector."""
+    words = F.array_join(F.slice(F.split(F.trim(F.coalesce("content", F.lit(""))), r"\s+"), 1, 3), " ")
+    none = F.array().cast("array<string>")
+    first = mem(s, d).select("id", "user_id", F.col("topic").cast("string").alias("entity_type"), words.alias("name"), F.when(F.col("id") % 7 == 0, F.array(F.concat(F.lit("Alias "), F.col("id")))).otherwise(none).alias("aliases"), F.col("embedding").cast("array<double>").alias("embedding"))
+    capitals = first.where("id % 3 = 0").select(F.col("id") + 1_000_000, "user_id", "entity_type", F.concat(F.upper("name"), F.lit("!")), none, F.reverse("embedding"))
+    turned = V.blend("embedding", F.reverse("embedding"), 0.8)
+    anew = first.where("id % 5 = 0").select(F.col("id") + 2_000_000, "user_id", "entity_type", F.concat(F.lit("Entity "), F.col("id")), none, turned)
+    alias = first.where("id % 7 = 0").select(F.col("id") + 3_000_000, "user_id", "entity_type", F.concat(F.lit("alias  "), F.col("id")), none, F.reverse("embedding"))
+    return first.union(capitals).union(anew).union(alias).withColumn("ord", F.col("id"))
+
+
+@query("u11_entity_resolution")
+def entity_resolution(s, d):
+    return write.resolve_mentions(mentions(s, d))
+
+
 @query("u10_beliefs")
 def beliefs(s, d):
     e = table(s, d, "events").select((F.col("user_id") % 40).alias("target"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "click", 0.1).otherwise(-0.05).alias("delta"))

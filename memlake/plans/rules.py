@@ -302,7 +302,7 @@ def contradictions(s, d):
     return conflict.execute(x, preserve=True).where("outcome = 'preserved_contradiction'").select("conv_id", "turn", (F.col("turn") - 1).alias("left_turn"))
 
 
-@query("u6_entity_scope", S(rf"SELECT {KEY}, CASE WHEN action = 'ADD' OR len(list_intersect(regexp_extract_all(fact, '[A-Z][a-z]{3,}'), regexp_extract_all(coalesce(candidate, ''), '[A-Z][a-z]{3,}'))) > 0 THEN action ELSE 'ADD' END AS action FROM pairs", _PAIRS))
+@query("u6_entity_scope", S(rf"SELECT {KEY}, CASE WHEN action = 'ADD' OR len(list_intersect(regexp_extract_all(fact, '[A-Z][a-z]{{3,}}'), regexp_extract_all(coalesce(candidate, ''), '[A-Z][a-z]{{3,}}'))) > 0 THEN action ELSE 'ADD' END AS action FROM pairs", _PAIRS))
 def entity_scope(s, d):
     names = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit("([A-Z][a-z]{3,})"), F.lit(1))
     return conflict.entity_scoped(decisions(s, d), names("fact"), names("candidate")).select("conv_id", "turn", "action")
