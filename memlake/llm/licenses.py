@@ -1,16 +1,19 @@
 """License scans by a positional rare-token index (operator 2), in DataFrame operations only.
 
-Templates are licence texts and notices as word sequences.  Over all documents the document
-frequencies of the templates' words are counted; the index is a table of postings (word, template,
-position) of each template's rarest words, that of its mandatory key phrase always among them.  Files'
-words are looked up in the index by a join; postings that agree on the offset at which the template
-would lie meet in one row.  Every such offset is verified: a template counts as found if at one of
-them its key phrase stands at its place and enough of its words do; the best share counts.
-
-Scale: one pass counts frequencies (a table as long as the templates' vocabulary goes to the driver),
-one looks words up, one gives the base columns.  The index, a few rows for each template, is broadcast;
-no text is shuffled: what leaves the second pass is one row for each occurrence of a rare licence word
-whose template verifies there, keyed by the text's digest, so that copies of a text share it.
+Templates are licence texts and notices as word sequences, each with a mandatory key phrase.  Over all
+documents the document frequencies of the templates' words are counted; a file's highest-IDF licence
+words are those of its words that are the rarest of some template's key phrase, and the index has the
+postings (template, position) of these.  Each such word in a file gives the offset at which a template
+would lie; the postings of the key's other words are intersected with it by relative position, which
+verifies the key phrase, and what is left counts as found if enough of its words are in place; the best
+share counts.  Every place of every file is tried.
+
+Scale: one pass counts frequencies (a table as long as the templates' vocabulary goes to the driver), one
+looks words up, one gives the base columns.  The index, a few rows for each template, is part of the
+plan.  A file that holds none of its words leaves at once; another is cut into blocks of ``BLOCK`` words
+with a template's length around them, so that work and memory of a row are bounded and grow with a
+file's words, not their square.  No text is shuffled: what leaves the second pass is one row for each
+template found in a block, keyed by the text's digest, so that copies of a text share it.
 
 Defined results: a null text is empty; a file without words has n_words 0, null first_word and
 last_word, empty labels and score 0; texts of any length are scanned whole; of offsets that tie none is
@@ -34,8 +37,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Least share of a template's words in place.
 LEAST = 0.6
-#: Words of a template that are indexed.
-RARE = 4
+#: Words of a file that are scanned in one row.
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -124,35 +127,54 @@ def document_frequencies(padded: DataFrame, templates: tuple[Template, ...] = TE
     return {r["w"]: r["count"] for r in rows}
 
 
-def postings(spark: SparkSession, idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """The index: (word, position, template, label, words, key_words, key_at); the rarest words of each template."""
+def postings(idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
+    """The index: for the rarest word of each template's key, (template, position)."""
     rarity = lambda w: (-idf.get(w, math.inf), w)
-    rows = []
+    out: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(templates):
         key = t.key.split()
-        sure = t.key_at + key.index(min(key, key=rarity))
-        more = sorted(range(len(t.words)), key=lambda i: (rarity(t.words[i]), i))
-        for i in dict.fromkeys([sure, *more][:RARE]):
-            rows.append((t.words[i], i, n, t.label, t.words, key, t.key_at))
-    return spark.createDataFrame(rows, "word string, position int, template int, label string, words array<string>, key_words array<string>, key_at int")
+        word = min(key, key=rarity)
+        out.setdefault(word, []).append((n, t.key_at + key.index(word)))
+    return out
 
 
-def found_templates(texts: DataFrame, index: DataFrame) -> DataFrame:
+def _blocks(words: Column, margin: int) -> Column:
+    """The words in structs (from, to, words) of BLOCK words and ``margin`` more on both sides; from and to are the block's own places in it."""
+
+    def cut(k: Column) -> Column:
+        start = F.greatest(k * BLOCK - margin, F.lit(0))
+        own = k * BLOCK - start
+        return F.struct(own.alias("from"), (own + BLOCK).alias("to"), F.slice(words, start + 1, own + BLOCK + margin).alias("words"))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), cut)
+
+
+def found_templates(texts: DataFrame, index: dict[str, list[tuple[int, int]]], templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(a, b, found): for the digest of each text with a template in it, the (label, share) of its templates.
 
     texts: (_padded, a, b).
     """
-    hits = texts.select("a", "b", F.split(F.trim("_padded"), " ").alias("file")).select("a", "b", "file", F.posexplode("file").alias("at", "word"))
-    hits = hits.join(F.broadcast(index), "word").withColumn("offset", F.col("at") - F.col("position"))
-    # The file's words from the offset on, as far as the template goes; places before the file are missing.
-    start = F.greatest(F.col("offset"), F.lit(0))
-    there = F.slice("file", start + 1, F.greatest(F.size("words") - (start - F.col("offset")), F.lit(0)))
-    hits = hits.select("a", "b", "template", "offset", "label", "words", "key_words", "key_at", (start - F.col("offset")).alias("skip"), there.alias("there"))
-    key = F.slice("there", F.greatest(F.col("key_at") - F.col("skip"), F.lit(0)) + 1, F.size("key_words"))
-    hits = hits.where((F.col("key_at") >= F.col("skip")) & (key == F.col("key_words")))
-    same = F.zip_with("there", F.slice("words", F.col("skip") + 1, F.size("there")), lambda x, y: (x == y).cast("int"))
-    share = F.aggregate(same, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))) / F.size("words")
-    placed = hits.select("a", "b", "template", "offset", "label", share.alias("share")).where(F.col("share") >= LEAST)
+    known = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.array(*map(F.lit, t.key.split())).alias("key"), F.lit(t.key_at).alias("key_at")) for t in templates])
+    table = F.create_map(*[x for w, ps in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
+    margin = max(len(t.words) for t in templates)
+    files = texts.select("a", "b", F.split(F.trim("_padded"), " ").alias("file")).where(F.arrays_overlap("file", F.array(*map(F.lit, index))))
+    blocks = files.select("a", "b", F.explode(_blocks(F.col("file"), margin)).alias("x")).select("a", "b", "x.*").where(F.arrays_overlap("words", F.array(*map(F.lit, index))))
+
+    words = F.col("words")
+    own = lambda i: (i >= F.col("from")) & (i < F.col("to"))
+    looked_up = F.transform(words, lambda w, i: F.when(own(i), F.transform(F.try_element_at(table, w), lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("at")))))
+    hits = F.transform(F.flatten(F.filter(looked_up, lambda x: x.isNotNull())), lambda h: F.struct(F.element_at(known, h["t"] + 1).alias("x"), h["at"].alias("at")))
+    # The other words of the key at their places relative to the hit.
+    keyed = F.filter(hits, lambda h: (h["at"] + h["x"]["key_at"] >= 0) & (F.slice(words, F.greatest(h["at"] + h["x"]["key_at"], F.lit(0)) + 1, F.size(h["x"]["key"])) == h["x"]["key"]))
+
+    def share(h: Column) -> Column:
+        # Places before the file's first word are missing.
+        skip = F.greatest(-h["at"], F.lit(0))
+        there = F.slice(words, h["at"] + skip + 1, F.greatest(F.size(h["x"]["words"]) - skip, F.lit(0)))
+        same = F.zip_with(there, F.slice(h["x"]["words"], skip + 1, F.size(there)), lambda x, y: x == y)
+        return F.struct(h["x"]["label"].alias("label"), (F.size(F.filter(same, lambda x: x)) / F.size(h["x"]["words"])).alias("share"))
+
+    placed = blocks.select("a", "b", F.explode(F.transform(keyed, share)).alias("x")).select("a", "b", "x.*").where(F.col("share") >= LEAST)
     best = placed.groupBy("a", "b", "label").agg(F.max("share").alias("share"))
     return best.groupBy("a", "b").agg(F.collect_list(F.struct("label", "share")).alias("found"))
 
@@ -165,11 +187,12 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     # The input's row is a struct, so the operator's columns clash with none of it.
-    padded = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), padded_words(docs[text_col]).alias("_padded"))
+    quoted = lambda c: docs[f"`{c}`"]
+    padded = docs.select(F.struct(*[quoted(c).alias(c) for c in kept]).alias("_row"), padded_words(quoted(text_col)).alias("_padded"))
     padded = padded.withColumn("a", F.xxhash64("_padded")).withColumn("b", F.xxhash64("_padded", F.lit(1)))
     total = docs.count()
     idf = {w: math.log((1 + total) / n) for w, n in document_frequencies(padded.select("_padded"), templates).items()}
-    found = found_templates(padded.select("_padded", "a", "b"), postings(docs.sparkSession, idf, templates))
+    found = found_templates(padded.select("_padded", "a", "b"), postings(idf, templates), templates)
 
     rows = padded.withColumn("_n", _spaces(F.col("_padded")) - 1)
     for i, (count, first, last) in enumerate([_base(p) for p, _ in BASE]):

@@ -88,6 +88,21 @@ def test_license_scan_tries_every_offset(spark, tables):
     assert [got[i]["labels"] for i in range(3)] == ["mit", "", "gpl,gpl-3.0"]
 
 
+def test_license_scan_of_long_texts_of_licence_words(spark, tables):
+    """Time and memory go with a file's words: many files of 10,000 licence words, one of a million, whole templates across block ends."""
+    r = random.Random(3)
+    pool = [w for t in licenses.TEMPLATES for w in t.words]
+    texts = [" ".join(r.choice(pool) for _ in range(10_000)) for _ in range(40)]
+    texts.append(" ".join(r.choice(pool) for _ in range(1_000_000)))
+    t = next(x for x in licenses.TEMPLATES if x.label == "zlib")
+    texts += ["x " * k + t.text + " y" * 5000 for k in (0, licenses.BLOCK - 1, licenses.BLOCK - t.key_at - 3, licenses.BLOCK - len(t.words) + 1, 3 * licenses.BLOCK - 20)]
+    texts.append(" ".join(t.words[2:]) + " y")
+    got = {x["doc_id"]: x for x in rows_of(spark, "op2_license_scan", tables([(i, x, None, None) for i, x in enumerate(texts)]))}
+    assert [got[i]["n_words"] for i in (0, 40)] == [10_000, 1_000_000]
+    assert [(got[i]["labels"], got[i]["score"]) for i in range(41, 46)] == [("zlib", 1.0)] * 5
+    assert (got[46]["labels"], got[46]["score"]) == ("zlib", pytest.approx(1 - 2 / len(t.words)))
+
+
 def test_language_id(spark, tables):
     r = random.Random(2)
     syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["str", "ing", "the", "ou"]}
