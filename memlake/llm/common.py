@@ -23,6 +23,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*[df[quoted(c)].alias(c) for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     global _own_dir

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WS, Scratch, documents
+from memlake.llm.common import WS, Scratch, _delete, as_row, documents, quoted, shared_dir
 
 SCHEMA = "digest binary, keep_id {id}, batch string"
 
@@ -52,12 +52,24 @@ class DigestIndex:
             spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {name}")
         if not exists(name):
             columns = SCHEMA.format(id=id_type)
-            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS")
+            spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self._place()}'")
 
-    def _write(self, rows: DataFrame, name: str) -> None:
+    def _place(self) -> str:
+        """A folder for a table among those that all executors share, wherever the session's warehouse is."""
+        return f"{shared_dir(self.spark)}/memlake/tables/{uuid.uuid4().hex}"
+
+    def _remove(self, name: str) -> None:
+        """Drop a table with its files, if there is one."""
+        if self.spark.catalog.tableExists(name):
+            where = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+            self.spark.sql(f"DROP TABLE {name}")
+            _delete(self.spark, where)
+
+    def _write(self, rows: DataFrame, name: str, place: str | None = None) -> None:
         # Dealt by the number of the bucket, so that an append makes one file for each, however many tasks there are.
         bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
-        rows.repartition(self.buckets, bucket).write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(name)
+        out = rows.repartition(self.buckets, bucket).write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
+        (out.option("path", place) if place else out).saveAsTable(name)
 
     def known(self) -> DataFrame:
         return self.spark.table(self.name).hint("merge")
@@ -96,13 +108,13 @@ class DigestIndex:
 
     def compact(self) -> None:
         """Rewrite the index with one sorted file for each bucket; safe to repeat after a crash."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._fresh}")
-        self._write(self.spark.table(self.name), self._fresh)
-        self.spark.sql(f"DROP TABLE {self.name}")
+        self._remove(self._fresh)
+        self._write(self.spark.table(self.name), self._fresh, self._place())
+        self._remove(self.name)
         self.spark.sql(f"ALTER TABLE {self._fresh} RENAME TO {self.name}")
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self._remove(self.name)
 
 
 #: Parts in which a whole table goes through a new index.
@@ -128,7 +140,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex, batch: str = "all", id_col:
     """The documents that stay, with the input's columns; of rows repeating id and text, one."""
     stay = index.add(docs, batch, id_col, text_col, parts).where("kept").select("id", "digest").distinct()
     # The operator's own columns are in structs, so no name of the input can clash with them.
-    mine = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(docs[id_col].alias("id"), digest(docs[text_col]).alias("digest")).alias("key"))
+    mine = docs.select(as_row(docs).alias("row"), F.struct(docs[quoted(id_col)].alias("id"), digest(docs[quoted(text_col)]).alias("digest")).alias("key"))
     once = mine.join(stay, mine["key.id"].eqNullSafe(stay["id"]) & (mine["key.digest"] == stay["digest"]), "left_semi").dropDuplicates(["key"])
     return once.select("row.*")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import documents
+from memlake.llm.common import as_row, documents, quoted
 
 UNKNOWN = "und"
 DIM = 1024
@@ -181,8 +181,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             columns = [*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *out])
 
-    schema = docs.select(*kept).schema.add(out[0], "string").add(out[1], "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    columns = [docs[quoted(c)] for c in kept]
+    schema = docs.select(*columns).schema.add(out[0], "string").add(out[1], "double")
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def held_out(id_col: Column) -> Column:
@@ -197,7 +198,7 @@ def fit_documents(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents with an identified language, as they were; those without any letter go."""
     # The row is a struct, so the prediction's columns clash with none of it.
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    rows = docs.select(as_row(docs).alias("row"), docs["text"].alias("text"))
     return predict(rows, fit_documents(docs)).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import documents
+from memlake.llm.common import documents, quoted
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -187,8 +187,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
     # The input's row is a struct, so the operator's columns clash with none of it.
-    quoted = lambda c: docs[f"`{c}`"]
-    padded = docs.select(F.struct(*[quoted(c).alias(c) for c in kept]).alias("_row"), padded_words(quoted(text_col)).alias("_padded"))
+    padded = docs.select(F.struct(*[docs[quoted(c)].alias(c) for c in kept]).alias("_row"), padded_words(docs[quoted(text_col)]).alias("_padded"))
     padded = padded.withColumn("a", F.xxhash64("_padded")).withColumn("b", F.xxhash64("_padded", F.lit(1)))
     total = docs.count()
     idf = {w: math.log((1 + total) / n) for w, n in document_frequencies(padded.select("_padded"), templates).items()}

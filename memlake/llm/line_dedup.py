@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import Scratch, apart_blocks, components, documents, key_filter, let
+from memlake.llm.common import Scratch, apart_blocks, components, documents, key_filter, let, quoted
 
 K, HASHES, BANDS, ROWS = 9, 16, 8, 3
 #: Lines of a bucket that are compared at once.
@@ -217,7 +217,7 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["id"]), "left")
     stay = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.array_contains(gone["gone"], i)), "\n")
     text = F.when(gone["gone"].isNull(), docs[text_col]).otherwise(stay)
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[text.alias(c) if c == text_col else docs[quoted(c)] for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

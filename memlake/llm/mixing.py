@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import NOT_WS, Scratch, documents
+from memlake.llm.common import NOT_WS, Scratch, as_row, documents
 
 SLICES = 1024
 RANGES = 1024
@@ -130,7 +130,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     per = taken_sizes(*mix(docs, id_col=id_col, **options))
     per = per.where("copies > 0").select("id", "size", "source", "copies").dropDuplicates(["id", "size", "source"])
     # The row is a struct, so the schedule's columns clash with none of it.
-    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), words(docs["text"]).alias("size"), docs["source"].alias("source"))
+    left = docs.select(as_row(docs).alias("row"), docs[id_col].alias("id"), words(docs["text"]).alias("size"), docs["source"].alias("source"))
     on = left["id"].eqNullSafe(per["id"]) & (left["size"] == per["size"]) & left["source"].eqNullSafe(per["source"])
     out = left.join(per, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select("row.*")

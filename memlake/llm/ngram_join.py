@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import BLOCK, Scratch, apart_blocks, components, documents, key_filter
+from memlake.llm.common import BLOCK, Scratch, apart_blocks, components, documents, key_filter, quoted
 
 N = 5
 #: Least similarity, as percent: 100 * intersection >= PERCENT * union.
@@ -331,7 +331,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """One document of each component, that of the smallest id, with the input's columns."""
     found = ngram_components(docs, id_col, text_col, n, percent)
     go = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(go, id_col, "left_anti").select(*docs.columns)
+    return docs.join(go, id_col, "left_anti").select(*map(quoted, docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

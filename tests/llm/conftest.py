@@ -12,7 +12,7 @@ def tables(spark, tmp_path):
         from pyspark.sql import functions as F
 
         df = spark.createDataFrame(rows, schema).withColumn("n_chars", F.length("text").cast("long"))
-        for c in ("id", "key", "size", "score", "kept", "row", "grp", "set", "digest", "line", "n"):
+        for c in ("id", "key", "size", "score", "kept", "row", "grp", "set", "digest", "line", "n", "a.b"):
             df = df.withColumn(c, F.lit("clash"))
         n = len(os.listdir(tmp_path))
         df.write.parquet(f"{tmp_path}/{n}/documents.parquet")

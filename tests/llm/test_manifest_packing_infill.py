@@ -110,7 +110,7 @@ def test_manifest_of_repeated_rows(spark, tables):
 
 def test_manifest_finds_what_changed(spark, tables, words):
     rows = merkle_rows(words)
-    docs = [spark.read.parquet(f"{tables(x)}/documents.parquet").withColumn("a.b", F.lit(1)) for x in (rows, [r for r in rows if r[0] != 2000], [(r[0], "new" if r[0] == 1007 else r[1], *r[2:]) for r in rows])]
+    docs = [spark.read.parquet(f"{tables(x)}/documents.parquet") for x in (rows, [r for r in rows if r[0] != 2000], [(r[0], "new" if r[0] == 1007 else r[1], *r[2:]) for r in rows])]
     nodes = [merkle.manifest(d)[0] for d in docs]
     assert merkle.changed(nodes[0], nodes[0]).count() == 0
     assert {(r["grp"], r["new"]) for r in merkle.changed(nodes[0], nodes[1]).collect()} == {("slone", None)}
@@ -143,7 +143,7 @@ def test_pieces_are_the_documents(spark, tables, words):
         n = sum(n for _, n in p)
         assert n == 2048 or n & (n - 1) == 0 and n < 2048
     assert sorted(got) == sorted(Q["op12_packing"](spark, path).collect())
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("a.b", F.lit(1))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
     whole = packing.sequences(packing.pack(docs, TOKENIZER)).collect()
     assert all(len(s["ids"]) == 4 * s["tokens"] == 4 * sum(p["length"] for p in s["parts"]) for s in whole)
     assert packing.padding(packing.pack(docs, TOKENIZER)).first()["padding"] == 0
@@ -213,7 +213,7 @@ def test_infill(spark, tables, words):
     texts = collections.defaultdict(list)
     for i, t, *_ in rows:
         texts[i].append(t or "")
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("a.b", F.lit(1))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
     made = infill.transform(docs).withColumn("back", infill.restore(F.col("output"), F.col("form"))).collect()
     forms = collections.Counter()
     for x in made:
