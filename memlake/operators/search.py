@@ -59,32 +59,42 @@ def keyword_rank(text: Column, terms: list[str]) -> Column:
     return F.least(F.lit(1.0), hits / F.greatest(F.lit(1), F.size(words)))
 
 
+def by_words() -> list[Column]:
+    """Order of keyword hits."""
+    return [F.desc("rank_score"), F.desc("importance"), F.asc("id")]
+
+
 def keyword_search(memories: DataFrame, terms: list[str], k: int) -> DataFrame:
     """Rows that have all the (stemmed) terms."""
     has = F.forall(F.array(*map(F.lit, terms)), lambda t: F.array_contains(F.col("_stems"), t))
     hits = memories.withColumn("_stems", stems(F.col("content"))).where(has).drop("_stems").withColumn("rank_score", keyword_rank(F.col("content"), terms))
-    return top_k(hits, k, F.desc("rank_score"), F.desc("importance"), F.asc("id"))
+    return top_k(hits, k, *by_words())
 
 
-def hybrid_search(memories: DataFrame, query: list[float], terms: list[str], k: int, now: str, lexical: float = 0.8) -> DataFrame:
-    """Vector and keyword channels of 4k rows each, fused by reciprocal rank."""
+def hybrid_search(memories: DataFrame, query: list[float], terms: list[str], k: int, now: str, lexical: float = 0.8, found: DataFrame | None = None) -> DataFrame:
+    """Vector and keyword channels of 4k rows each, fused by reciprocal rank.
+
+    found: the keyword channel's (id, rank_score, importance) of an index; without one, texts are searched.
+    """
     near = vectors.cosine("embedding", vectors.literal(query)).alias("sim")
     rank = lambda *o: F.row_number().over(Window.orderBy(*o))  # noqa: E731  over 4k rows at most
     v = top_k(memories.select("id", near), 4 * k, F.desc("sim"), F.asc("id")).select("id", rank(F.desc("sim"), F.asc("id")).alias("vr"))
-    f = keyword_search(memories, terms, 4 * k).select("id", rank(F.desc("rank_score"), F.desc("importance"), F.asc("id")).alias("fr"))
+    words = keyword_search(memories, terms, 4 * k) if found is None else top_k(found, 4 * k, *by_words())
+    f = words.select("id", rank(*by_words()).alias("fr"))
     fused = v.join(f, "id", "full_outer").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("vr")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("fr")), F.lit(0.0)))
     # Scores are for the fused rows only, 8k at most.
     out = scored(memories.join(F.broadcast(fused), "id"), query, now).withColumn("ranking_score", F.col("ranking_score") + lexical * F.col("rrf"))
     return top_k(out, k, F.desc("ranking_score"), F.asc("id"))
 
 
-def fact_hybrid(facts: DataFrame, query: list[float], terms: list[str], k: int) -> DataFrame:
+def fact_hybrid(facts: DataFrame, query: list[float], terms: list[str], k: int, found: DataFrame | None = None) -> DataFrame:
     """Child facts (fact_id, parent, content, embedding, importance) ranked, fused and rolled up to parents:
-    best similarity, best fusion score, three best facts."""
+    best similarity, best fusion score, three best facts.  ``found`` as in ``hybrid_search``."""
     near = facts.withColumn("sim", vectors.cosine("embedding", vectors.literal(query)))
     rank = lambda *o: F.row_number().over(Window.orderBy(*o))
     v = top_k(near.select(F.col("fact_id").alias("id"), "sim"), 6 * k, F.desc("sim"), F.asc("id")).select("id", rank(F.desc("sim"), F.asc("id")).alias("vr"))
-    f = keyword_search(facts.withColumnRenamed("fact_id", "id"), terms, 6 * k).select("id", rank(F.desc("rank_score"), F.desc("importance"), F.asc("id")).alias("fr"))
+    words = keyword_search(facts.withColumnRenamed("fact_id", "id"), terms, 6 * k) if found is None else top_k(found, 6 * k, *by_words())
+    f = words.select("id", rank(*by_words()).alias("fr"))
     fused = v.join(f, "id", "full_outer").withColumn("rrf", F.coalesce(1.0 / (RRF_K + F.col("vr")), F.lit(0.0)) + F.coalesce(1.0 / (RRF_K + F.col("fr")), F.lit(0.0)))
     rows = facts.join(F.broadcast(fused), facts["fact_id"] == fused["id"]).select("parent", "fact_id", vectors.cosine("embedding", vectors.literal(query)).alias("sim"), "rrf")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-(F.col("sim") + F.col("rrf"))).alias("o"), "fact_id"))), 1, 3)

@@ -55,6 +55,61 @@ def places(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return numbered.join(parts, same).select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias("idx"), "n")
 
 
+def running(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """rows with ``out``, the sum of ``value`` over the rows of their group before them, without a window over a group.
+
+    Sums of (group, partition) are added up from one row each, those within a partition by a window over it.
+    """
+    keys = [*group, *order]
+    dealt = cut(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy(*group)
+    parts = dealt.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_p"), before.alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_inside", inside).join(parts, same).select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(out))
+
+
+def inversions(rows: DataFrame, group: str, one: list[str], other: list[str]) -> DataFrame:
+    """(group, inversions): pairs of rows that two orders put the other way round; ties of the second aren't any.
+
+    ``one`` must be a total order.  A row's place in the second order is a number; two places differ first
+    at some bit, and they are inverted if the one with that bit set comes first.  So for each bit, rows are
+    counted that come before a row without it, have it, and agree above it: one running sum a bit, no pairs.
+    """
+    placed = places(rows.select(group, *dict.fromkeys([*one, *other])), [group], [*other, *[c for c in one if c not in other]])
+    placed = places(placed.withColumnRenamed("idx", "_v").withColumnRenamed("n", "_n"), [group], one)
+    placed = cut(placed.select(group, "_v", F.col("idx").alias("_at"), "_n"))
+    most = placed.agg(F.max("_n")).first()[0] or 1
+    out = placed.select(group, F.lit(0).cast("long").alias("k"))
+    for bit in range((most - 1).bit_length()):
+        x = placed.select(group, F.shiftright("_v", bit + 1).alias("_above"), F.shiftright("_v", bit).bitwiseAND(1).alias("_bit"), "_at")
+        ones = running(x, [group, "_above"], ["_at"], "_bit", "k")
+        out = out.union(ones.where("_bit = 0").select(group, "k"))
+    return out.groupBy(group).agg(F.sum("k").alias("inversions"))
+
+
+def upper_median(rows: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """(group, out): the value in the middle of each group, of two the larger; nulls come last."""
+    order = F.struct(F.col(value).isNull().alias("none"), F.col(value).alias("value"))
+    placed = places(rows.select(group, order.alias("_o")), [group], ["_o"])
+    return placed.where(F.col("idx") == F.floor(F.col("n") / 2)).select(group, F.col("_o.value").alias(out))
+
+
+#: Words that a chain isn't named by (fixed values).
+CHAIN_STOP = ("the", "a", "an", "i", "my", "your", "user", "is", "was", "has", "have", "to", "of", "in", "on", "at", "for", "and", "or", "it", "this", "that")
+
+
+def chain_key(key: str, content: str) -> Column:
+    """What a row's chain is named by: its key, else its first word of three letters or more."""
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(content, F.lit(""))), r"[^a-z0-9\s]", ""), r"\s+")
+    first = F.get(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*CHAIN_STOP)), 0)
+    return F.coalesce(key, first, F.lit("__unknown__"))
+
+
 def chain(rows: DataFrame, entity: str, *order: str) -> DataFrame:
     """Position in the entity's chain, from 0, and the row before."""
     w = Window.partitionBy(entity).orderBy(*order)

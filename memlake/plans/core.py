@@ -10,7 +10,7 @@ from memlake.functions import scoring
 from memlake.operators import graph, temporal
 from memlake.operators.search import top_k
 from memlake.registry import query
-from memlake.sources.tables import NOW, table, view, with_views
+from memlake.sources.tables import NOW, cut, table, view, with_views
 
 ACTIVE = "deleted_at IS NULL AND expired_at IS NULL AND status = 'active' AND workspace_id IS NULL"
 T = f"TIMESTAMP '{NOW}'"
@@ -172,9 +172,11 @@ def grounding(s, d):
     return o.where((F.size("cited") > 0) & F.forall("cited", lambda x: F.array_contains(known, x))).select("conv_id")
 
 
-@query("j2_full_outer", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_chars, b.quality FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) a FULL JOIN labels b ON a.doc_id = b.doc_id")
+@query("j2_full_outer", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.n_chars, b.quality FROM documents a FULL JOIN (SELECT doc_id + 40 AS doc_id, quality FROM labels) b ON a.doc_id = b.doc_id")
 def full_outer(s, d):
-    return table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "full_outer")
+    # Labels are moved up, so that both sides have rows of their own.
+    labels = table(s, d, "labels").select((F.col("doc_id") + 40).alias("doc_id"), "quality")
+    return table(s, d, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "full_outer")
 
 
 @query("j6_time_neighbours", M(", a AS (SELECT id, created_at AS at FROM memories WHERE id % 50 = 1) SELECT DISTINCT m.id FROM memories m, a WHERE abs(epoch_us(m.created_at) - epoch_us(a.at)) <= 30 * 60 * 1000000 AND m.id NOT IN (SELECT id FROM a)"))
@@ -204,7 +206,7 @@ def linked_ids(s, d):
 
 @query("j9_two_hop_subgraph", with_views(", b AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), h1 AS (SELECT 1::BIGINT AS n UNION SELECT t FROM b WHERE s = 1), h2 AS (SELECT n FROM h1 UNION SELECT t FROM b JOIN h1 ON s = n) SELECT count(*) AS n_edges, count(DISTINCT s) AS n_nodes FROM b WHERE s IN (SELECT n FROM h2) AND t IN (SELECT n FROM h2)", "part_edges"))
 def two_hop_subgraph(s, d):
-    e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b"), "entity_a", "entity_b")
+    e = graph.both_ways(cut(view(s, d, "part_edges").select("entity_a", "entity_b")), "entity_a", "entity_b")
     return graph.subgraph(e, s.createDataFrame([(1,)], "node long")).agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_nodes"))
 
 
@@ -347,9 +349,17 @@ def majority_namespace(s, d):
     return top_k(g, 1, F.desc("n"), F.asc("since"), F.asc("namespace"), by=("user_id",)).select("user_id", "namespace")
 
 
-@query("g15_event_chains", M("SELECT namespace, count(*) AS members, count(DISTINCT created_at::DATE) AS days, count(*) * count(DISTINCT created_at::DATE) AS score FROM memories GROUP BY namespace HAVING count(*) >= 3 AND count(DISTINCT created_at::DATE) >= 3 AND count(*) * count(DISTINCT created_at::DATE) >= 9"))
+_CHAIN_STOP = "[" + ", ".join(f"'{w}'" for w in temporal.CHAIN_STOP) + "]"
+_FIRST_WORD = rf"coalesce(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(content, '')), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: length(w) >= 3 AND NOT list_contains({_CHAIN_STOP}, w))[1], '__unknown__')"
+_CHAINED = f", c AS (SELECT CASE WHEN id % 3 > 0 THEN namespace ELSE {_FIRST_WORD} END AS chain, (created_at + access_count * INTERVAL 1 DAY)::DATE AS day FROM memories)"
+
+
+@query("g15_event_chains", M(f"{_CHAINED} SELECT chain, count(*) AS members, count(DISTINCT day) AS days, count(*) * count(DISTINCT day) AS score FROM c GROUP BY chain HAVING count(*) >= 3 AND count(DISTINCT day) >= 3 AND count(*) * count(DISTINCT day) >= 9"))
 def event_chains(s, d):
-    return temporal.event_chains(mem(s, d), "namespace")
+    """A third of the memories have no namespace here; each happens as many days after its record as it was read."""
+    at = F.col("created_at") + F.make_dt_interval(F.col("access_count").cast("int"))
+    m = mem(s, d).withColumn("namespace", F.when(F.col("id") % 3 > 0, F.col("namespace"))).withColumn("created_at", at)
+    return temporal.event_chains(m.withColumn("chain", temporal.chain_key("namespace", "content")), "chain")
 
 
 @query("g18_decay", M(f"SELECT id, round((0.4 * importance + 0.4 * exp(-(epoch_us({T}) - epoch_us(last_accessed_at)) / 1e6 / 86400 / 30.0) + 0.2 * least(1.0, access_count / 10.0)) * trust, 6) AS retention FROM memories WHERE (epoch_us({T}) - epoch_us(created_at)) / 1e6 >= 7 * 86400"))
@@ -368,10 +378,9 @@ def cap_check(s, d):
 
 @query("g20_inversions", M(", r AS (SELECT user_id, id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, id) AS pos FROM memories) SELECT a.user_id, count(*) AS inversions FROM r a JOIN r b ON a.user_id = b.user_id AND a.pos < b.pos AND a.created_at > b.created_at GROUP BY a.user_id"))
 def inversions(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.desc("importance"), "id")
-    r = mem(s, d).select("user_id", "created_at", F.row_number().over(w).alias("pos"))
-    b = r.select("user_id", F.col("created_at").alias("c2"), F.col("pos").alias("p2"))
-    return r.join(b, "user_id").where("pos < p2 AND created_at > c2").groupBy("user_id").agg(F.count(F.lit(1)).alias("inversions"))
+    """Pairs of a user's memories whose order by importance goes against time; users without any are left out."""
+    m = mem(s, d).withColumn("weight", -F.col("importance").cast("double"))
+    return temporal.inversions(m, "user_id", ["weight", "id"], ["created_at"]).where("inversions > 0")
 
 
 @query("g21_counts_by_type", M("SELECT memory_type, user_id, count(*) AS n FROM memories GROUP BY ALL"))
@@ -422,8 +431,7 @@ def recency_rank(s, d):
 
 @query("w6_upper_median", "SELECT source, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY source")
 def upper_median(s, d):
-    a = F.array_sort(F.collect_list("n_chars"))
-    return table(s, d, "documents").groupBy("source").agg(F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int")).alias("median"))
+    return temporal.upper_median(table(s, d, "documents"), "source", "n_chars", "median")
 
 
 @query("w7_append_chain", M(", c AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY id % 2, created_at, id) - 1 AS position, lag(id) OVER (PARTITION BY user_id ORDER BY id % 2, created_at, id) AS predecessor FROM memories) SELECT * FROM c WHERE id % 2 = 1"))

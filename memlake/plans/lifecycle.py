@@ -201,11 +201,11 @@ def session_gate(s, d):
     return mem(s, d).join(scope, "episode_id", "left_semi").select("id")
 
 
-@query("u16_slot_backfill", "SELECT event_id, 'located_in:' || (user_id % 30) || ':' || event_type AS slot FROM events WHERE event_id % 4 > 0 AND value > 0 QUALIFY row_number() OVER (PARTITION BY user_id % 30, event_type ORDER BY ts DESC, event_id DESC) = 1")
+@query("u16_slot_backfill", "SELECT event_id, 'located_in:' || (user_id % 30) || ':' || event_type AS slot FROM events QUALIFY row_number() OVER (PARTITION BY user_id % 30, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def slot_backfill(s, d):
     from memlake.operators.search import top_k
 
-    e = table(s, d, "events").where("event_id % 4 > 0 AND value > 0").withColumn("slot", F.concat_ws(":", F.lit("located_in"), (F.col("user_id") % 30).cast("string"), "event_type"))
+    e = table(s, d, "events").withColumn("slot", F.concat_ws(":", F.lit("located_in"), (F.col("user_id") % 30).cast("string"), "event_type"))
     return top_k(e, 1, F.desc("ts"), F.desc("event_id"), by=("slot",)).select("event_id", "slot")
 
 

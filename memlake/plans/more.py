@@ -38,9 +38,11 @@ def ordered_facts(s, d):
     return dedupe.ordered_facts(twice.withColumn("ord", F.col("id")), "user_id", 0.9, True)
 
 
-@query("s8_majority", "SELECT source AS fact, count(DISTINCT doc_id % 5) AS votes FROM documents WHERE lang IS NOT NULL GROUP BY source HAVING count(DISTINCT doc_id % 5) >= 3")
+@query("s8_majority", "SELECT source || '/' || n_chars % 30 AS fact, count(DISTINCT doc_id // 20 % 5) AS votes FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id // 20 % 5) >= 3")
 def majority(s, d):
-    r = table(s, d, "documents").where("lang IS NOT NULL").select(F.col("source").alias("fact"), (F.col("doc_id") % 5).alias("run"))
+    """Documents as what five runs found: a fact is a source and a length class."""
+    fact = F.concat("source", F.lit("/"), (F.col("n_chars") % 30).cast("string"))
+    r = table(s, d, "documents").select(fact.alias("fact"), F.expr("doc_id div 20 % 5").alias("run"))
     return dedupe.majority(r, "fact", "run", 5)
 
 
@@ -68,11 +70,11 @@ def content_hash(s, d):
     return dedupe.new_content(x.where("doc_id % 2 = 1"), known).select("doc_id", "hash")
 
 
-@query("s12_candidate_merge", M("SELECT id, max(s) AS similarity FROM (SELECT id, importance AS s FROM memories WHERE id % 2 = 0 UNION ALL SELECT id, trust FROM memories WHERE id % 3 = 0) GROUP BY id"))
+@query("s12_candidate_merge", M("SELECT id, max(s) AS similarity FROM (SELECT id, importance AS s FROM memories WHERE id % 2 = 0 UNION ALL SELECT id, trust FROM memories WHERE id % 2 = 1 OR id % 3 = 0) GROUP BY id"))
 def candidate_merge(s, d):
     m = mem(s, d)
     a = m.where("id % 2 = 0").select("id", F.col("importance").cast("double").alias("s"))
-    return a.unionByName(m.where("id % 3 = 0").select("id", F.col("trust").cast("double").alias("s"))).groupBy("id").agg(F.max("s").alias("similarity"))
+    return a.unionByName(m.where("id % 2 = 1 OR id % 3 = 0").select("id", F.col("trust").cast("double").alias("s"))).groupBy("id").agg(F.max("s").alias("similarity"))
 
 
 @query("s14_entity_last_wins", "SELECT lower(source) AS name, arg_max(lang, doc_id) AS lang, min(doc_id) AS place FROM documents GROUP BY lower(source)")

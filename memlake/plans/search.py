@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from memlake.functions import predicates as P
 from memlake.functions import scoring, vectors
 from memlake.functions import rules as R
-from memlake.operators import fusion, graph, ranking, search
+from memlake.operators import conflict, fusion, graph, lineage, ranking, search, textindex
 from memlake.plans.core import ACTIVE, M, T, mem
 from memlake.plans.rules import has
 from memlake.registry import query
-from memlake.sources.tables import NOW, table, view, with_views
+from memlake.sources.tables import NOW, cut, table, view, with_views
 
 #: The query vector is the embedding of vector 0: a scalar subquery, so that no data comes to the driver.
 Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -62,9 +62,25 @@ WORDS = "list_transform(regexp_extract_all(lower(content), '[a-z0-9]+'), lambda
 KW = f"SELECT *, least(1.0, len(list_filter({WORDS}, lambda w: list_contains(['the', 'of'], w)))::DOUBLE / greatest(1, len({WORDS}))) AS rank_score FROM memories WHERE list_has_all({WORDS}, ['the', 'of'])"
 
 
+_indexes: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def memory_index(s, d):
+    """The memories' text index, built once for a folder of tables and session."""
+    at = (s.sparkContext.applicationId, d)
+    if at not in _indexes:
+        _indexes[at] = textindex.build(mem(s, d).select("id", "content", "importance", "user_id"), keep=("importance", "user_id"))
+    return _indexes[at]
+
+
+def found(s, d, terms):
+    """Keyword hits of that index."""
+    return textindex.matches(s, memory_index(s, d), terms)
+
+
 @query("v6_keyword_search", M(f", k AS ({KW}) SELECT id, round(rank_score, 6) AS rank_score FROM k ORDER BY k.rank_score DESC, importance DESC, id LIMIT 10"))
 def keyword_search(s, d):
-    return search.keyword_search(mem(s, d), ["the", "of"], 10).select("id", F.round("rank_score", 6).alias("rank_score"))
+    return search.top_k(found(s, d, ["the", "of"]), 10, *search.by_words()).select("id", F.round("rank_score", 6).alias("rank_score"))
 
 
 RRF = "coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + fr), 0)"
@@ -73,7 +89,7 @@ HYBRID = SCORED + f", k AS ({KW} ORDER BY rank_score DESC, importance DESC, id L
 
 @query("v7_hybrid", M(HYBRID + " SELECT id, round(ranking_score + 0.8 * rrf, 6) AS ranking_score FROM sc JOIN u USING (id) ORDER BY ranking_score + 0.8 * rrf DESC, id LIMIT 10".replace("ORDER BY ranking_score", "ORDER BY sc.ranking_score")))
 def hybrid(s, d):
-    return search.hybrid_search(mem(s, d), vec0(s, d), ["the", "of"], 10, NOW).select("id", F.round("ranking_score", 6).alias("ranking_score"))
+    return search.hybrid_search(mem(s, d), vec0(s, d), ["the", "of"], 10, NOW, found=found(s, d, ["the", "of"])).select("id", F.round("ranking_score", 6).alias("ranking_score"))
 
 
 FACT_SQL = QCTE + ", v AS (SELECT id, row_number() OVER (ORDER BY similarity DESC, id) AS vr FROM sim ORDER BY similarity DESC, id LIMIT 60), k AS (" + KW + " ORDER BY rank_score DESC, importance DESC, id LIMIT 60), f AS (SELECT id, row_number() OVER (ORDER BY rank_score DESC, importance DESC, id) AS fr FROM k), u AS (SELECT id, " + RRF + " AS rrf FROM v FULL JOIN f USING (id)) SELECT user_id AS parent, round(max(similarity), 6) AS similarity, round(max(rrf), 6) AS rrf, list(id ORDER BY similarity + rrf DESC, id)[1:3] AS facts FROM sim JOIN u USING (id) GROUP BY user_id"
@@ -82,7 +98,7 @@ FACT_SQL = QCTE + ", v AS (SELECT id, row_number() OVER (ORDER BY similarity DES
 @query("v8_fact_hybrid", M(FACT_SQL))
 def fact_hybrid(s, d):
     f = mem(s, d).select(F.col("id").alias("fact_id"), F.col("user_id").alias("parent"), "content", "embedding", "importance")
-    return search.fact_hybrid(f, vec0(s, d), ["the", "of"], 10).select("parent", F.round("similarity", 6).alias("similarity"), F.round("rrf", 6).alias("rrf"), "facts")
+    return search.fact_hybrid(f, vec0(s, d), ["the", "of"], 10, found=found(s, d, ["the", "of"])).select("parent", F.round("similarity", 6).alias("similarity"), F.round("rrf", 6).alias("rrf"), "facts")
 
 
 @query("v9_topic_search", M(QCTE + " SELECT id, round(similarity, 6) AS similarity FROM sim WHERE topic IS NOT NULL ORDER BY sim.similarity DESC, id LIMIT 8"))
@@ -169,29 +185,29 @@ def link_candidates(s, d):
     return search.top_k(both, 10, F.desc("similarity"), F.asc("dst"), by=("src",)).select("src", "dst", F.round("similarity", 6).alias("similarity"))
 
 
-CH = ", ch AS (SELECT 'semantic' AS channel, 1.2 AS weight, 0 AS ord, id, importance AS score FROM memories WHERE id % 2 = 0 UNION ALL SELECT 'entity', 1.3, 1, id, trust FROM memories WHERE id % 3 = 0), rk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, id) AS rank FROM ch)"
+CH = ", ch AS (SELECT 'semantic' AS channel, 1.2 AS weight, 0 AS ord, id, importance AS score FROM memories WHERE id % 2 = 0 UNION ALL SELECT 'entity', 1.3, 1, id, trust FROM memories WHERE id % 2 = 1 OR id % 3 = 0), rk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY score DESC, id) AS rank FROM ch)"
 
 
 @query("r1_rank_fusion", M(CH + " SELECT id, round(sum(weight / (60.0 + rank)), 6) AS fused, round(arg_min(score, ord), 6) AS score FROM rk WHERE rank <= 60 GROUP BY id"))
 def rank_fusion(s, d):
     m = mem(s, d)
     a = m.where("id % 2 = 0").select(F.lit("semantic").alias("channel"), F.lit(fusion.CHANNELS["semantic"]).alias("weight"), F.lit(0).alias("ord"), "id", F.col("importance").cast("double").alias("score"))
-    b = m.where("id % 3 = 0").select(F.lit("entity").alias("channel"), F.lit(fusion.CHANNELS["entity"]).alias("weight"), F.lit(1).alias("ord"), "id", F.col("trust").cast("double").alias("score"))
+    b = m.where("id % 2 = 1 OR id % 3 = 0").select(F.lit("entity").alias("channel"), F.lit(fusion.CHANNELS["entity"]).alias("weight"), F.lit(1).alias("ord"), "id", F.col("trust").cast("double").alias("score"))
     ranked = a.unionByName(b).withColumn("rank", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("score"), "id"))).where("rank <= 60")
     return fusion.rrf(ranked).select("id", F.round("fused", 6).alias("fused"), F.round("score", 6).alias("score"))
 
 
-@query("r3_stage_merge", M("SELECT id, round(max(k), 6) AS score FROM (SELECT id, importance AS k FROM memories WHERE id % 2 = 0 UNION ALL SELECT id, trust * 0.92 FROM memories WHERE id % 3 = 0) GROUP BY id"))
+@query("r3_stage_merge", M("SELECT id, round(max(k), 6) AS score FROM (SELECT id, importance AS k FROM memories WHERE id % 2 = 0 UNION ALL SELECT id, trust * 0.92 FROM memories WHERE id % 2 = 1 OR id % 3 = 0) GROUP BY id"))
 def stage_merge(s, d):
     row = lambda c: ["id", F.col(c).cast("double").alias("score"), F.lit(None).cast("double").alias("ranking_score")]
     m = mem(s, d)
-    return fusion.stage_merge(m.where("id % 2 = 0").select(*row("importance")), m.where("id % 3 = 0").select(*row("trust")), 0.92).select("id", F.round("score", 6).alias("score"))
+    return fusion.stage_merge(m.where("id % 2 = 0").select(*row("importance")), m.where("id % 2 = 1 OR id % 3 = 0").select(*row("trust")), 0.92).select("id", F.round("score", 6).alias("score"))
 
 
-@query("r4_repair_accept", M("SELECT round(a, 6) AS before, round(b, 6) AS after, NOT (a > 0.6 AND b < a) AND b - a >= 0.01 AND b >= 0.3 AS accepted FROM (SELECT max(importance) FILTER (id % 2 = 0) * 0.5 AS a, max(trust) FILTER (id % 3 = 0) AS b FROM memories)"))
+@query("r4_repair_accept", M("SELECT round(a, 6) AS before, round(b, 6) AS after, NOT (a > 0.6 AND b < a) AND b - a >= 0.01 AND b >= 0.3 AS accepted FROM (SELECT max(importance) FILTER (id % 2 = 0) * 0.5 AS a, max(trust) FILTER (id % 2 = 1 OR id % 3 = 0) AS b FROM memories)"))
 def repair_accept(s, d):
     m = mem(s, d)
-    out = fusion.repair_accepted(m.where("id % 2 = 0").select((F.col("importance").cast("double") * 0.5).alias("score")), m.where("id % 3 = 0").select(F.col("trust").cast("double").alias("score")))
+    out = fusion.repair_accepted(m.where("id % 2 = 0").select((F.col("importance").cast("double") * 0.5).alias("score")), m.where("id % 2 = 1 OR id % 3 = 0").select(F.col("trust").cast("double").alias("score")))
     return out.select(F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "accepted")
 
 
@@ -202,6 +218,11 @@ def mmr(s, d):
     return fusion.mmr(cand, 5)
 
 
+def parts_both_ways(s, d):
+    """Edges of parts that are ordered together, in both directions; the join that makes them runs once."""
+    return graph.both_ways(cut(view(s, d, "part_edges").select("entity_a", "entity_b")), "entity_a", "entity_b")
+
+
 def _ppr_sql(rounds: int) -> str:
     out = with_views(
         ", a AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), n1 AS (SELECT t AS n FROM a WHERE s IN (1, 2) UNION SELECT unnest([1, 2])), n2 AS (SELECT t AS n FROM a JOIN n1 ON s = n UNION SELECT n FROM n1),"
@@ -214,14 +235,14 @@ def _ppr_sql(rounds: int) -> str:
 
 @query("r6_personalised_pagerank", _ppr_sql(20))
 def personalised_pagerank(s, d):
-    e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b"), "entity_a", "entity_b")
+    e = parts_both_ways(s, d)
     seeds = s.createDataFrame([(1, 1.0), (2, 1.0)], "node long, weight double")
     return graph.pagerank(e, seeds).select("node", F.round("rank", 6).alias("rank")).where("rank > 0")
 
 
 @query("r6b_activation", with_views(", e AS (SELECT entity_a AS s, entity_b AS t FROM part_edges UNION ALL SELECT entity_b, entity_a FROM part_edges), a1 AS (SELECT n, max(v) AS v FROM (SELECT 1::BIGINT AS n, 1.0 AS v UNION ALL SELECT t, 0.7 FROM e WHERE s = 1) GROUP BY n), a2 AS (SELECT n, max(v) AS v FROM (SELECT * FROM a1 UNION ALL SELECT t, 0.7 * v FROM e JOIN a1 ON s = n) GROUP BY n), a3 AS (SELECT n, max(v) AS v FROM (SELECT * FROM a2 UNION ALL SELECT t, 0.7 * v FROM e JOIN a2 ON s = n) GROUP BY n) SELECT n AS node, round(v, 6)::DOUBLE AS activation FROM a3", "part_edges"))
 def activation(s, d):
-    e = graph.both_ways(view(s, d, "part_edges").select("entity_a", "entity_b"), "entity_a", "entity_b")
+    e = parts_both_ways(s, d)
     return graph.spread(e, s.createDataFrame([(1, 1.0)], "node long, weight double")).select("node", F.round("activation", 6).alias("activation"))
 
 
@@ -310,3 +331,66 @@ def vector_math(s, d):
     e = c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("e"))
     sub = vectors.subsample("e")
     return e.select("label", F.slice(F.transform("e", lambda x: F.round(x, 5)), 1, 4).alias("head"), F.round(vectors.dot(sub, sub), 6).alias("sampled"))
+
+
+# New facts against memories ----------------------------------------------------------------------
+
+#: The stored vectors are far apart; this is the cosine that a few of them reach.
+LEAST = 0.25
+
+
+def new_facts(s, d):
+    """Every fourth memory as a fact that comes in, with its slot."""
+    m = mem(s, d).where("id % 4 = 0")
+    text = F.coalesce("content", F.lit(""))
+    return m.select(
+        F.col("id").alias("fact_id"), "user_id", text.alias("fact"), "embedding", F.col("state_key").alias("slot"), F.col("importance").cast("double").alias("importance"),
+        ((F.col("id") % 10) / 10.0).cast("double").alias("confidence"), R.fact_keywords(text).alias("keywords"), text.alias("updated"),
+    )
+
+
+def stored(s, d):
+    """The other memories."""
+    return mem(s, d).where("id % 4 <> 0").select("id", "user_id", "content", "embedding", F.col("state_key").alias("slot"), "created_at", "importance", "agent_id")
+
+
+_STOPS = "[" + ", ".join("'" + w + "'" for w in (*R.UNCERTAIN, *R.GENERIC)) + "]"
+_WORD = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(content, '')), '[a-z]{4,}'), lambda w: NOT list_contains(" + _STOPS + ", w)))"
+_PARTS = (
+    f", fact AS (SELECT id AS fact_id, user_id, embedding::DOUBLE[] AS v, state_key AS slot, unnest({_WORD}) AS word FROM memories WHERE id % 4 = 0), fact1 AS (SELECT id AS fact_id, user_id, embedding::DOUBLE[] AS v, state_key AS slot FROM memories WHERE id % 4 = 0),"
+    f" mem AS (SELECT id, user_id, embedding::DOUBLE[] AS v, state_key AS slot, created_at, {_WORD} AS words FROM memories WHERE id % 4 <> 0), memw AS (SELECT id, user_id, unnest(words) AS word FROM mem),"
+    f" n AS (SELECT fact_id, m.id, list_cosine_similarity(f.v, m.v) AS similarity FROM fact1 f JOIN mem m USING (user_id) WHERE list_cosine_similarity(f.v, m.v) >= {LEAST} QUALIFY row_number() OVER (PARTITION BY fact_id ORDER BY similarity DESC, m.id) <= 3),"
+    " t AS (SELECT fact_id, sum(CASE WHEN length(word) >= 8 THEN 1.5::DOUBLE ELSE 1 END) AS total FROM fact GROUP BY fact_id),"
+    " g AS (SELECT f.fact_id, m.id, sum(CASE WHEN length(f.word) >= 8 THEN 1.5::DOUBLE ELSE 1 END) AS got FROM fact f JOIN memw m ON f.user_id = m.user_id AND f.word = m.word GROUP BY f.fact_id, m.id),"
+    " w AS (SELECT g.fact_id, g.id, least(0.89::DOUBLE, 0.45::DOUBLE + 0.44::DOUBLE * got / total) AS similarity FROM g JOIN t USING (fact_id) QUALIFY row_number() OVER (PARTITION BY g.fact_id ORDER BY similarity DESC, g.id) <= 5),"
+    " h AS (SELECT user_id, slot, id FROM mem WHERE slot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, slot ORDER BY created_at DESC, id DESC) = 1),"
+    " s AS (SELECT fact_id, h.id, 1.0::DOUBLE AS similarity FROM fact1 f JOIN h ON f.user_id = h.user_id AND f.slot = h.slot),"
+)
+
+
+@query("u1_conflict_candidates", M(_PARTS + " a AS (SELECT *, FALSE AS by_slot FROM n UNION ALL SELECT *, FALSE FROM w UNION ALL SELECT *, TRUE FROM s) SELECT fact_id, id, round(max(similarity), 6) AS similarity, bool_or(by_slot) AS by_slot FROM a GROUP BY fact_id, id"))
+def conflict_candidates(s, d):
+    c = lineage.candidates(new_facts(s, d), stored(s, d), least=LEAST)
+    return c.select("fact_id", "id", F.round("similarity", 6).alias("similarity"), "by_slot")
+
+
+def decisions(s, d):
+    facts, memories = new_facts(s, d), stored(s, d)
+    return lineage.decided(facts, memories, lineage.candidates(facts, memories, least=LEAST))
+
+
+@query("u3_decisions")
+def fact_decisions(s, d):
+    """Proposed and final action of each fact on its own candidates, and what executing it does."""
+    x = decisions(s, d).withColumn("network", F.lit("experience")).withColumn("target_confidence", F.lit(None).cast("double"))
+    return conflict.execute(x, preserve=False).select("fact_id", "given", "action", "target_id", "outcome", F.array_join("effects", ",").alias("effects"))
+
+
+@query("u8_lineage")
+def lineage_rows(s, d):
+    return lineage.lineage(decisions(s, d))
+
+
+@query("u8b_backfilled_lineage", M(", e AS (SELECT user_id, id, sha256('claim|' || user_id || '|' || id)[1:32] AS claim, sha256('version|' || user_id || '|' || id || '|backfill')[1:32] AS version FROM memories) SELECT user_id, 'version' AS \"table\", version AS id, claim AS ref FROM e UNION ALL SELECT user_id, 'claim', claim, version FROM e UNION ALL SELECT user_id, 'evidence', sha256('evidence|' || user_id || '|' || id || '|backfill')[1:32], version FROM e"))
+def backfilled(s, d):
+    return lineage.backfill(mem(s, d)).select("user_id", "table", "id", "ref")

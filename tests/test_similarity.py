@@ -132,3 +132,22 @@ def test_names_are_compared_in_normal_form(spark):
     df = spark.createDataFrame(rows, "id long, ord long, user_id string, entity_type string, name string, aliases array<string>, embedding array<double>")
     assert {x["id"]: (x["entity_id"], x["by"]) for x in write.resolve_mentions(df).collect()} == {1: (1, "new"), 2: (1, "name"), 3: (1, "alias"), 4: (4, "new"), 5: (4, "name"), 6: (6, "new")}
     assert write.resolve_mentions(df.where("id < 0")).collect() == []
+
+
+def test_places_running_sums_and_inversions(spark):
+    from memlake.operators import temporal
+
+    r = random.Random(2)
+    data = [(r.choice([None, "a", "b", "hot", "hot", "hot"]), k, r.randrange(40), r.randrange(5)) for k in range(300)]
+    df = spark.createDataFrame(data, "g string, at long, v int, x int").repartition(5)
+    by = {}
+    for row in sorted(data, key=lambda t: t[1]):
+        by.setdefault(row[0], []).append(row)
+    got = temporal.places(df, ["g"], ["at"]).collect()
+    assert {(x["g"], x["at"]): (x["idx"], x["n"]) for x in got} == {(g, t[1]): (k, len(rows)) for g, rows in by.items() for k, t in enumerate(rows)}
+    got = temporal.running(df, ["g"], ["at"], "x", "s").collect()
+    assert {(x["g"], x["at"]): x["s"] for x in got} == {(g, t[1]): sum(u[3] for u in rows[:k]) for g, rows in by.items() for k, t in enumerate(rows)}
+    got = {x["g"]: x["inversions"] for x in temporal.inversions(df, "g", ["at"], ["v"]).collect()}
+    assert got == {g: sum(a[2] > b[2] for i, a in enumerate(rows) for b in rows[i + 1 :]) for g, rows in by.items()}
+    got = {x["g"]: x["m"] for x in temporal.upper_median(df, "g", "v", "m").collect()}
+    assert got == {g: sorted(t[2] for t in rows)[len(rows) // 2] for g, rows in by.items()}
