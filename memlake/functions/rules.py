@@ -351,7 +351,11 @@ def lookup_tokens(text: Column, most: int = 8) -> Column:
     return F.slice(F.array_distinct(F.concat(words, F.regexp_extract_all(text, F.lit(edged(r"(\b\d+\b)")), F.lit(1)))), 1, most)
 
 
-def stem(word: Column, irregular: dict[str, str] = IRREGULAR) -> Column:
+def stem(word: Column) -> Column:
+    return stem_by(word, IRREGULAR)
+
+
+def stem_by(word: Column, irregular: dict[str, str]) -> Column:
     cases = [(word == k, v) for k, v in irregular.items()]
     cases += [(word.endswith(s) & (F.length(word) > len(s) + 2), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in ("ing", "ed", "es", "s")]
     return first_of(cases, word)

@@ -91,7 +91,7 @@ def scored(memories: DataFrame, question: str) -> DataFrame:
     """memories with hits (concepts of the question's event), names (its subjects), plans and score."""
     low = F.lower(F.coalesce("content", F.lit("")))
     plain = F.regexp_replace(F.regexp_replace(low, R.edged(r"\b([a-z]+)'s\b"), "$1"), r"[^a-z0-9'\s-]", " ")
-    words = F.transform(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= LEAST_TERM), lambda w: R.stem(w, IRREGULAR))
+    words = F.transform(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= LEAST_TERM), lambda w: R.stem_by(w, IRREGULAR))
     asked = [_stem(t) for t in terms(question)]
     out = memories.withColumn("_words", words).withColumn("_low", low)
     out = out.withColumn("hits", _total([_any(F.col("_low"), g) for g in concepts(question)])).withColumn("names", _total([F.col("_low").contains(s) for s in subjects(question)]))
