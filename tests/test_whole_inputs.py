@@ -59,3 +59,26 @@ def test_injections_in_every_documents_own_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["flagged"] for r in registry.QUERIES["f9_injections"](spark, str(tmp_path)).collect()}
     assert got == {i: t is not None and t != "clean" for i, t in rows}
+
+
+def test_default_embedding_of_a_long_text(spark):
+    """Bucket counts at unit length, spelt out; forty texts of five thousand words and one of a hundred thousand."""
+    texts = [(i, " ".join(f"w{(i * 7 + k * k) % 900}é" for k in range(5000))) for i in range(40)] + [(40, "Ab c " * 50_000), (41, "?!"), (42, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r["id"]: r["e"] for r in df.select("id", X.embed(F.col("text")).alias("e")).collect()}
+    words = df.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("w"))
+    want = np.zeros((43, 64))
+    for r in words.groupBy("id", F.pmod(F.xxhash64("w"), F.lit(64)).alias("b")).count().collect():
+        want[r["id"], r["b"]] = r["count"]
+    for i in range(41):
+        assert np.allclose(got[i], want[i] / np.linalg.norm(want[i]))
+    assert got[41] == got[42] == [0.0] * 64
+
+
+def test_entity_scope_has_both_outcomes(spark):
+    from memlake.operators import conflict
+
+    names = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit("([A-Z][a-z]{3,})"), F.lit(1))
+    rows = [("Paris is far", "Paris again", "UPDATE"), ("Paris is far", "Rome again", "UPDATE"), ("Ana came", "Ana left", "DELETE"), ("Paris", None, "NOOP"), ("x", "y", "ADD")]
+    df = spark.createDataFrame(rows, "fact string, candidate string, action string")
+    assert [r["action"] for r in conflict.entity_scoped(df, names("fact"), names("candidate")).collect()] == ["UPDATE", "ADD", "ADD", "ADD", "ADD"]
