@@ -12,6 +12,7 @@ from memlake.plans.core import mem
 from memlake.plans.rules import S, has, said
 from memlake.plans.search import memory_index
 from memlake.registry import query
+from memlake.sources import wiki
 from memlake.sources.tables import table, with_views
 
 _TYPE = (
@@ -142,3 +143,29 @@ def rescue(s, d):
     again = textindex.search(q.where(routing.refused(F.col("answer"))), index, 4, scope="user_id")
     out = routing.rescued(q.select("question_id", "answer"), first, again, 5)
     return out.select("question_id.conv_id", "question_id.turn", "id", F.round("score", 6).alias("score"), "rescued")
+
+
+# Wiki pages --------------------------------------------------------------------------------------
+
+_PAGES = (
+    "SELECT CASE WHEN page_id % 7 = 0 THEN 'drafts' WHEN page_id % 2 = 0 THEN 'concepts' ELSE 'queries' END AS directory, CASE WHEN page_id % 11 = 3 THEN 'page-' || page_id // 11 % 3 ELSE 'page-' || page_id END AS slug, url AS path, 'Page ' || page_id AS title, NULL::VARCHAR AS summary, ['p' || page_id % 3] AS tags, html AS body FROM pages"
+)
+_WIKI_SQL = (
+    f"WITH p AS ({_PAGES}), n AS (SELECT *, count(*) OVER (PARTITION BY directory, slug) AS n FROM p) SELECT 'wiki/notes/' || directory || '/' || slug AS external_id, 'verbatim' AS mode, sha256(coalesce(body, '')) AS content_sha256,"
+    " '{\"externalId\":\"wiki/notes/' || directory || '/' || slug || '\",\"wiki\":{\"version\":1,\"trustLevel\":\"external-import\",\"projectId\":\"notes\",\"path\":' || to_json(path) || ',\"pageDirectory\":\"' || directory || '\",\"slug\":\"' || slug || '\",\"title\":\"' || title || '\",\"summary\":null,\"tags\":[\"' || tags[1] || '\"]}}' AS metadata"
+    " FROM n WHERE n = 1 AND directory <> 'drafts'"
+)
+
+
+@query("a14_ingest_inputs", _WIKI_SQL)
+def ingest_inputs(s, d):
+    """Pages as those of a wiki; some are in a folder that isn't allowed, some share a slug."""
+    i = F.col("page_id")
+    directory = F.when(i % 7 == 0, "drafts").when(i % 2 == 0, "concepts").otherwise("queries")
+    slug = F.concat(F.lit("page-"), F.when(i % 11 == 3, F.expr("page_id div 11 % 3")).otherwise(i).cast("string"))
+    pages = table(s, d, "pages").select(
+        directory.alias("directory"), slug.alias("slug"), F.col("url").alias("path"), F.concat(F.lit("Page "), i.cast("string")).alias("title"), F.lit(None).cast("string").alias("summary"),
+        F.array(F.concat(F.lit("p"), (i % 3).cast("string"))).alias("tags"), F.col("html").alias("body"),
+    )
+    inputs, _ = wiki.ingest_inputs(pages, "notes", "u")
+    return inputs.select("external_id", "mode", F.sha2("content", 256).alias("content_sha256"), "metadata")

@@ -76,3 +76,14 @@ def test_refused_questions_are_asked_again(spark):
     again = spark.createDataFrame([(1, 99, 1.0), (2, 11, 0.9), (2, 12, 0.4), (3, 10, 0.2)], "question_id int, id int, score double")
     got = [tuple(r) for r in routing.rescued(answers, first, again, 2).collect()]
     assert sorted(got) == [(1, 10, 0.5, False), (2, 10, 0.5, True), (2, 11, 0.9, True), (3, 10, 0.2, True)]
+
+
+def test_wiki_pages_become_inputs(spark):
+    from memlake.sources import wiki
+
+    rows = [("concepts", "a-b", "x"), ("queries", "a-b", None), ("concepts", "twice", "1"), ("concepts", "twice", "2"), ("other", "c", "x"), ("concepts", "../c", "x"), (None, "d", "x"), ("concepts", None, "x")]
+    pages = spark.createDataFrame([(d, s, f"{d}/{s}", "T", None, ["t"], b) for d, s, b in rows], "directory string, slug string, path string, title string, summary string, tags array<string>, body string")
+    good, bad = wiki.ingest_inputs(pages, "notes", "u")
+    assert {(r["external_id"], r["content"]) for r in good.collect()} == {("wiki/notes/concepts/a-b", "x"), ("wiki/notes/queries/a-b", "")}
+    assert sorted(r["reason"] for r in bad.collect()) == ["duplicate"] * 2 + ["not allowed"] * 4
+    assert wiki.ingest_inputs(pages, "Not Allowed", "u")[0].collect() == []
