@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
-from memlake.functions import vectors
+from memlake.operators import similarity
 from memlake.operators.search import top_k
 
 #: Types that read reflections, and the specialists in the order in which they are asked (fixed values).
@@ -47,8 +47,7 @@ def reflections(questions: DataFrame, stored: DataFrame, k: int = 3) -> DataFram
     questions: (question_id, user_id, kind, vector); stored: (id, user_id, embedding).
     """
     asked = questions.where(F.col("kind").isin(*REFLECTED))
-    near = asked.join(stored, "user_id").select("question_id", "id", vectors.cosine("vector", "embedding").alias("similarity"))
-    return top_k(near, k, F.desc("similarity"), F.asc("id"), by=("question_id",))
+    return similarity.nearest(asked, stored, "user_id", k)
 
 
 def rescued(answers: DataFrame, first: DataFrame, again: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,10 @@ neighbours, if they are enough" in rounds: a row decides once no undecided row w
 it in order.  Rows that decide in one round have no neighbour in common, so the result is that of the
 sequence.  Each round is a few joins on the edges that are left; decided parts leave.
 
+``facing`` deals two tables that meet by group into blocks of at most ``FACING`` rows of either, and
+``nearest`` takes the best k of each block before anything is merged: what moves grows with the rows
+times the blocks they meet, and no pair leaves its task unless it is among a block's best.
+
 Scale: pivots are a sample of ``PIVOTS`` rows at most, chosen by hash, and broadcast; vectors move once
 for their cell and once for each block they meet; rounds grow with the longest chain of rows that wait
 for each other, not with rows.
@@ -28,18 +32,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.sources.tables import cut
 
 PIVOTS = 128
 BLOCK = 512
+#: Rows of either side in a block of ``facing``, and of one side in a matrix product.
+FACING = 4096
+SLICE = 512
 #: Rows that are worth a further pivot.
 ROWS_A_PIVOT = 32
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -62,7 +71,7 @@ def cells(units: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            near = _matrix(b.column(2)) @ pivots.T
+            near = matrix(b.column(2)) @ pivots.T
             home = near.argmax(axis=1)
             # Distance to the hyperplane between pivots h and j is (cos_h - cos_j) / |h - j| for unit vectors.
             visits = near[np.arange(len(home)), home][:, None] - near <= (r + 1e-9) * apart[home]
@@ -140,16 +149,102 @@ def compared(rows: DataFrame, threshold: float, group: str, pivots: int = PIVOTS
     return int(n.agg(F.sum(F.col("h") * (F.col("h") - 1) / 2 + F.col("h") * F.col("g"))).first()[0] or 0)
 
 
+def facing(asked: DataFrame, rows: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, asked_id: str = "id", row_id: str = "id", block: int = FACING) -> DataFrame:
+    """What ``run`` makes of each block of asked and each of rows that have the same ``grp``; null groups meet nothing."""
+
+    def blocks(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
+
+    asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, should both be of one table
+    asked, rows = cut(asked), cut(rows)
+    sizes = cut(blocks(asked, "_ps").join(blocks(rows, "_qs"), "grp"))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = asked.join(sizes, "grp").withColumn("_p", own(asked_id, "_ps")).withColumn("_q", every("_qs")).drop("_ps", "_qs")
+    r = rows.join(sizes, "grp").withColumn("_q", own(row_id, "_qs")).withColumn("_p", every("_ps")).drop("_ps", "_qs")
+    return a.groupBy("grp", "_p", "_q").cogroup(r.groupBy("grp", "_p", "_q")).applyInArrow(run, schema)
+
+
+def unit(vector: str) -> Column:
+    """The vector at unit length; null for one without a length."""
+    v = F.col(vector).cast("array<double>")
+    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: x / n))
+
+
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length."""
+    a = column.combine_chunks()
+    a = a if isinstance(a, pa.Array) else pa.concat_arrays(a.chunks)
+    n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    return {int(k): (at := np.nonzero(n == k)[0], matrix(a.take(pa.array(at)))) for k in np.unique(n) if k}
+
+
+def best(i: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> np.ndarray:
+    """Places of the first k of each i; order: keys, the last one first, as lexsort has them."""
+    o = np.lexsort((*order, i))
+    first = np.r_[True, i[o][1:] != i[o][:-1]] if len(o) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0)) if len(o) else np.zeros(0, int)
+    return o[np.arange(len(o)) - start < k]
+
+
+def nearest(asked: DataFrame, rows: DataFrame, group: str, k: int, least: float | None = None, block: int = FACING) -> DataFrame:
+    """(question_id, id, similarity): the k rows of each question's group with the largest cosine, ties to the smaller id.
+
+    asked: (question_id, group, vector); rows: (id, group, embedding).  A cosine with a vector that is null,
+    of no length or of another length is 0.  With ``least`` only cosines of at least that count.
+    """
+    a = asked.select(F.col(group).alias("grp"), "question_id", unit("vector").alias("v"))
+    r = rows.select(F.col(group).alias("grp"), "id", unit("embedding").alias("v"))
+
+    def run(a: pa.Table, r: pa.Table) -> pa.Table:
+        left, right = _by_length(a["v"]), _by_length(r["v"])
+        ranks = pc.rank(r["id"].combine_chunks(), "ascending", tiebreaker="first").to_numpy(zero_copy_only=False) if r.num_rows else np.zeros(0)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # Questions by the length of their vector; those without one have cosines of 0.
+        without = np.setdiff1d(np.arange(a.num_rows), np.concatenate([at for at, _ in left.values()]) if left else [])
+        for n, (at, m) in [*left.items(), (0, (without, np.zeros((len(without), 0))))]:
+            facing_at, w = right.get(n, (np.zeros(0, int), np.zeros((0, m.shape[1]))))
+            for s in range(0, len(at), SLICE):
+                sim = np.zeros((len(at[s : s + SLICE]), r.num_rows))
+                sim[:, facing_at] = m[s : s + SLICE] @ w.T
+                high = np.full(len(sim), -np.inf if least is None else least)
+                if sim.shape[1] > k:
+                    high = np.maximum(high, np.partition(sim, sim.shape[1] - k, axis=1)[:, sim.shape[1] - k])
+                i, j = np.nonzero(sim >= high[:, None] - 1e-9)
+                # Products depend on a row's place in its block; those that count are made again, alike for equal vectors.
+                place = np.full(r.num_rows, -1)
+                place[facing_at] = np.arange(len(facing_at))
+                exact = np.zeros(len(i))
+                for x in range(0, len(i), FACING):
+                    y = slice(x, x + FACING)
+                    known = place[j[y]] >= 0
+                    exact[y][known] = (m[s + i[y][known]] * w[place[j[y]][known]]).sum(axis=1)
+                if least is not None:
+                    i, j, exact = i[exact >= least], j[exact >= least], exact[exact >= least]
+                o = best(i, (ranks[j], -exact), k)
+                out.append((at[s + i[o]], j[o], exact[o]))
+        i, j, x = (np.concatenate([y[c] for y in out]) if out else np.zeros(0, int) for c in range(3))
+        return pa.table({"question_id": a["question_id"].take(pa.array(i, pa.int64())), "id": r["id"].take(pa.array(j, pa.int64())), "similarity": pa.array(x, pa.float64())})
+
+    t = dict(a.dtypes) | {"id": dict(r.dtypes)["id"]}
+    found = facing(a, r, run, f"question_id {t['question_id']}, id {t['id']}, similarity double", "question_id", "id", block)
+    w = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "id")
+    return found.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def greedy(nodes: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
     """(id, centre): the clusters of the sequential rule; rows in none are missing.
 
     nodes: (id, ord), ord of any sortable type, unique.  edges: (a, b) without direction.  In order of
     ord each row that isn't taken takes its free neighbours, if it and they are at least ``least``.
+    With a column ``todo``, rows where it is false open nothing and may be taken.
     """
+    nodes = nodes if "todo" in nodes.columns else nodes.withColumn("todo", F.lit(True))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    ranked = both.join(nodes.select(F.col("id").alias("a"), F.col("ord").alias("oa")), "a").join(nodes.select(F.col("id").alias("b"), F.col("ord").alias("ob")), "b")
+    ranked = both.join(nodes.select(F.col("id").alias("a"), F.col("ord").alias("oa"), F.col("todo").alias("todo_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("ord").alias("ob"), F.col("todo").alias("todo_b")), "b")
     # todo: free and undecided.  Decided rows that opened nothing stay in the graph, as others may take them.
-    graph = cut(ranked.select("a", "b", "oa", "ob", F.lit(True).alias("todo_a"), F.lit(True).alias("todo_b")))
+    graph = cut(ranked.select("a", "b", "oa", "ob", "todo_a", "todo_b"))
     out = nodes.where("false").select("id", F.col("id").alias("centre"))
     while True:
         # The first undecided row among a node and its neighbours, then among those of its neighbours.
@@ -175,5 +270,5 @@ def greedy(nodes: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
         graph = cut(graph)
     if least <= 1:
         # Rows whose neighbours were all taken by others are on their own.
-        out = out.union(nodes.join(out.select("id"), "id", "left_anti").select("id", F.col("id").alias("centre")))
+        out = out.union(nodes.where("todo").join(out.select("id"), "id", "left_anti").select("id", F.col("id").alias("centre")))
     return out
