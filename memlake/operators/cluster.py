@@ -1,39 +1,78 @@
-"""Greedy clustering: stars by exact similarity joins and rounds; centroids within one episode are numpy."""
+"""Greedy clustering: stars by exact comparisons in batches and rounds; centroids within one episode are numpy."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.operators.similarity import greedy, similar_pairs
+from memlake.operators.search import top_k
+from memlake.operators.similarity import SLICE, facing, greedy, matrix, unit
 from memlake.sources.tables import cut
 
+#: Rows of a group that have their turn in the first batch.
+BATCH = 512
+
 
 def _unit(pdf: pd.DataFrame) -> np.ndarray:
     e = np.array(pdf["embedding"].tolist(), np.float64).reshape(len(pdf), -1)
     return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
 
 
-def affinity_clusters(rows: DataFrame, by: str, threshold: float = 0.85, beta: float = 0.5, rate: float = 0.1, least: int = 3) -> DataFrame:
+def affinity_clusters(rows: DataFrame, by: str, threshold: float = 0.85, beta: float = 0.5, rate: float = 0.1, least: int = 3, batch: int = BATCH) -> DataFrame:
     """Greedy stars by importance: beta * cosine + (1 - beta) * exp(-rate * hours) at least the threshold.
 
     rows: (by, id, importance, created_at, embedding) -> (by, cluster, id, affinity), affinity the mean to the centre.
-    Pairs come from the exact similarity join, the sequence is kept in rounds: no user's rows meet in one task.
+    The sequence is kept in batches: each group's first ``batch`` rows that haven't had their turn are compared with
+    all of its free rows, and ``greedy`` decides them in rounds; what they take leaves before the next batch, which
+    is four times as large.  So pairs of rows that a star takes early are never made, and no group meets in one task.
     """
 
-    def affinity(cosine: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return beta * cosine + (1 - beta) * np.exp(-rate * np.abs(one - other))
-
-    r = rows.select(by, "id", "importance", "embedding", (F.unix_micros(F.col("created_at").cast("timestamp_ltz")) / 3.6e9).alias("hours"))
-    floor = (threshold - (1 - beta)) / beta if beta > 0 else -1.0
-    edges = cut(similar_pairs(r, max(floor, -1.0), by, carry="hours", score=affinity, least=threshold))
-    nodes = r.select("id", by, F.struct(-F.coalesce("importance", F.lit(0)).cast("double"), "id").alias("ord"))
-    stars = greedy(nodes, edges.select("a", "b"), least)
-    ways = edges.select(F.col("a").alias("cluster"), F.col("b").alias("id"), "similarity").union(edges.select(F.col("b").alias("cluster"), F.col("a").alias("id"), "similarity"))
-    mean = stars.select(F.col("centre").alias("cluster"), "id").join(ways, ["cluster", "id"]).groupBy("cluster").agg(F.round(F.avg("similarity"), 6).alias("affinity"))
-    return stars.select("id", F.col("centre").alias("cluster")).join(mean, "cluster").join(nodes.select("id", by), "id").select(by, "cluster", "id", "affinity")
+    known = cut(
+        rows.select(
+            F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-")).alias("grp"), F.col(by), "id", unit("embedding").alias("v"), (F.unix_micros(F.col("created_at").cast("timestamp_ltz")) / 3.6e9).alias("x"),
+            F.struct(-F.coalesce("importance", F.lit(0)).cast("double"), "id").alias("ord"),
+        )
+    )
+    lengths = known.where("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    # Vectors of another length than most have no pairs.
+    free = known.where(F.size("v") == (lengths["n"] if lengths else 0)).withColumn("todo", F.lit(True))
+    types = dict(free.dtypes)
+
+    def compare(a: pa.Table, r: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if a.num_rows and r.num_rows:
+            v, w, x, y = matrix(a["v"]), matrix(r["v"]), a["x"].to_numpy(), r["x"].to_numpy()
+            for s in range(0, len(v), SLICE):
+                sim = beta * (v[s : s + SLICE] @ w.T) + (1 - beta) * np.exp(-rate * np.abs(x[s : s + SLICE, None] - y[None, :]))
+                i, j = np.nonzero(sim >= threshold)
+                found.append((i + s, j, sim[i, j]))
+        i, j, sim = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, int) for c in range(3))
+        out = pa.table({"a": a["id"].take(pa.array(i, pa.int64())), "b": r["id"].take(pa.array(j, pa.int64())), "similarity": pa.array(sim, pa.float64())})
+        return out.filter(pc.not_equal(out["a"], out["b"]))
+
+    parts, size = [], batch
+    while True:
+        first = top_k(free.where("todo").select("grp", "id", "v", "x", "ord"), size, F.asc("ord"), by=("grp",))
+        first = cut(first)
+        if first.isEmpty():
+            break
+        edges = cut(facing(first.drop("ord"), free.select("grp", "id", "v", "x"), compare, f"a {types['id']}, b {types['id']}, similarity double"))
+        now = first.select("id", F.lit(True).alias("now"))
+        nodes = free.select("id", "ord").join(now, "id", "left").select("id", "ord", F.coalesce("now", F.lit(False)).alias("todo"))
+        stars = cut(greedy(nodes, edges.select("a", "b"), least))
+        mean = stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).join(edges, ["a", "b"]).groupBy("a").agg(F.round(F.avg("similarity"), 6).alias("affinity"))
+        parts.append(stars.select("id", F.col("centre").alias("cluster")).join(mean.withColumnRenamed("a", "cluster"), "cluster").join(free.select("id", by), "id").select(by, "cluster", "id", "affinity"))
+        left = free.join(stars.select("id"), "id", "left_anti").join(now, "id", "left")
+        free = cut(left.withColumn("todo", F.col("todo") & F.col("now").isNull()).drop("now").select(free.columns))
+        size *= 4
+    none = known.where("false").select(by, F.col("id").alias("cluster"), "id", F.lit(0.0).alias("affinity"))
+    return reduce(DataFrame.union, parts, none)
 
 
 def leader_clusters(rows: DataFrame, by: list[str], threshold: float = 0.55, most: int = 3) -> DataFrame:

@@ -151,3 +151,37 @@ def test_places_running_sums_and_inversions(spark):
     assert got == {g: sum(a[2] > b[2] for i, a in enumerate(rows) for b in rows[i + 1 :]) for g, rows in by.items()}
     got = {x["g"]: x["m"] for x in temporal.upper_median(df, "g", "v", "m").collect()}
     assert got == {g: sorted(t[2] for t in rows)[len(rows) // 2] for g, rows in by.items()}
+
+
+def test_nearest_in_blocks_by_brute_force(spark):
+    """Copies tie by id across blocks; vectors that are null or of another length have a cosine of 0."""
+    v = vectors(90, dim=8)
+    v[10:40] = v[10]
+    odd = [(900, "u", None), (901, "u", []), (902, "u", [1.0, 0.0]), (903, "u", [0.0] * 8)]
+    stored = [(k, "u" if k % 5 else "w", x.tolist()) for k, x in enumerate(v)] + odd
+    asked = [((k, 1), "u" if k % 3 else None, v[k].tolist()) for k in range(0, 90, 2)] + [((900, 2), "u", None), ((901, 2), "w", [2.0, 0.0])]
+    s = spark.createDataFrame(stored, "id long, user_id string, embedding array<double>")
+    q = spark.createDataFrame(asked, "question_id struct<a:long,b:long>, user_id string, vector array<double>")
+
+    def cosine(a, b):
+        a, b = a or [], b or []
+        n = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    for least in (None, 0.5):
+        want = {}
+        for i, g, x in asked:
+            found = sorted((-round(cosine(x, y), 9), k) for k, h, y in stored if g == h)
+            want |= {(i, k): -c for c, k in [f for f in found if least is None or -f[0] >= least][:4]}
+        got = similarity.nearest(q, s, "user_id", 4, least, block=16).collect()
+        assert len(got) == len(want) and {(tuple(r["question_id"]), r["id"]): round(r["similarity"], 9) for r in got} == {k: pytest.approx(c, abs=1e-8) for k, c in want.items()}
+
+
+def test_stars_in_batches_never_make_all_pairs(spark):
+    """One dense group: the sequence is kept over several batches, of which none compares all rows with all."""
+    v = vectors(120, centres=3)
+    df = spark.createDataFrame([(k, ["u", None][k % 2], 1.0 - k / 1000, x.tolist()) for k, x in enumerate(v)], "id long, user_id string, importance double, embedding array<double>").withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    got = cluster.affinity_clusters(df, "user_id", threshold=0.9, batch=4).collect()
+    a = 0.5 * (v @ v.T) + 0.5
+    want = one_by_one(range(120), [(i, j) for i in range(120) for j in range(i) if i % 2 == j % 2 and a[i, j] >= 0.9], 3)
+    assert {x["id"]: x["cluster"] for x in got} == want and len(want) > 60
