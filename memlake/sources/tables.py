@@ -55,8 +55,37 @@ def with_views(body: str, *names: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+#: Lines of orders in one task of what joins them with each other.
+LINES = 250_000
+
+
+def line_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the lines and their pairs: they grow with the table, so that a task's rows don't. A count reads footers only."""
+    return max(1, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
+def part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_partkey), dealt by order."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition(line_parts(spark, sf_dir), "l_orderkey")
+
+
+def by_edge(pairs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.repartition(line_parts(spark, sf_dir), "entity_a", "entity_b")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of that name. Pairs hardly repeat, so they are dealt as they are and counted where they arrive."""
+    x = part_lines(spark, sf_dir)
+    a = x.select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_a"))
+    b = x.select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_b"))
+    pairs = by_edge(a.join(b, "memory_id").where("entity_a < entity_b"), spark, sf_dir)
+    return pairs.groupBy("entity_a", "entity_b").agg(F.min("memory_id").alias("memory_id"), F.count(F.lit(1)).alias("n"))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame.  The SQL text is Spark SQL as well; Catalyst prunes what a query doesn't use."""
+    if name == "part_edges":
+        return part_edges(spark, sf_dir)
     text = VIEW_SQL[name]
     frames = {t: table(spark, sf_dir, t) for t in ("embeddings", "documents", "events", "conversations", "lineitem", "customer", "labels") if t in text}
     named = re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in frames else m[0], text)

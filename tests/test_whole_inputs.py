@@ -82,3 +82,29 @@ def test_entity_scope_has_both_outcomes(spark):
     rows = [("Paris is far", "Paris again", "UPDATE"), ("Paris is far", "Rome again", "UPDATE"), ("Ana came", "Ana left", "DELETE"), ("Paris", None, "NOOP"), ("x", "y", "ADD")]
     df = spark.createDataFrame(rows, "fact string, candidate string, action string")
     assert [r["action"] for r in conflict.entity_scoped(df, names("fact"), names("candidate")).collect()] == ["UPDATE", "ADD", "ADD", "ADD", "ADD"]
+
+
+def test_pairs_of_parts_are_spread_as_lines_grow(spark, monkeypatch, tmp_path):
+    """Tasks of the part graph are as many as its lines ask for, and equal lines of an order all count."""
+    from memlake.sources import tables
+
+    data = [(k // 4, k % 7, 1) for k in range(400)] + [(900, 3, 1), (900, 3, 2), (900, 5, 1), (901, 98, 1), (901, 99, 1)]
+    spark.createDataFrame(data, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(tables, "LINES", 20)
+    edges = tables.view(spark, str(tmp_path), "part_edges")
+    assert edges.rdd.getNumPartitions() == 21
+    assert [tuple(r) for r in edges.where("entity_a = 98 OR entity_a = 3 AND entity_b = 5 AND memory_id < 9").select("entity_a", "entity_b", "n").collect() if r["entity_a"] == 98] == [(98, 99, 1)]
+    got = registry.QUERIES["j12_both_ends"](spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 21
+    rows = {(r["entity_a"], r["entity_b"], r["memory_id"]): r["strong"] for r in got.collect()}
+    orders = {}
+    for o, p, _ in data:
+        orders.setdefault(o, []).append(p)
+    want, n = set(), {}
+    for o, parts in orders.items():
+        for a in parts:
+            for b in parts:
+                if a < b:
+                    want.add((a, b, o))
+                    n[a, b] = n.get((a, b), 0) + 1
+    assert rows == {(a, b, o): n[a, b] > 1 for a, b, o in want} and rows[98, 99, 901] is False
