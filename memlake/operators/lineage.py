@@ -5,8 +5,8 @@ one that holds its slot, merged by the larger similarity.  A decision on them be
 tables at once (objects, memories, claims, versions, evidence, and the closing of what they replace)
 under keys made of what they are about, so a batch that is run again writes the same rows.
 
-Scale: near memories come from the blocked similarity join, shared words from an equi-join on (user,
-word), slots from an equi-join; each arm keeps a bounded number for each fact before the merge, so a
+Scale: near memories and shared words come from blocks of facts and memories of one user, of which each
+keeps its best; slots from an equi-join; each arm keeps a bounded number for each fact before the merge, so a
 fact's candidates fit in one row.  Lineage is an explode of a short array, in the facts' own partitions.
 
 Defined results: a fact without words or vector has no candidates of that arm; a fact without a slot none
@@ -18,14 +18,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions import rules as R
-from memlake.operators import conflict, write
-from memlake.operators.search import top_k
-from memlake.operators.similarity import similar_pairs
+from memlake.operators import conflict, textindex, write
+from memlake.operators.similarity import nearest
 
 NEAR, NEAREST, WORDY = 0.7, 3, 5
 LONG_WORD = 8
@@ -33,27 +31,18 @@ LONG_WORD = 8
 
 def near(facts: DataFrame, memories: DataFrame, least: float = NEAR, k: int = NEAREST) -> DataFrame:
     """(fact_id, id, similarity): the k nearest memories of each fact's user with a cosine of at least ``least``."""
-    left = facts.select(F.concat(F.lit("f"), "fact_id").alias("id"), "user_id", "embedding", F.lit(0.0).alias("side"))
-    right = memories.select(F.concat(F.lit("m"), "id").alias("id"), "user_id", "embedding", F.lit(1.0).alias("side"))
-
-    def across(cosine: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-        return np.where(one != other, cosine, -2.0)
-
-    p = similar_pairs(left.unionByName(right), least, "user_id", carry="side", score=across, least=least)
-    # "f" sorts before "m".
-    p = p.select(F.expr("substring(a, 2)").cast("long").alias("fact_id"), F.expr("substring(b, 2)").cast("long").alias("id"), "similarity")
-    return top_k(p, k, F.desc("similarity"), F.asc("id"), by=("fact_id",))
+    asked = facts.select(F.col("fact_id").alias("question_id"), "user_id", F.col("embedding").alias("vector"))
+    return nearest(asked, memories, "user_id", k, least).withColumnRenamed("question_id", "fact_id")
 
 
 def wordy(facts: DataFrame, memories: DataFrame, k: int = WORDY) -> DataFrame:
     """(fact_id, id, similarity): the k memories of each fact's user that have most of its words, by weight."""
-    weight = F.when(F.length("word") >= LONG_WORD, 1.5).otherwise(1.0)
-    mine = facts.select("fact_id", "user_id", F.explode(R.conflict_keywords(F.col("fact"))).alias("word"))
-    total = mine.groupBy("fact_id").agg(F.sum(weight).alias("total"))
-    theirs = memories.select("id", "user_id", F.explode(R.conflict_keywords(F.col("content"))).alias("word"))
-    got = mine.join(theirs, ["user_id", "word"]).groupBy("fact_id", "id").agg(F.sum(weight).alias("got")).join(total, "fact_id")
-    scored = got.select("fact_id", "id", F.least(F.lit(0.89), 0.45 + 0.44 * F.col("got") / F.col("total")).alias("similarity"))
-    return top_k(scored, k, F.desc("similarity"), F.asc("id"), by=("fact_id",))
+    words = R.conflict_keywords(F.col("fact"))
+    asked = facts.select(F.col("user_id").alias("grp"), F.col("fact_id").alias("question_id"), words.alias("terms"), F.transform(words, lambda w: F.when(F.length(w) >= LONG_WORD, 1.5).otherwise(1.0)).alias("weights"))
+    asked = asked.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda s, w: s + w))
+    held = memories.select(F.col("user_id").alias("grp"), "id", R.conflict_keywords(F.col("content")).alias("terms")).withColumn("tf", F.transform("terms", lambda w: F.lit(0).cast("long"))).withColumn("length", F.lit(1))
+    got = textindex.overlaps(asked, held, k)
+    return got.select(F.col("question_id").alias("fact_id"), "id", F.least(F.lit(0.89), 0.45 + 0.44 * F.col("got") / F.col("total")).alias("similarity"))
 
 
 def slotted(facts: DataFrame, memories: DataFrame) -> DataFrame:

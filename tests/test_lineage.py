@@ -98,3 +98,40 @@ def test_many_questions_through_the_index(spark, tmp_path):
     assert sorted(got) == [(1, 1, 0.6667), (1, 2, 0.3333), (2, 3, 0.6667)]
     got = {(r["question_id"], r["id"]) for r in textindex.search(asked, index, 1).collect()}
     assert got == {(1, 1), (2, 2)}
+
+
+def test_overlaps_in_blocks_by_brute_force(spark):
+    """Blocks smaller than the groups, frequent terms, ties, and texts without terms."""
+    import random
+
+    from memlake.operators import textindex
+
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    bag = lambda n: r.sample(words, n)
+    asked = [((k, 1), r.choice(["u", "w", None]), t, [1.5 if w > "w5" else 1.0 for w in t], float(len(t))) for k in range(50) for t in [bag(r.choice([0, 1, 4])) if k % 9 else ["gone"]]]
+    held = [(k, r.choice(["u", "w", "x"]), t, [r.choice([1, 2]) for _ in t], 20) for k in range(70) for t in [bag(r.choice([0, 2, 6]))]] + [(99, "u", None, None, 0)]
+    a = spark.createDataFrame(asked, "question_id struct<a:long,b:long>, grp string, terms array<string>, weights array<double>, total double")
+    h = spark.createDataFrame(held, "id long, grp string, terms array<string>, tf array<bigint>, length int")
+    want = {}
+    for q, g, terms, weights, total in asked:
+        found = []
+        for i, o, have, tf, n in held:
+            at = [(w, tf[have.index(t)]) for t, w in zip(terms, weights, strict=True) if g == o and t in (have or [])]
+            if at:
+                found.append((-sum(w for w, _ in at), -sum(f for _, f in at) / n, i))
+        want |= {(q, i): (-x, total, -y) for x, y, i in sorted(found)[:3]}
+    got = {(tuple(x["question_id"]), x["id"]): (x["got"], x["total"], x["often"]) for x in textindex.overlaps(a, h, 3, block=8).collect()}
+    assert got == want and len(got) > 40
+
+
+def test_an_index_is_built_in_parts_that_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    from memlake.operators import textindex
+
+    monkeypatch.setattr(textindex, "TEXTS", 4)
+    df = spark.createDataFrame([(k, f"common t{k % 5}s t{k % 5}") for k in range(40)] + [(3, "common again")], "id long, content string")
+    index = textindex.build(df, folder=str(tmp_path), buckets=2)
+    files = [p for p in (tmp_path / "postings").rglob("*.parquet")]
+    assert len(files) > 4  # not one for each bucket
+    got = {r["id"]: r["rank_score"] for r in textindex.matches(spark, index, ["common"], buckets=2).collect()}
+    assert got == {k: 1 / 3 if k != 3 else 2 / 5 for k in range(40)}
