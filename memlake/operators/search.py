@@ -7,11 +7,14 @@ anything is shuffled: a local rank comes first, the global rank over what is lef
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import scoring, vectors
 from memlake.operators import similarity
+from memlake.sources.tables import cut
 
 RRF_K = 60
 
@@ -141,7 +144,7 @@ def near_pairs(rows: DataFrame, threshold: float, block: str) -> DataFrame:
 
 
 def sign_bands(rows: DataFrame, dim: int, bands: int = 16, bits: int = 8, seed: int = 13) -> DataFrame:
-    """(id, band, code): sign-random-projection buckets for approximate candidate search."""
+    """rows with codes: a sign-random-projection bucket for each band, for approximate candidate search."""
     import random
 
     r = random.Random(seed)
@@ -149,13 +152,38 @@ def sign_bands(rows: DataFrame, dim: int, bands: int = 16, bits: int = 8, seed:
     codes = []
     for b in range(bands):
         signs = [F.when(vectors.dot("embedding", vectors.literal(p)) >= 0, 1 << j).otherwise(0) for j, p in enumerate(planes[b * bits : (b + 1) * bits])]
-        codes.append(F.struct(F.lit(b).alias("band"), sum(signs[1:], signs[0]).alias("code")))
-    return rows.select("id", F.explode(F.array(*codes)).alias("x")).select("id", "x.band", "x.code")
+        codes.append(sum(signs[1:], signs[0]))
+    return rows.withColumn("codes", F.array(*codes))
 
 
-def candidates_by_bands(rows: DataFrame, queries: DataFrame, dim: int, threshold: float, **options) -> DataFrame:
-    """(query_id, id, similarity): rows in a bucket of a query (query_id, embedding), verified by cosine."""
-    left = sign_bands(queries.withColumnRenamed("query_id", "id"), dim, **options).withColumnRenamed("id", "query_id")
-    pairs = left.join(sign_bands(rows, dim, **options), ["band", "code"]).select("query_id", "id").distinct()
-    out = pairs.join(rows.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    return out.select("query_id", "id", vectors.cosine("embedding", "q").alias("similarity")).where(F.col("similarity") > threshold)
+def candidates_by_bands(rows: DataFrame, queries: DataFrame, dim: int, threshold: float, block: int = similarity.FACING, **options) -> DataFrame:
+    """(query_id, id, similarity): rows in a bucket of a query (query_id, embedding), verified by cosine.
+
+    Rows and queries of a bucket meet in blocks; a pair counts in the first band in which it shares a bucket,
+    so none is made twice, and only pairs above the threshold leave their task. Vectors of another length
+    than ``dim`` have no candidates.
+    """
+    if threshold < 0:
+        raise ValueError("the threshold must not be negative")
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        x = cut(sign_bands(df, dim, **options).select(name, "codes", similarity.unit("embedding").alias("v")).where(F.size("v") == dim))
+        return x.select(name, "codes", "v", F.posexplode("codes").alias("band", "code")).select(F.struct("band", "code").alias("grp"), "band", name, "codes", "v")
+
+    def run(a: pa.Table, r: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if a.num_rows and r.num_rows:
+            v, w, p, q, band = similarity.matrix(a["v"]), similarity.matrix(r["v"]), similarity.matrix(a["codes"]), similarity.matrix(r["codes"]), a["band"][0].as_py()
+            for s in range(0, len(v), similarity.SLICE):
+                i, j = np.nonzero(v[s : s + similarity.SLICE] @ w.T > threshold - 1e-9)
+                for x in range(0, len(i), block):
+                    one, other = i[x : x + block] + s, j[x : x + block]
+                    # Products depend on a row's place in its block; these are alike for equal vectors.
+                    exact = (v[one] * w[other]).sum(axis=1)
+                    new = (exact > threshold) & ~(p[one, :band] == q[other, :band]).any(axis=1)
+                    found.append((one[new], other[new], exact[new]))
+        i, j, c = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, int) for n in range(3))
+        return pa.table({"query_id": a["query_id"].take(pa.array(i, pa.int64())), "id": r["id"].take(pa.array(j, pa.int64())), "similarity": pa.array(c, pa.float64())})
+
+    kind = dict(rows.dtypes)["id"]
+    return similarity.facing(placed(queries, "query_id"), placed(rows, "id"), run, f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, similarity double", "query_id", "id", block)

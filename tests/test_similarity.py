@@ -185,3 +185,16 @@ def test_stars_in_batches_never_make_all_pairs(spark):
     a = 0.5 * (v @ v.T) + 0.5
     want = one_by_one(range(120), [(i, j) for i in range(120) for j in range(i) if i % 2 == j % 2 and a[i, j] >= 0.9], 3)
     assert {x["id"]: x["cluster"] for x in got} == want and len(want) > 60
+
+
+def test_candidates_by_bands_are_the_pairs_of_shared_buckets(spark):
+    """No pair twice, although copies share every band, and all of them are there; blocks are smaller than buckets."""
+    v = vectors(150, dim=8, centres=4)
+    v[20:60] = v[20]
+    df = rows(spark, v, ["u"] * len(v)).select("id", "embedding")
+    q = df.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    got = [(r["query_id"], r["id"]) for r in search.candidates_by_bands(df, q, 8, 0.3, block=8, bands=2, bits=6).collect()]
+    codes = {r["id"]: r["codes"] for r in search.sign_bands(df, 8, 2, 6).collect()}
+    s = v @ v.T
+    want = {(a, b) for a in range(0, 150, 10) for b in range(150) if s[a, b] > 0.3 and any(x == y for x, y in zip(codes[a], codes[b], strict=True))}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < (s[::10] > 0.3).sum()
