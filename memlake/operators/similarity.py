@@ -5,8 +5,8 @@ unit vectors that is a distance of at most r = sqrt(2 - 2 t), so pivots prune ex
 home in the cell of its nearest pivot, and visits another cell only if the hyperplane between the two
 pivots is within r of it (triangle inequality).  A pair is looked for in the cell of the one whose home
 has the smaller number.  Cells are compared in blocks of at most ``BLOCK`` rows, as matrix products, so a
-task's work is bounded whatever a cell's or group's size; below a threshold at which pivots can't tell
-cells apart there is one cell, and the blocks alone bound the work.
+task's work is bounded whatever a cell's or group's size; where pivots can't tell cells apart, by the
+threshold or by what they save on a sample, there is one cell, and the blocks alone bound the work.
 
 ``greedy`` is the sequential rule "in order, each row that isn't taken opens a cluster with its free
 neighbours, if they are enough" in rounds: a row decides once no undecided row within two steps is before
@@ -18,7 +18,7 @@ sequence.  Each round is a few joins on the edges that are left; decided parts l
 times the blocks they meet, and no pair leaves its task unless it is among a block's best.
 
 Scale: pivots are a sample of ``PIVOTS`` rows at most, chosen by hash, and broadcast; vectors move once
-for their cell and once for each block they meet; rounds grow with the longest chain of rows that wait
+for their cell and once for each block they meet, and leave a task ``SENT`` at a time; rounds grow with the longest chain of rows that wait
 for each other, not with rows.
 
 Defined results: rows with a null vector, one of no length or of another length than most pivots' have
@@ -45,6 +45,11 @@ FACING = 4096
 SLICE = 512
 #: Rows that are worth a further pivot.
 ROWS_A_PIVOT = 32
+#: Rows on which pivots are tried, and the share of all pairs that they may leave.
+TRIED = 1024
+LEFT = 0.5
+#: Copies of rows in one batch that a task sends to cells.
+SENT = 4096
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -62,27 +67,47 @@ def _units(rows: DataFrame, group: str, carry: str | None = None) -> tuple[DataF
     return u.select("grp", "id", F.transform("v", lambda x: x / F.col("norm")).alias("v"), "x"), dim
 
 
-def cells(units: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
-    """(grp, cell, home, id, v, x): each row once at home and once for each other cell it visits."""
-    types = dict(units.dtypes)
-    apart = np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            near = matrix(b.column(2)) @ pivots.T
-            home = near.argmax(axis=1)
-            # Distance to the hyperplane between pivots h and j is (cos_h - cos_j) / |h - j| for unit vectors.
-            visits = near[np.arange(len(home)), home][:, None] - near <= (r + 1e-9) * apart[home]
-            # Only cells of a smaller number: the pair is looked for there.
-            visits &= np.arange(len(pivots))[None, :] < home[:, None]
+def _visits(vectors: np.ndarray, pivots: np.ndarray, apart: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and which cells it visits."""
+    near = vectors @ pivots.T
+    home = near.argmax(axis=1)
+    # Distance to the hyperplane between pivots h and j is (cos_h - cos_j) / |h - j| for unit vectors.
+    visits = near[np.arange(len(home)), home][:, None] - near <= (r + 1e-9) * apart[home]
+    # Only cells of a smaller number: the pair is looked for there.
+    return home, visits & (np.arange(len(pivots))[None, :] < home[:, None])
+
+
+def _apart(pivots: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(pivots[:, None, :] - pivots[None, :, :], axis=2)
+
+
+def left_by(pivots: np.ndarray, tried: np.ndarray, r: float) -> float:
+    """The share of all pairs that the cells of the pivots leave to compare, on some vectors."""
+    home, visits = _visits(tried, pivots, _apart(pivots), r)
+    h, g = np.bincount(home, minlength=len(pivots)), visits.sum(axis=0)
+    return float((h * (h / 2 + g)).sum() / (len(tried) ** 2 / 2))
+
+
+def copies(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, r: float) -> Iterator[pa.RecordBatch]:
+    """Batches (grp, id, v, x) as those of ``cells``, of about SENT rows at most."""
+    apart = _apart(pivots)
+    # A row has as many copies as there are pivots at most.
+    rows = max(1, SENT // len(pivots))
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
+            home, visits = _visits(matrix(b.column(2)), pivots, apart, r)
             row, cell = np.nonzero(visits)
             row, cell = np.concatenate([np.arange(len(home)), row]), np.concatenate([home, cell])
             at_home = np.arange(len(row)) < len(home)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(cell, pa.int32()), pa.array(at_home), b.column(1).take(take), b.column(2).take(take), b.column(3).take(take)], names=["grp", "cell", "home", "id", "v", "x"])
 
+
+def cells(units: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
+    """(grp, cell, home, id, v, x): each row once at home and once for each other cell it visits."""
+    types = dict(units.dtypes)
+    run = lambda batches: copies(batches, pivots, r)
     return units.select("grp", "id", "v", "x").mapInArrow(run, f"grp {types['grp']}, cell int, home boolean, id {types['id']}, v array<double>, x double")
 
 
@@ -101,9 +126,11 @@ def similar_pairs(
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     # Cells don't part anything once r reaches the usual distance of pivots.
     wanted = min(pivots, units.count() // ROWS_A_PIVOT) if r < 1 else 0
-    chosen = units.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect() if wanted > 1 else []
-    points = np.unique(np.array([x["v"] for x in chosen], np.float64).reshape(len(chosen), dim), axis=0)
-    if len(points) > 1:
+    chosen = units.orderBy(F.xxhash64("id"), "id").limit(wanted + TRIED).select("v").collect() if wanted > 1 else []
+    sample = np.array([x["v"] for x in chosen], np.float64).reshape(len(chosen), dim)
+    points = np.unique(sample[:wanted], axis=0)
+    # Cells that leave most pairs to compare only cost copies.
+    if len(points) > 1 and left_by(points, sample[wanted:], r) <= LEFT:
         placed = cut(cells(units, points, r))
     else:
         placed = units.select("grp", F.lit(0).alias("cell"), F.lit(True).alias("home"), "id", "v", "x")

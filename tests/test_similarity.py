@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,23 @@ def test_candidates_by_bands_are_the_pairs_of_shared_buckets(spark):
     s = v @ v.T
     want = {(a, b) for a in range(0, 150, 10) for b in range(150) if s[a, b] > 0.3 and any(x == y for x, y in zip(codes[a], codes[b], strict=True))}
     assert len(got) == len(set(got)) and set(got) == want and len(want) < (s[::10] > 0.3).sum()
+
+
+def test_vectors_without_clusters_are_not_copied_to_cells(spark, monkeypatch):
+    """Pivots that would leave nearly all pairs to compare are left out; the pairs are the same."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(1200, 64))
+    v[7:14] = v[0:7] + 0.01
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    monkeypatch.setattr(similarity, "cells", lambda *a: pytest.fail("copied to cells"))
+    got = {(r["a"], r["b"]) for r in similarity.similar_pairs(rows(spark, v, ["u"] * len(v)), 0.92, "user_id").collect()}
+    assert got and got == brute(v, ["u"] * len(v), 0.92)
+
+
+def test_copies_for_cells_leave_in_small_batches():
+    """With a radius at which each row visits every cell before its own, no batch has more than SENT rows."""
+    v = vectors(3000)
+    whole = pa.RecordBatch.from_pydict({"grp": ["u"] * len(v), "id": range(len(v)), "v": v.tolist(), "x": [0.0] * len(v)})
+    out = list(similarity.copies(iter([whole]), v[:64], 2.0))
+    assert sum(b.num_rows for b in out) > 10 * len(v) and max(b.num_rows for b in out) <= similarity.SENT
+    assert sorted(i for b in out for i, home in zip(b["id"].to_pylist(), b["home"].to_pylist(), strict=True) if home) == list(range(len(v)))
