@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions.text import by_text
+
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -68,12 +70,11 @@ def cut(text: str, size: int, overlap: int, separator: str = " ", least: int | N
 
 def by_separator(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 100, separator: str = " ", least: int | None = None) -> DataFrame:
     """(id, chunk_index, start, end, content, words): a document's chunks, in the documents' own partitions."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    columns = {"chunk_index": pa.int32(), "start": pa.int32(), "end": pa.int32(), "content": pa.string(), "words": pa.int32()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, k, a, b, t[a:b].strip(), len(t[a:b].split())) for i, t in zip(f["id"], f["text"], strict=True) if t for k, (a, b) in enumerate(cut(t, size, overlap, separator, least))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "start", "end", "content", "words"])
+    def rows(t: str) -> Iterator[tuple]:
+        for k, (a, b) in enumerate(cut(t, size, overlap, separator, least)):
+            c = t[a:b]
+            yield k, a, b, c.strip(), len(c.split())
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {id_type}, chunk_index int, start int, end int, content string, words int")
+    return by_text(docs, id_col, text_col, rows, columns)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,6 +175,45 @@ def cut(text: str, size: int = 1500, overlap: int = 150, least: int = 100) -> li
     return out
 
 
+#: Characters of output text in one batch that a task makes from texts.
+MADE = 1 << 20
+#: What a row counts for besides its texts.
+ROW = 64
+
+
+def made(batches: Iterator[pa.RecordBatch], rows: Callable[[str], Iterable[tuple]], columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, *columns): what ``rows`` makes of each text of batches (id, text), of little more than MADE characters."""
+    for b in batches:
+        ids, texts = b.column(0), b.column(1)
+        at: list[int] = []
+        out: list[list] = [[] for _ in columns]
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            arrays = [pa.array(x, t) for x, t in zip(out, columns.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *arrays], names=["id", *columns])  # noqa: B023
+
+        for i in range(len(texts)):
+            for row in rows(texts[i].as_py() or ""):  # null and empty texts have no rows
+                at.append(i)
+                for x, v in zip(out, row, strict=True):
+                    x.append(v)
+                held += ROW + sum(len(v) for v in row if isinstance(v, str))
+                if held >= MADE:
+                    yield batch()
+                    at, out, held = [], [[] for _ in columns], 0
+        if at:
+            yield batch()
+
+
+def by_text(docs: DataFrame, id_col: str, text_col: str, rows: Callable[[str], Iterable[tuple]], columns: dict[str, pa.DataType]) -> DataFrame:
+    """(id, *columns): the rows made of each document's text, in the documents' own partitions; texts are read one at a time."""
+    names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = ", ".join([f"id {source.schema['id'].dataType.simpleString()}", *[f"{c} {names[t]}" for c, t in columns.items()]])
+    return source.mapInArrow(lambda batches: made(batches, rows, columns), schema)
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1500, overlap: int = 150, least: int = 100) -> DataFrame:
     """(id, chunk_index, char_start, char_end, content, content_hash, token_count)"""
     id_type = docs.schema[id_col].dataType.simpleString()

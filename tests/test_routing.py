@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.functions import chunking
+from memlake.functions import chunking, text
 from memlake.operators import routing
 
 
@@ -87,3 +88,14 @@ def test_wiki_pages_become_inputs(spark):
     assert {(r["external_id"], r["content"]) for r in good.collect()} == {("wiki/notes/concepts/a-b", "x"), ("wiki/notes/queries/a-b", "")}
     assert sorted(r["reason"] for r in bad.collect()) == ["duplicate"] * 2 + ["not allowed"] * 4
     assert wiki.ingest_inputs(pages, "Not Allowed", "u")[0].collect() == []
+
+
+def test_chunks_leave_in_small_batches():
+    """However many texts a batch has, what is made of them goes on after MADE characters; the whole is that of one batch."""
+    docs = [None, "", "a b " * 400_000, *["word " * 700] * 3000]
+    b = pa.RecordBatch.from_pydict({"id": range(len(docs)), "text": docs})
+    rows = lambda t: ((k, t[x:y]) for k, (x, y) in enumerate(chunking.cut(t, 1000, 100)))
+    out = list(text.made(iter([b]), rows, {"k": pa.int32(), "content": pa.string()}))
+    assert len(out) > 10 and max(x.nbytes for x in out) < 2 * text.MADE
+    got = [(i, k, c) for x in out for i, k, c in zip(*(y.to_pylist() for y in x.columns), strict=True)]
+    assert got == [(i, k, c) for i, t in enumerate(docs) for k, c in rows(t or "")]
