@@ -216,15 +216,14 @@ def by_text(docs: DataFrame, id_col: str, text_col: str, rows: Callable[[str], I
 
 def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1500, overlap: int = 150, least: int = 100) -> DataFrame:
     """(id, chunk_index, char_start, char_end, content, content_hash, token_count)"""
-    id_type = docs.schema[id_col].dataType.simpleString()
+    columns = {"chunk_index": pa.int32(), "char_start": pa.int32(), "char_end": pa.int32(), "content": pa.string(), "content_hash": pa.string(), "token_count": pa.int64()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, k, a, b, t[a:b], hashlib.sha256(t[a:b].encode()).hexdigest(), max(1, -(-(b - a) // 4))) for i, t in zip(f["id"], f["text"], strict=True) if t for k, (a, b) in enumerate(cut(t, size, overlap, least))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "char_start", "char_end", "content", "content_hash", "token_count"])
+    def rows(t: str) -> Iterator[tuple]:
+        for k, (a, b) in enumerate(cut(t, size, overlap, least)):
+            c = t[a:b]
+            yield k, a, b, c, hashlib.sha256(c.encode()).hexdigest(), max(1, -(-(b - a) // 4))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {id_type}, chunk_index int, char_start int, char_end int, content string, content_hash string, token_count long")
+    return by_text(docs, id_col, text_col, rows, columns)
 
 
 def turn_windows(turns: DataFrame, size: int = 4, overlap: int = 1) -> DataFrame:
