@@ -82,3 +82,26 @@ def counter_evidence(edges: DataFrame, candidates: DataFrame, cap: int) -> DataF
 
 def unordered_pairs(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node with an edge (a, b) to another; a component is named by its smallest node.
+
+    Large-star and small-star steps in turn: joins of the edges with one minimum per node, so no
+    neighbour list is gathered anywhere.
+    """
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.union(low).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state or now[0] == 0:
+            break
+        state = now
+    ends = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(ends)

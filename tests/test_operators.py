@@ -1,5 +1,6 @@
 """Operators on small literal inputs with known results."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from memlake.functions import predicates, rules, scoring, text, vectors
@@ -95,6 +96,49 @@ def test_ordered_facts(spark):
     assert sorted(r["id"] for r in dedupe.ordered_facts(df, "u", 0.9, False).collect()) == [1, 3]
 
 
+def facts_one_by_one(rows, threshold, keep_important):
+    """The sequential rule on one group's (id, importance, vector), in order."""
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    kept = []
+    for x in rows:
+        hit = next((k for k, y in enumerate(kept) if unit(x[2]) @ unit(y[2]) >= threshold), None)
+        if hit is None:
+            kept.append(x)
+        elif keep_important and x[1] is not None and kept[hit][1] is not None and x[1] > kept[hit][1]:
+            kept[hit] = x
+    return sorted(x[0] for x in kept)
+
+
+def test_ordered_facts_by_brute_force(spark):
+    """Chains of similar vectors, copies, importances that are null or equal, two lengths of vectors, a null group."""
+    r = np.random.default_rng(4)
+    for keep in (True, False):
+        rows = []
+        for k in range(400):
+            turn, user = r.integers(0, 40) / 40 * 3, [None, 1, 2][k % 3]
+            v = [float(np.cos(turn)), float(np.sin(turn))] if user == 1 else [float(x) for x in np.eye(8)[r.integers(0, 8)] + 0.2 * (r.integers(0, 3) == 0) * r.normal(size=8)]
+            rows.append((user, k, 1000 - k, None if r.random() < 0.1 else float(r.integers(0, 5)), v))
+        odd = [(2, 900, 1, 0.5, None), (2, 901, 2, 0.9, None), (2, 902, 3, 0.5, [0.0] * 8), (2, 903, 4, 0.9, [0.0] * 8)]
+        df = spark.createDataFrame(rows + odd, "u int, id int, ord int, importance double, embedding array<double>").repartition(3)
+        got = dedupe.ordered_facts(df, "u", 0.95, keep).collect()
+        for user in (None, 1, 2):
+            expected = facts_one_by_one([(x[1], x[3], x[4]) for x in sorted(rows, key=lambda x: x[2]) if x[0] == user], 0.95, keep)
+            assert sorted(x["id"] for x in got if x["u"] == user) == expected + ([900, 901, 902, 903] if user == 2 else [])
+
+
+def test_copies_of_a_fact_are_not_folded(spark, monkeypatch):
+    """A vector that is like no other needs no task of its own, however many facts have it."""
+    rows = [(1, i, i, float(i % 7), [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "u int, id int, ord int, importance double, embedding array<double>")
+
+    def fold(batches, *_):
+        assert not any(b.num_rows for b in batches)
+        return iter(())
+
+    monkeypatch.setattr(dedupe, "_fold", fold)
+    assert sorted(x["id"] for x in dedupe.ordered_facts(df, "u", 0.92, True).collect()) == [6, 13]
+
+
 def test_tiers_respect_the_budget(spark):
     rows = [(1, i, 0.9, "One sentence here. " * 20) for i in range(5)]
     got = packaging.tiers(spark.createDataFrame(rows, "q int, id int, score double, content string"), "q", 130).collect()
