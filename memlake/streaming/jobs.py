@@ -9,7 +9,8 @@ depends on the times of its requests alone: a request that comes after a job's d
 whether or not its timer has fired in a batch of its own.  So files may be cut into batches in any way,
 and a stream that is killed and started again from its checkpoint gives the same rows.
 
-Scale: keys are spread by hash; requests are reduced to (key, time, flag) before the shuffle.  A task
+Scale: keys are spread by hash, and a task's keys pass to Python together with their states, without a
+call for each; requests are reduced to (key, time, flag) before the shuffle.  A task
 holds one batch's requests of one key to put them in order; ``files`` at the source bounds a batch.
 
 Defined results: requests without a time or key are left out; requests of equal time count all; one that
@@ -25,11 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PENDING, RUNNING, DONE, FAILED = "pending", "in_progress", "completed", "failed"
 #: One row for each step of a job; steps are numbered within a key.
 LOG = "key long, job long, step long, status string, attempts int, last_error string, created long, tried long, requests long"
+_LOG = [c.split()[0] for c in LOG.split(", ")]
+_TYPES = {"status": object, "last_error": object, "attempts": "int32", "tried": "Int64"}
+#: State of a key: its last job and step, and whether the job is open.
+STATE = "job long, step long, created long, due long, requests long, flagged long, open boolean"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,19 +48,12 @@ def reflect(key: int, requests: int, flagged: int) -> None:
         raise ValueError("nothing to reflect on")
 
 
-class Jobs(StatefulProcessor):
-    """State of a key: (job, step, created, due, requests, flagged, open)."""
+class Jobs:
+    """What a key does with its requests and at its due time; a key has one timer, that of its open job."""
 
     def __init__(self, work: Work, quiet_ms: int):
         self.work, self.quiet_ms = work, quiet_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", "job long, step long, created long, due long, requests long, flagged long, open boolean")
-
-    def close(self) -> None:
-        pass
-
     def _run(self, key: int, s: list, log: list) -> None:
         """The tick at which a job is due."""
         job, _, created, due, requests, flagged, _ = s
@@ -72,36 +70,27 @@ class Jobs(StatefulProcessor):
     @staticmethod
     def _frames(log: list) -> Iterator[pd.DataFrame]:
         if log:
-            f = pd.DataFrame(log, columns=[c.split()[0] for c in LOG.split(", ")])
-            yield f.astype({"attempts": "int32"}).astype({"last_error": object, "tried": "Int64"})
+            columns = zip(_LOG, zip(*log, strict=True), strict=True)
+            yield pd.DataFrame({name: pd.array(x, dtype=_TYPES.get(name, "int64")) for name, x in columns})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (k,), log = key, []
-        s = list(self.state.get() or (0, 0, 0, 0, 0, 0, False))
-        asked = sorted((int(at), bool(flag)) for f in rows for at, flag in zip(f["at"], f["flag"], strict=True))
-        timer = s[3] if s[6] else None
-        for at, flag in asked:
-            if s[6] and at >= s[3]:
-                self._run(k, s, log)
-            if not s[6]:
-                s = [s[0] + 1, s[1] + 1, at, at + self.quiet_ms, 0, 0, True]
-                log.append((k, s[0], s[1], PENDING, 0, None, at, None, 1))
-            s[4] += 1
-            s[5] += flag
-        if s[6] and s[3] != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(s[3])
-        elif not s[6] and timer is not None:
-            self.handle.deleteTimer(timer)
-        self.state.update(tuple(s))
-        yield from self._frames(log)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        s, log = list(self.state.get() or (0, 0, 0, 0, 0, 0, False)), []
-        if s[6] and s[3] == expiredTimerInfo.getExpiryTimeInMs():
-            self._run(key[0], s, log)
-            self.state.update(tuple(s))
+        s = list(state.get if state.exists else (0, 0, 0, 0, 0, 0, False))
+        if state.hasTimedOut:
+            self._run(k, s, log)
+        else:
+            for at, flag in sorted((int(at), bool(flag)) for f in frames for at, flag in zip(f["at"], f["flag"], strict=True)):
+                if s[6] and at >= s[3]:
+                    self._run(k, s, log)
+                if not s[6]:
+                    s = [s[0] + 1, s[1] + 1, at, at + self.quiet_ms, 0, 0, True]
+                    log.append((k, s[0], s[1], PENDING, 0, None, at, None, 1))
+                s[4] += 1
+                s[5] += flag
+        state.update(tuple(s))
+        if s[6]:
+            # A timer fires once the watermark is beyond it; a job is due once the watermark is there.
+            state.setTimeoutTimestamp(s[3] - 1)
         yield from self._frames(log)
 
 
@@ -119,7 +108,7 @@ def keyed_state(spark: SparkSession):
 def job_log(requests: DataFrame, quiet_s: int = 60, delay: str = "10 minutes", work: Work = reflect) -> DataFrame:
     """The steps of all jobs, from a stream of requests (key, ts, flag)."""
     r = requests.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("long").alias("key"), "ts", F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("at"), F.coalesce("flag", F.lit(False)).alias("flag"))
-    return r.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Jobs(work, quiet_s * 1000), LOG, "Append", "EventTime")
+    return r.withWatermark("ts", delay).groupBy("key").applyInPandasWithState(Jobs(work, quiet_s * 1000), LOG, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run(log: DataFrame, out: str, checkpoint: str, after: Callable[[int], None] = lambda number: None) -> StreamingQuery:
