@@ -41,7 +41,7 @@ STAR = 1024
 #: N-grams of a line that are listed at once.
 GRAMS = 1 << 16
 #: N-grams that are hashed in one row.
-STEP = 8
+STEP = 16
 #: Least similarity.
 SIMILAR = 80  # percent
 
@@ -95,23 +95,28 @@ def gram(wide: Column, at: Column) -> Column:
     return F.xxhash64(F.substring(wide, at, F.lit(2 * K)))
 
 
-def minima(rows: DataFrame) -> DataFrame:
-    """(l1, m0 ... m15) for lines that have an n-gram."""
+def grams(rows: DataFrame) -> DataFrame:
+    """(l1, h0 ... h15): the n-gram hashes of (l1, form) rows, STEP to a row; lines without an n-gram have no rows."""
     # The wide text is a column below the explosions, so it is made once for a line.
     # Short lines explode to nothing; a filter on the length would make every form a second time.
-    wide = rows.select(F.xxhash64("form").alias("l1"), _wide(F.col("form")).alias("wide")).withColumn("last", _last(F.col("wide")))
+    wide = rows.select("l1", _wide(F.col("form")).alias("wide")).withColumn("last", _last(F.col("wide")))
     starts = wide.select("l1", "wide", "last", F.explode(F.when(F.col("last") >= 0, F.sequence(F.lit(0), F.greatest("last", F.lit(0)), F.lit(GRAMS)))).alias("start"))
     places = starts.select("l1", "wide", "last", F.explode(F.sequence("start", F.least(F.col("start") + (GRAMS - 1), "last"), F.lit(STEP))).alias("i"))
-    # Some n-grams at a time: their least is taken within the row, so that fewer rows meet the aggregate.
-    # Places beyond the last are the last again, which changes no minimum.
-    hashed = places.select("l1", *[gram(F.col("wide"), F.least(F.col("i") + k, F.col("last")) * 2 + 1).alias(f"h{k}") for k in range(STEP)])
+    # Places beyond the last are the last again, which changes no minimum and no set.
+    return places.select("l1", *[gram(F.col("wide"), F.least(F.col("i") + k, F.col("last")) * 2 + 1).alias(f"h{k}") for k in range(STEP)])
+
+
+def minima(rows: DataFrame) -> DataFrame:
+    """(l1, m0 ... m15) for lines that have an n-gram."""
+    # The least of some n-grams is taken within the row, so that fewer rows meet the aggregate.
     near = lambda p: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)])
-    return hashed.groupBy("l1").agg(*[F.min(near(p)).alias(f"m{j}") for j, p in enumerate(points())])
+    return grams(rows).groupBy("l1").agg(*[F.min(near(p)).alias(f"m{j}") for j, p in enumerate(points())])
 
 
 def gram_set(form_: Column) -> Column:
     listed = lambda w: F.transform(F.sequence(F.lit(1), _last(w) * 2 + 1, F.lit(2)), lambda at: gram(w, at))
-    return F.array_distinct(let(_wide(form_), listed))
+    # Never null, so that no check for nulls makes a set again.
+    return F.coalesce(F.array_distinct(let(_wide(form_), listed)), F.array().cast("array<bigint>"))
 
 
 def _alike(x: str, y: str) -> Column:
@@ -120,48 +125,57 @@ def _alike(x: str, y: str) -> Column:
     return sizes & ((100 + SIMILAR) * F.size(F.array_intersect(x, y)) >= SIMILAR * (F.size(x) + F.size(y)))
 
 
+def similar(pairs: DataFrame, forms: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b, ...) that are similar; many pairs may have one b, so many of them at once."""
+    centres = scratch.keep(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "centres")
+    # Texts are shuffled; sets are made after the shuffle.
+    x = pairs.join(centres, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).join(forms, F.col("a") == F.col("l1"))
+    x = x.repartition("b", "part").select(*pairs.columns, "part", gram_set(F.col("form")).alias("x"))
+    y = centres.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(forms, F.col("b") == F.col("l1"))
+    y = y.repartition("b", "part").select("b", "part", gram_set(F.col("form")).alias("y"))
+    return scratch.keep(x.join(y, ["b", "part"]).where(_alike("x", "y")).select(*pairs.columns), "stars")
+
+
+def _mixed(rest: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components; a bucket of two lines was decided with its least."""
+    held = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rest.join(held.where("low < high AND n > 2").select("band"), "band")
+
+
 def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) pairs of line keys that are verified as similar; they connect all similar lines that share a bucket."""
     keys = [F.xxhash64(F.lit(i), *[F.col(f"m{j}") for j in band]) for i, band in enumerate(bands())]
     keyed = scratch.keep(minima(rows).select("l1", F.array(*keys).alias("bands")), "bands")
     banded = keyed.select("l1", F.explode("bands").alias("band"))
     # Nearly every band is of one line, so a partial aggregate would save nothing.
-    shared = banded.repartition("band").groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
+    dealt = banded.repartition("band")
+    shared = dealt.groupBy("band").agg(F.min("l1").alias("low"), F.max("l1").alias("high")).where("low < high").select("band", "low")
     # Every line of a bucket, with the bucket's least.
-    held = scratch.keep(banded.join(scratch.keep(shared, "shared"), "band"), "held")
+    held = scratch.keep(dealt.join(shared, "band"), "held")
 
-    # Exact similarity with the bucket's least, for so many lines of a bucket at once.
+    # Exact similarity with the bucket's least.
     pairs = scratch.keep(held.where("l1 <> low").select(F.col("l1").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("l1")).distinct()
-    forms = key_filter(rows.select(F.xxhash64("form").alias("l1"), "form"), "l1", asked).groupBy("l1").agg(F.min("form").alias("form"))
+    asked = held.select("l1").distinct()
+    forms = key_filter(rows.select("l1", "form"), "l1", asked).groupBy("l1").agg(F.min("form").alias("form"))
     forms = scratch.keep(forms, "forms")
-    centres = scratch.keep(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts")), "centres")
-    # Texts are shuffled; sets are made after the shuffle.
-    x = pairs.join(centres, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts")).join(forms, F.col("a") == F.col("l1"))
-    x = x.repartition("b", "part").select("a", "b", "part", gram_set(F.col("form")).alias("x"))
-    y = centres.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(forms, F.col("b") == F.col("l1"))
-    y = y.repartition("b", "part").select("b", "part", gram_set(F.col("form")).alias("y"))
-    first = scratch.keep(x.join(y, ["b", "part"]).where(_alike("x", "y")).select("a", "b"), "stars")
+    links = similar(pairs, forms, scratch)
 
     # Buckets that hold several components after that: their lines are compared across components.
-    found = scratch.keep(components(first, scratch).distinct(), "found")
+    found = scratch.keep(components(links, scratch).distinct(), "found")
     rest = held.join(found, F.col("l1") == F.col("node"), "left").select("band", "l1", F.coalesce("component", "l1").alias("component"))
-    rest = scratch.keep(rest, "rest")
-    mixed = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    # A bucket of two lines was decided with its least.
-    mixed = scratch.keep(rest.join(mixed.where("low < high AND n > 2").select("band"), "band"), "mixed")
+    mixed = scratch.keep(_mixed(scratch.keep(rest, "rest")), "mixed")
     tagged, blocks = apart_blocks(mixed, "band", "l1", scratch, BLOCK)
     tagged = scratch.keep(tagged.join(keyed, "l1").select("band", "big", "only", "part", "l1", "bands", "component"), "tagged")
     blocks = scratch.keep(blocks, "pairs")
-    scratch.drop(held, rest, mixed)
+    scratch.drop(held, mixed)
 
     def side(pairs: DataFrame, block: str, x: str) -> DataFrame:
         wanted = pairs.select("band", "p", "q", *[F.col(f"{block}.{c}").alias(c) for c in ("big", "only", "part")])
         return wanted.join(tagged, ["band", "big", "only", "part"]).select("band", "p", "q", *[F.col(c).alias(f"{c}_{x}") for c in ("l1", "bands", "component")])
 
     def with_sets(rows: DataFrame, x: str) -> DataFrame:
-        texts = rows.join(forms.withColumnRenamed("l1", f"l1_{x}"), f"l1_{x}").repartition("band", "p", "q")
-        return texts.withColumn(f"s_{x}", gram_set(F.col("form"))).drop("form")
+        texts = rows.join(forms.select(F.col("l1").alias(f"l1_{x}"), "form"), f"l1_{x}").repartition("band", "p", "q")
+        return texts.withColumn(f"set_{x}", gram_set(F.col("form"))).drop("form")
 
     # Pairs that share several buckets are compared in the first of them; lines without a pair to compare are left out.
     same = F.coalesce(*[F.when(F.col("bands_a")[i] == F.col("bands_b")[i], F.col("bands_a")[i]) for i in range(BANDS)])
@@ -171,17 +185,16 @@ def similar_pairs(rows: DataFrame, scratch: Scratch) -> DataFrame:
     block = (F.col("x.band") == F.col("y.band")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
     apart = (F.col("component_a") != F.col("component_b")) & ((F.col("x.p") != F.col("x.q")) | (F.col("l1_a") < F.col("l1_b"))) & (same == F.col("x.band"))
     asked_a, asked_b = x.join(y, block & apart, "left_semi"), y.join(x, block & apart, "left_semi")
-    names = lambda rows, c: rows.select("band", "p", "q", *[f"{n}_{c}" for n in ("l1", "bands", "component")])
-    left, right = scratch.keep(names(asked_a, "a"), "left"), scratch.keep(names(asked_b, "b"), "right")
+    left, right = scratch.keep(asked_a, "left"), scratch.keep(asked_b, "right")
     x, y = with_sets(left, "a").alias("x"), with_sets(right, "b").alias("y")
-    second = x.join(y, block & apart & _alike("s_a", "s_b")).select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b"))
+    second = x.join(y, block & apart & _alike("set_a", "set_b")).select(F.col("l1_a").alias("a"), F.col("l1_b").alias("b"))
     # One link with a large component is enough for a line.
     beside = blocks.where("q.big")
     x, y = with_sets(side(beside, "p", "a"), "a").alias("x"), with_sets(side(beside, "q", "b"), "b").alias("y")
-    third = x.join(y, block & _alike("s_a", "s_b"), "left_semi").select(F.col("l1_a").alias("a"), F.col("q.only").alias("b")).distinct()
+    third = x.join(y, block & _alike("set_a", "set_b"), "left_semi").select(F.col("l1_a").alias("a"), F.col("q.only").alias("b")).distinct()
     second = scratch.keep(second.union(third), "rest-links")
     scratch.drop(tagged, blocks, forms, keyed, left, right)
-    return first.union(second)
+    return links.union(second)
 
 
 def _place(rows: DataFrame) -> Column:
@@ -196,17 +209,20 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(id, line, blank, exact, kept) for every line; exact: an equal line is earlier."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     rows = lines(docs, id_col, text_col)
+    rows = scratch.keep(rows.select("id", "line", "form", *_keys(F.col("form"))), "lines")
     links = scratch.keep(similar_pairs(rows, scratch), "links")
-    found = components(links, scratch).distinct()
-    at = scratch.keep(rows.select("id", "line", (F.col("form") == "").alias("blank"), *_keys(F.col("form"))), "at").withColumn("place", _place(rows))
-    equal = scratch.keep(at.where("NOT blank").groupBy("l1", "l2").agg(F.min("place").alias("first_equal")), "equal")
-    # Lines without a link go by their equals only; those with one by their component.
-    linked = equal.join(found, F.col("l1") == F.col("node")).select("l1", "component", "first_equal")
+    found = scratch.keep(components(links, scratch).distinct(), "found")
+    at = rows.select("id", "line", (F.col("form") == "").alias("blank"), "l1", "l2").withColumn("place", _place(rows))
+    equal = at.where("NOT blank").groupBy("l1", "l2").agg(F.min("place").alias("first_equal"), F.count(F.lit(1)).alias("n"))
+    equal = scratch.keep(equal, "equal")
+    # Lines without a link go by their equals only; those with one by their component.  A line with neither stays.
+    nodes = found.withColumnRenamed("node", "l1")
+    linked = scratch.keep(key_filter(equal, "l1", nodes).join(nodes, "l1").select("l1", "l2", "component", "first_equal"), "linked")
     first = linked.groupBy("component").agg(F.min("first_equal").alias("first"))
-    first = scratch.keep(linked.join(first, "component").groupBy("l1").agg(F.min("first").alias("first")), "first")
-    verdict = scratch.keep(equal.join(first, "l1", "left").select("l1", "l2", "first_equal", F.coalesce("first", "first_equal").alias("first")), "verdict")
+    repeated = equal.where("n > 1").join(nodes, "l1", "left_anti").select("l1", "l2", "first_equal", F.col("first_equal").alias("first"))
+    verdict = scratch.keep(linked.join(first, "component").select("l1", "l2", "first_equal", "first").union(repeated), "verdict")
     out = at.join(verdict, ["l1", "l2"], "left")
-    kept = F.coalesce(F.col("place") == F.col("first"), F.lit(False)) | F.col("blank")
+    kept = F.col("blank") | F.coalesce(F.col("place") == F.col("first"), F.lit(True))
     exact = F.coalesce(F.col("place") != F.col("first_equal"), F.lit(False)) & ~F.col("blank")
     return out.select("id", "line", "blank", exact.alias("exact"), kept.alias("kept"))
 

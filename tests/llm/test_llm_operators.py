@@ -290,6 +290,21 @@ def test_line_dedup_templated_family(spark, tables, monkeypatch, block):
     assert got == {i: int(i >= 100) for i, *_ in rows}
 
 
+def test_line_dedup_joins_only_lines_with_an_equal_or_a_link(spark, tables, words, monkeypatch):
+    rows, keep = {}, line_dedup.Scratch.keep
+
+    def counted(self, df, label="t"):
+        out = keep(self, df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "keep", counted)
+    path = tables([(i, f"{words(9)}\nthe same line\n", None, None) for i in range(20)])
+    got = {r["doc_id"]: r["removed_lines"] for r in rows_of(spark, "op7_line_dedup", path)}
+    assert got == {i: "1" if i else "" for i in range(20)}
+    assert rows["lines"] == 60 and rows["verdict"] == 1
+
+
 @pytest.mark.parametrize("block", [256, 12])
 def test_ngram_join(spark, tables, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
