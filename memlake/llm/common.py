@@ -131,6 +131,28 @@ def key_filter(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return keyed.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
 
 
+def told(rows: DataFrame, key: str, verdicts: DataFrame, most: int = 1) -> tuple[DataFrame, DataFrame]:
+    """How often each row stays, without moving it: (rows that stay with the column ``_n``, rows that a join must decide).
+
+    verdicts: (key, n) for every key, n from 0 to ``most``, or null where the key doesn't settle it.  Keys
+    share the places of a few bitmaps, 8 MB each at any size of the input, which are broadcast; a place
+    is settled if all its keys have one n.  Rows of other places, hardly any until bitmaps fill up, are
+    the second table, which callers join exactly.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    open_ = most + 1
+    code = F.when((F.min("n") == F.max("n")) & (F.count("n") == F.count(F.lit(1))), F.min("n")).otherwise(open_).cast("int")
+    places = verdicts.select(place.alias("_p"), "n").groupBy("_p").agg(code.alias("_code")).where("_code > 0")
+    planes = range(open_.bit_length())
+    bits = places.select(F.bitmap_bucket_number("_p").alias("_row"), F.bitmap_bit_position("_p").alias("_bit"), "_code").repartition("_row").groupBy("_row")
+    bits = bits.agg(*[F.bitmap_construct_agg(F.when(F.getbit("_code", F.lit(i)) == 1, F.col("_bit"))).alias(f"_bits{i}") for i in planes])
+    at = F.bitmap_bit_position(place)
+    byte = lambda i: F.conv(F.hex(F.substring(F.col(f"_bits{i}"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    n = sum((F.getbit(byte(i), (at % 8).cast("int")).cast("int") * (1 << i) for i in planes), F.lit(0))
+    keyed = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_row")).select(*map(quoted, rows.columns), n.alias("_n"))
+    return keyed.where((F.col("_n") > 0) & (F.col("_n") < open_)), keyed.where(F.col("_n") == open_).drop("_n")
+
+
 def apart_blocks(rows: DataFrame, group: str, item: str, scratch: Scratch, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """What to compare so that all items of a group meet that are in different components.
 

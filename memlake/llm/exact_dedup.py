@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WS, Scratch, _delete, as_row, documents, quoted, shared_dir
+from memlake.llm.common import WS, Scratch, _delete, as_row, documents, quoted, shared_dir, told
 
 SCHEMA = "digest binary, keep_id {id}, batch string"
 
@@ -138,11 +138,18 @@ def temporary_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
 
 def drop_copies(docs: DataFrame, index: DigestIndex, batch: str = "all", id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """The documents that stay, with the input's columns; of rows repeating id and text, one."""
-    stay = index.add(docs, batch, id_col, text_col, parts).where("kept").select("id", "digest").distinct()
-    # The operator's own columns are in structs, so no name of the input can clash with them.
-    mine = docs.select(as_row(docs).alias("row"), F.struct(docs[quoted(id_col)].alias("id"), digest(docs[quoted(text_col)]).alias("digest")).alias("key"))
-    once = mine.join(stay, mine["key.id"].eqNullSafe(stay["id"]) & (mine["key.digest"] == stay["digest"]), "left_semi").dropDuplicates(["key"])
-    return once.select("row.*")
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    decided = scratch.keep(index.add(docs, batch, id_col, text_col, parts).select("id", "digest", "kept"), "decided")
+    # Where one row has an id, the id settles it and the text stays where it is.
+    by_id = decided.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("kept").cast("int")).alias("n"))
+    # The operator's own columns are beside the row, a struct, so no name of the input can clash with them.
+    mine = docs.select(as_row(docs).alias("row"), docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].alias("text"))
+    sure, others = told(mine, "id", scratch.keep(by_id, "by_id"))
+    stay = decided.where("kept").select("id", "digest").distinct()
+    keyed = others.select("row", F.struct("id", digest(F.col("text")).alias("digest")).alias("key"))
+    # A semi-join would be moved below the choice of rows, and shuffle all of them.
+    once = keyed.join(stay, keyed["key.id"].eqNullSafe(stay["id"]) & (keyed["key.digest"] == stay["digest"])).dropDuplicates(["key"])
+    return sure.select("row.*").union(once.select("row.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import NOT_WS, Scratch, as_row, documents
+from memlake.llm.common import NOT_WS, Scratch, as_row, documents, told
 
 SLICES = 1024
 RANGES = 1024
@@ -127,13 +127,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Documents are looked up by id and size, so ids are expected to be distinct; a null id is a value.
     """
-    per = taken_sizes(*mix(docs, id_col=id_col, **options))
-    per = per.where("copies > 0").select("id", "size", "source", "copies").dropDuplicates(["id", "size", "source"])
+    scratch = Scratch(docs.sparkSession, "mixed")
+    per = scratch.keep(taken_sizes(*mix(docs, id_col=id_col, **options)).select("id", "size", "source", "copies"), "per")
+    # Where one row has an id, the id settles it and the text stays where it is.
+    by_id = per.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.first("copies")).alias("n"))
     # The row is a struct, so the schedule's columns clash with none of it.
-    left = docs.select(as_row(docs).alias("row"), docs[id_col].alias("id"), words(docs["text"]).alias("size"), docs["source"].alias("source"))
+    left = docs.select(as_row(docs).alias("row"), docs[id_col].alias("id"), docs["text"].alias("text"), docs["source"].alias("source"))
+    sure, others = told(left, "id", scratch.keep(by_id, "by_id"), options.get("max_repeats", MAX_REPEATS))
+    per = per.where("copies > 0").dropDuplicates(["id", "size", "source"])
+    left = others.withColumn("size", words(F.col("text")))
     on = left["id"].eqNullSafe(per["id"]) & (left["size"] == per["size"]) & left["source"].eqNullSafe(per["source"])
-    out = left.join(per, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("row.*")
+    out = sure.select("row", F.col("_n").cast("long").alias("copies")).union(left.join(per, on).select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,15 @@ the result is each document's component.  Exact at every size, in four steps:
 3. Only groups with two documents left are opened.  Members are compared in blocks of bounded size,
    each with a few pivots of the group, by one matrix product; a block emits a spanning forest of
    its links, so results are linear in members.
-4. Blocks within a component that step 3 found need no comparison with each other; all other pairs of
-   blocks of a group are compared in the same way.
-
-Documents with equal sets are one member from the start, so copies cost nothing.  Signatures are
-shuffled once; steps 2 to 4 move ids and sizes, and a set only to the block that it is compared in.
+4. Members of a group of several blocks that step 3 left in different components are compared if they
+   have one of the rarest n-grams of both in common, as two that link must: of each set the first
+   n - ceil(percent * n / 100) + 1 by rarity.  First each meets one member of such an n-gram, so near
+   copies find their component; then all pairs that are still apart meet.  What moves grows with the
+   members and such pairs, not with the pairs of blocks.
+
+Documents with equal sets are one member from the start, so copies cost nothing.  Signatures and
+the matrix's n-grams are shuffled once, in passes of which only one is on disk; all else moves ids and
+sizes, and a set only to the block that it is compared in.
 Small and large inputs run the same plan.
 
 Defined results: a null text, or one without words, has the empty set and is a component of its own;
@@ -37,6 +41,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +49,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memlake.llm.common import BLOCK, Scratch, apart_blocks, components, documents, key_filter, quoted
+from memlake.llm.common import BLOCK, Scratch, as_row, components, documents, key_filter, quoted, told
 
 N = 5
 #: Least similarity, as percent: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 PIVOTS = 8
+#: Signatures or n-grams that are shuffled at once, and bounds of the number of passes: each reads the table again.
+PASS = 1 << 27
+LEAST_PASSES, MOST_PASSES = 4, 16
+#: Turns in which members meet one of each n-gram only, before all pairs that are left do.
+ROUNDS = 2
 #: Words whose hashes a worker remembers before it starts anew.
 WORDS = 150_000
 
@@ -255,23 +265,80 @@ def _groups(shared: DataFrame, scratch: Scratch) -> DataFrame:
     return groups
 
 
+def _passes(table: DataFrame, column: str) -> int:
+    """In how many passes to shuffle the items of an array column."""
+    items = table.agg(F.sum(F.size(column))).first()[0] or 0
+    return min(MOST_PASSES, max(LEAST_PASSES, -(-items // PASS)))
+
+
+def _pass(items: DataFrame, column: str, i: int, passes: int) -> DataFrame:
+    """The i-th part of the items, by bits of a hash that neither a signature's class nor a range has a part in."""
+    return items.where(F.pmod(F.shiftright(column, 8), F.lit(passes)) == i)
+
+
 def similar_groups(described: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(k1, sig) of signatures that different sets share, without those that a set can do without."""
     # Of equal sets one row signs; further rows that the filter lets through are equal to it.
     rows = key_filter(described.select("id", "k1", "even", "odd", "sigs"), "id", classes.select(F.col("rep").alias("id")))
-    signed = rows.select("k1", "even", "odd", F.explode("sigs").alias("sig"))
-    counted = signed.groupBy("sig").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.count(F.lit(1)).alias("df"))
-    counted = scratch.keep(counted.where("low < high").select("sig", "df"), "counted")
-    shared = key_filter(signed, "sig", counted).join(counted, "sig").distinct()
+    # In passes, each over some of the signatures: what is shuffled at once, and what the filter's bitmap has to tell apart, stay small.
+    passes = _passes(described, "sigs")
+    parts = []
+    for i in range(passes):
+        signed = _pass(rows.select("k1", "even", "odd", F.explode("sigs").alias("sig")), "sig", i, passes)
+        # Copies that the filter let through may count twice here; they form no group.
+        counted = scratch.keep(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counted")
+        parts.append(scratch.keep(key_filter(signed, "sig", counted).join(counted, "sig").distinct(), "met"))
+        scratch.drop(counted)
+    shared = reduce(DataFrame.union, parts)
     common_first = F.row_number().over(Window.partitionBy("k1", F.col("sig").bitwiseAND(1)).orderBy(F.desc("df"), "sig"))
     spare = F.when(F.col("sig").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))
     shared = scratch.keep(shared.select("k1", "sig", (common_first > spare).alias("needed")).where("needed").select("k1", "sig"), "shared")
-    scratch.drop(counted)
+    scratch.drop(*parts)
     return shared
 
 
 def _opened(blocks: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    return _links(blocks.join(sets.select("rep", "set"), "rep"), keys, percent)
+    return _links(blocks.join(key_filter(sets.select("rep", "set"), "rep", blocks), "rep"), keys, percent)
+
+
+def _heads(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(grp, token, rep, n, place): the rarest n-grams of each set, one of which a linked pair of a group has in common.
+
+    A set of n can't link unless ceil(percent * n / 100) of its n-grams are common to both, so the rarest
+    common one has no more than the others before it, n-grams in order of their rarity in the group.
+    Only n-grams of these members move, in passes.  rest: (grp, rep).
+    """
+    own = key_filter(sets.select("rep", "set"), "rep", rest).join(rest, "rep")
+    own = scratch.keep(own.select("grp", "rep", F.xxhash64("set").alias("same"), F.size("set").cast("long").alias("n"), "set"), "own")
+    passes = _passes(own, "set")
+    parts = []
+    for i in range(passes):
+        tokens = _pass(own.select("grp", "rep", "same", "n", F.explode("set").alias("token")), "token", i, passes)
+        often = tokens.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        parts.append(scratch.keep(tokens.join(often, ["grp", "token"]), "often"))
+    once = Window.partitionBy("rep", "same")
+    # N-grams of one member only come first; they have places, but meet none.
+    ranked = reduce(DataFrame.union, parts).withColumn("place", F.col("n") - F.count(F.lit(1)).over(once) + F.row_number().over(once.orderBy("df", "token")))
+    heads = ranked.where(F.col("place") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)
+    heads = scratch.keep(heads.select("grp", "token", "rep", "n", "place"), "ranked")
+    scratch.drop(own, *parts)
+    return heads
+
+
+def _candidates(heads: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """(a, b) of different components that have one of their heads in common and, by what is after it, may link.
+
+    In a turn, only pairs of one member of each n-gram, another one in each turn, with all others: they
+    link most of what are near copies of each other, so that few of their pairs are left.
+    """
+    x = heads
+    if turn is not None:
+        x = heads.groupBy("grp", "token").agg(F.min_by(F.struct("rep", "component", "n", "place"), F.xxhash64("rep", F.lit(turn))).alias("hub")).select("grp", "token", "hub.*")
+    x, y = x.alias("x"), heads.alias("y")
+    least = 1 + F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place"))
+    meet = F.expr("x.grp = y.grp AND x.token = y.token AND x.component <> y.component" + (" AND x.rep < y.rep" if turn is None else ""))
+    pairs = x.join(y, meet & ((100 + percent) * least >= percent * F.expr("x.n + y.n")))
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -291,13 +358,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = key_filter(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")), "rep", members.select("rep"))
     # Rows that repeat an id: any of them that has the set will do, so a set is kept for each of them.
     sets = scratch.keep(shingle_sets(texts.join(members, "rep").select("rep", "grp", "text"), ["rep", "grp"], "text", n), "sets")
-    matrix = sets.select("grp", "rep", F.explode("set").alias("token")).groupBy("grp", "token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    matrix = scratch.keep(matrix.select("grp", "token", F.when(F.col("low") == F.col("high"), F.col("low")).alias("only")), "matrix")
-    alone = matrix.where("only IS NOT NULL").groupBy(F.col("only").alias("rep")).agg(F.count(F.lit(1)).alias("alone"))
+    passes = _passes(sets, "set")
+    parts = []
+    for i in range(passes):  # the n-grams of some rows of the matrix at a time
+        tokens = _pass(sets.select("grp", "rep", F.explode("set").alias("token")), "token", i, passes)
+        matrix = tokens.groupBy("grp", "token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+        only = matrix.where("low = high").groupBy(F.col("low").alias("rep")).agg(F.count(F.lit(1)).alias("alone"))
+        parts.append(scratch.keep(only, "alone"))
+    alone = reduce(DataFrame.union, parts).groupBy("rep").agg(F.sum("alone").alias("alone"))
     size = sets.select("rep", F.size("set").cast("long").alias("n")).groupBy("rep").agg(F.max("n").alias("n"))
     size = size.join(alone, "rep", "left").withColumn("overlap", F.col("n") - F.coalesce("alone", F.lit(0)))
     left = scratch.keep(members.join(size.where(100 * F.col("overlap") >= percent * F.col("n")), "rep").select("k1", "rep", "overlap"), "left")
-    scratch.drop(matrix)
+    scratch.drop(*parts)
     groups = _groups(shared.join(left.select("k1"), "k1", "left_semi"), scratch)
     scratch.drop(shared)
 
@@ -311,14 +383,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pivots = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"), "rep")
     first = scratch.keep(_opened(blocks.union(pivots).distinct(), sets, ["grp", "block"], percent), "links")
 
-    # 4. Pairs of blocks of large groups, but for pairs within one component.
-    found = scratch.keep(components(first, scratch).distinct(), "found")
-    rest = large.select("grp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("grp", "rep", F.coalesce("component", "rep").alias("component"))
-    rest = scratch.keep(rest, "rest")
-    tagged, pairs = apart_blocks(rest, "grp", "rep", scratch, BLOCK)
-    sides = pairs.select("grp", F.xxhash64("grp", "p", "q").alias("pair"), F.explode(F.array_distinct(F.array("p", "q"))).alias("side")).select("grp", "pair", "side.*")
-    second = _opened(sides.join(tagged, ["grp", "big", "only", "part"]).select("pair", "rep"), sets, ["pair"], percent)
-    links = scratch.keep(first.union(second), "links")
+    # 4. Members of large groups that are in different components and may link.
+    links, rest = first, large.select("grp", "rep")
+    if not rest.isEmpty():
+        heads = scratch.keep(_heads(scratch.keep(rest, "rest"), sets, percent, scratch), "heads")
+        for i in range(ROUNDS + 1):
+            found = scratch.keep(components(links, scratch).distinct(), "found")
+            labelled = scratch.keep(heads.join(found, F.col("rep") == F.col("node"), "left").select(*heads.columns, F.coalesce("component", "rep").alias("component")), "labelled")
+            pairs = scratch.keep(_candidates(labelled, percent, i if i < ROUNDS else None), "pairs")
+            parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / BLOCK).cast("long")
+            dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("part"))
+            more = _opened(dealt.select("a", "part", F.explode(F.array("a", "b")).alias("rep")).distinct(), sets, ["a", "part"], percent)
+            links = scratch.keep(links.union(more), "links")
+            scratch.drop(found, labelled, pairs)
     linked = scratch.keep(components(links, scratch).distinct(), "linked")
     scratch.drop(sets)
 
@@ -329,9 +406,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One document of each component, that of the smallest id, with the input's columns."""
-    found = ngram_components(docs, id_col, text_col, n, percent)
-    go = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(go, id_col, "left_anti").select(*map(quoted, docs.columns))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.keep(ngram_components(docs, id_col, text_col, n, percent).select("id", "component_id"), "found")
+    stays = F.col("id").isNull() | (F.col("id") == F.col("component_id"))
+    mine = docs.select(as_row(docs).alias("row"), docs[quoted(id_col)].cast("long").alias("id"))
+    sure, others = told(mine, "id", found.select("id", stays.cast("int").alias("n")))
+    # An anti-join would be moved below the choice of rows, and shuffle all of them.
+    others = others.join(found.where(~stays).select("id").distinct().withColumn("_go", F.lit(True)), "id", "left").where("_go IS NULL")
+    return sure.select("row.*").union(others.select("row.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

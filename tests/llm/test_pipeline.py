@@ -91,3 +91,42 @@ def test_stages_keep_the_columns(spark, tables, words):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, path)
         assert docs.columns == spark.read.parquet(f"{path}/documents.parquet").columns
+
+
+def test_run_keeps_one_stage_at_a_time(spark, tables, words):
+    import glob
+
+    from memlake.llm.common import shared_dir
+
+    at = shared_dir(spark).removeprefix("file://") + "/memlake/pipeline-*/*"
+    before = set(glob.glob(at))
+    corpus_pipeline.run(spark, tables([(i, words(30), "en", "ab"[i % 2]) for i in range(10)]))
+    assert [p.split("-")[-1] for p in set(glob.glob(at)) - before] == ["mixing"]
+
+
+def test_a_large_group_moves_few_sets(spark, words, monkeypatch):
+    from memlake.llm import common, ngram_join
+
+    common.ship(spark)
+    lines = [words(12) for _ in range(300)]
+    # Neighbours share seven of ten lines: one group, in which only the changed copies link.
+    text = {i: " ".join(lines[3 * i : 3 * i + 10]) for i in range(96)}
+    text |= {1000 + i: text[i] + " end" for i in range(96)}
+    moved = []
+    opened = ngram_join._opened
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "_opened", lambda blocks, *a: moved.append(blocks.count()) or opened(blocks, *a))
+    found = ngram_join.ngram_components(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    assert {x["id"]: x["component_id"] for x in found} == {i: i % 1000 for i in text}
+    # All pairs of the 24 blocks of eight would be some 4800 rows.
+    assert sum(moved) < 2400
+
+
+def test_told_settles_rows_without_a_join(spark):
+    from memlake.llm.common import told
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(50), None]], "id long, text string")
+    verdicts = spark.createDataFrame([(i, None if i == 7 else (i or 0) % 4) for i in [*range(50), None]], "id long, n long")
+    sure, others = told(rows, "id", verdicts, 3)
+    assert {x["id"]: x["_n"] for x in sure.collect()} == {i: i % 4 for i in range(50) if i % 4 and i != 7}
+    assert [x["text"] for x in others.collect()] == ["t7"]
