@@ -176,15 +176,18 @@ def compared(rows: DataFrame, threshold: float, group: str, pivots: int = PIVOTS
     return int(n.agg(F.sum(F.col("h") * (F.col("h") - 1) / 2 + F.col("h") * F.col("g"))).first()[0] or 0)
 
 
-def facing(asked: DataFrame, rows: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, asked_id: str = "id", row_id: str = "id", block: int = FACING) -> DataFrame:
-    """What ``run`` makes of each block of asked and each of rows that have the same ``grp``; null groups meet nothing."""
+def facing(asked: DataFrame, rows: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, asked_id: str = "id", row_id: str = "id", block: int = FACING, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """What ``run`` makes of each block of asked and each of rows that have the same ``grp``; null groups meet nothing.
+
+    ``keep`` writes what is read more than once; callers that pass tables may leave them as they are.
+    """
 
     def blocks(df: DataFrame, n: str) -> DataFrame:
         return df.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
 
     asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])  # columns of its own, should both be of one table
-    asked, rows = cut(asked), cut(rows)
-    sizes = cut(blocks(asked, "_ps").join(blocks(rows, "_qs"), "grp"))
+    asked, rows = keep(asked), keep(rows)
+    sizes = keep(blocks(asked, "_ps").join(blocks(rows, "_qs"), "grp"))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     a = asked.join(sizes, "grp").withColumn("_p", own(asked_id, "_ps")).withColumn("_q", every("_qs")).drop("_ps", "_qs")

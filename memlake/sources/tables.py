@@ -6,8 +6,10 @@ checked against the SQL in another engine.
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +116,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Kept:
+    """Tables of one operator in the shared folder, which it drops as soon as nothing reads them.
+
+    The shuffle files of the step that wrote a table go with the step; what is left goes when the driver ends.
+    """
+
+    CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/memlake-kept/{uuid.uuid4().hex}", {}
+        atexit.register(self._end)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        before = self.spark.conf.get(self.CLEAN, None)
+        self.spark.conf.set(self.CLEAN, "true")
+        try:
+            df.select("*").write.parquet(path)  # planned anew under that setting
+        finally:
+            self.spark.conf.unset(self.CLEAN) if before is None else self.spark.conf.set(self.CLEAN, before)
+        out = parquet_with_schema(self.spark, path, df.schema)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if any(t is x for x in tables)]:
+            self._delete(path)
+            self.paths[path] = None
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def _end(self) -> None:
+        try:
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.root)
+        except Exception:  # the session has ended
+            return
+
+
 def parquet_with_schema(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 

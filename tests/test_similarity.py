@@ -188,6 +188,27 @@ def test_stars_in_batches_never_make_all_pairs(spark):
     assert {x["id"]: x["cluster"] for x in got} == want and len(want) > 60
 
 
+def test_stars_along_time_leave_no_rounds_on_disk(spark, monkeypatch):
+    """Each row waits for those before it; one witness doesn't decide all turns, so some wait for a further batch."""
+    import glob
+
+    from memlake.sources.tables import shared_dir
+
+    monkeypatch.setattr(cluster, "WITNESSES", 1)
+    r = random.Random(8)
+    hours = sorted(r.random() * 60 for _ in range(150))
+    v = vectors(150, centres=2)
+    df = spark.createDataFrame([(k, "u", 1.0 - k / 1000, h, x.tolist()) for k, (h, x) in enumerate(zip(hours, v, strict=True))], "id long, user_id string, importance double, hours double, embedding array<double>")
+    df = df.withColumn("created_at", F.timestamp_micros((F.col("hours") * 3.6e9).cast("long")))
+    at = shared_dir(spark).removeprefix("file://") + "/*/rdd-*"
+    before = set(glob.glob(at))
+    got = cluster.affinity_clusters(df, "user_id", threshold=0.8, batch=40).collect()
+    assert set(glob.glob(at)) == before
+    a = 0.5 * (v @ v.T) + 0.5 * np.exp(-0.1 * np.abs(np.subtract.outer(hours, hours)))
+    want = one_by_one(range(150), [(i, j) for i in range(150) for j in range(i) if a[i, j] >= 0.8], 3)
+    assert {x["id"]: x["cluster"] for x in got} == want and len(want) > 100
+
+
 def test_candidates_by_bands_are_the_pairs_of_shared_buckets(spark):
     """No pair twice, although copies share every band, and all of them are there; blocks are smaller than buckets."""
     v = vectors(150, dim=8, centres=4)
